@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, packing, secrets, sstable, toxicity
+from . import decontaminate, html_text, neardup, packing, secrets, sstable, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(sstable.write(_table(spark, sf_dir, "documents")))
 
@@ -38,6 +42,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
+    "op3_html_text": op3_html_text,
     "op4_token_tables": op4_token_tables,
     "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,
