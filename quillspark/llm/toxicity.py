@@ -201,13 +201,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     part = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30))
     share = {True: min(1.0, sample_toxic / n[True]), False: min(1.0, sample_other / n[False])}
     keep = known.where(part < F.when(F.col("toxic") == 1, int(share[True] * (1 << 30))).otherwise(int(share[False] * (1 << 30))))
-    near = docs.select(F.col("doc_id").cast("long"), "text").where(part < int(max(share.values()) * (1 << 30)))
+    near = docs.select(F.col("doc_id").cast("long"), "text")
 
     @F.pandas_udf("array<long>")
     def sketch(texts: pd.Series) -> pd.Series:
         return pd.Series([_sketch(as_text(t)) for t in texts])
 
-    rows = materialise(near.join(keep, "doc_id").where("text is not null").select("doc_id", "text", "toxic"), "labelled")
+    # The sample's ids are some 16 bytes each: at most about sample_toxic + sample_other of them are broadcast.
+    rows = materialise(near.join(F.broadcast(keep), "doc_id").where("text is not null").select("doc_id", "text", "toxic"), "labelled")
     toxic = rows.where("toxic = 1").withColumn("m", sketch("text"))
     for k in range(3):  # of texts that share a minimum, the one with the smallest id stays
         first = toxic.groupBy(toxic.m[k].alias("g")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
