@@ -401,4 +401,7 @@ def redact(docs: DataFrame, column: str = "text") -> DataFrame:
         found = scan([as_text(t) for t in texts])
         return pd.Series([redact_text(t, s) if s else t for t, s in zip(texts, found, strict=True)], dtype=object)
 
-    return docs.withColumn(column, clean(docs[column]))
+    out = docs.withColumn(column, clean(docs[column]))
+    if column == "text" and "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
