@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_queries, text_queries
+from . import chat_queries, library_queries, text_queries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for part in (text_queries, chat_queries):
+for part in (text_queries, chat_queries, library_queries):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
