@@ -104,7 +104,7 @@ def issues(source: Column, translated: Column, ordered: bool = True) -> Column:
 def repair(source: Column, translated: Column) -> Column:
     """Without replacement characters; bare dollars escaped again where the source has none."""
     t = F.replace(translated, F.lit("�"), F.lit(""))
-    return F.when(~source.rlike(X.BARE_DOLLAR), F.regexp_replace(t, X.BARE_DOLLAR, r"\\\\\$")).otherwise(t)
+    return F.when(~source.rlike(X.BARE_DOLLAR), F.regexp_replace(t, X.BARE_DOLLAR, r"\\\$")).otherwise(t)
 
 
 DELIMITER = "\n<<<SEG>>>\n"

@@ -63,7 +63,7 @@ class _Throttle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "t long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         all_rows = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         last = self.last.get()[0] if self.last.exists() else None
         out = []
@@ -94,7 +94,7 @@ class _CappedMean(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("mean", "avg double, n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         avg, n = self.state.get() if self.state.exists() else (0.0, 0)
         for x in pd.concat(list(rows)).sort_values(["ts", "event_id"])["value"]:
             n += 1
@@ -121,7 +121,7 @@ class _Stall(StatefulProcessor):
         self.handle = handle
         self.open = handle.getValueState("open", "t long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for kind, t in pd.concat(list(rows)).sort_values(["ts", "event_id"])[["event_type", "ts"]].itertuples(index=False):
             ms = int(pd.Timestamp(t).value // 1_000_000)
             if kind == self.start:
@@ -131,9 +131,9 @@ class _Stall(StatefulProcessor):
                 self.open.clear()
         yield pd.DataFrame({"key": pd.Series([], dtype="int64"), "started_ms": pd.Series([], dtype="int64")})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = []
-        if self.open.exists() and self.open.get()[0] + self.millis <= expired.get_expiry_time_in_ms():
+        if self.open.exists() and self.open.get()[0] + self.millis <= expiredTimerInfo.get_expiry_time_in_ms():
             out = [(key[0], self.open.get()[0])]
             self.open.clear()
         yield pd.DataFrame(out, columns=["key", "started_ms"]).astype("int64")
