@@ -133,7 +133,7 @@ class _Stall(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = []
-        if self.open.exists() and self.open.get()[0] + self.millis <= expiredTimerInfo.get_expiry_time_in_ms():
+        if self.open.exists() and self.open.get()[0] + self.millis <= expiredTimerInfo.getExpiryTimeInMs():
             out = [(key[0], self.open.get()[0])]
             self.open.clear()
         yield pd.DataFrame(out, columns=["key", "started_ms"]).astype("int64")
