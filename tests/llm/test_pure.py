@@ -1,0 +1,227 @@
+"""Brute-force checks of the operators' inner parts, without Spark."""
+
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from quillspark.llm import chat, decontaminate, html_text, neardup, packing, secrets, sstable, tokens, toxicity
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_spans(t):
+    out = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    out += [(m.start(), m.end(), 1) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), m.end(), 2) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(out, key=lambda x: (x[0], x[2]))
+
+
+def test_secrets_equal_regular_expressions():
+    r = random.Random(1)
+    parts = ["password", "Token", "secret=", "apikey", "API_KEY", " ", ":", "=", '"', "'", "AKIA", "ABCDEF0123456789", "0123456789abcdef", "deadbeef", "é", "x", "\n", "token: ", "passwd='", "ſ", "\0", "😀"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(25))) for _ in range(1500)] + ["", "a" * 5000, "password = token: abcdef12", "token=" + "f" * 100_000]
+    for t, got in zip(texts, secrets.scan(texts), strict=True):
+        assert [s for s in got if s[2] < 3] == base_spans(t), t[:80]
+
+
+def test_more_rules_and_redaction():
+    t = "x ghp_" + "A1" * 20 + " y -----BEGIN RSA PRIVATE KEY----- z"
+    found = secrets.scan([t])[0]
+    assert [secrets.KINDS[k] for _, _, k in found] == ["github", "pem"]
+    assert secrets.redact_text(t, found) == "x [SECRET] y [SECRET] z"
+
+
+def windows(texts, items):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    index = {}
+    for name, t in items:
+        w = words(t)
+        n = min(13, len(w))
+        for p in range(len(w) - n + 1 if w else 0):
+            index.setdefault(tuple(w[p : p + n]), set()).add(name)
+    sizes = {len(k) for k in index}
+    out = []
+    for t in texts:
+        w, hit, found = words(t), set(), set()
+        for n in sizes:
+            for p in range(len(w) - n + 1):
+                x = index.get(tuple(w[p : p + n]))
+                if x:
+                    found |= x
+                    hit.update(range(p, p + n))
+        f = sorted(found)
+        out.append((len(w), len(hit), len(f), hashlib.sha256(",".join(f).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
+class Value:
+    def __init__(self, value):
+        self.value = value
+
+
+def decontaminated(texts, items, blocks=1):
+    size = max(1, -(-len(items) // blocks))
+    parts = [Value(decontaminate.Items(items[a : a + size])) for a in range(0, len(items), size)]
+    frame = pd.DataFrame({"doc_id": pd.array(range(len(texts)), dtype="Int64"), "text": texts})
+    return pd.concat(decontaminate._frames_with(parts)([frame]))
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_contamination_equals_windows(seed):
+    r = random.Random(seed)
+    v = [chr(97 + i) for i in range(r.choice([1, 2, 4]))] + ["é", "Z"]
+    items = [(str(i), " ".join(r.choice(v) for _ in range(r.choice([0, 1, 3, 13, 14, 20])))) for i in range(6)]
+    texts = ["", *(" ".join(r.choice(v + ["q"] * r.randrange(2)) for _ in range(r.randrange(60))) for _ in range(20))]
+    got = decontaminated(texts, items, r.choice([1, 2, 3]))
+    assert list(got[["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]].itertuples(index=False, name=None)) == windows(texts, items)
+
+
+def test_longest_match():
+    item = " ".join(f"w{i}" for i in range(30))
+    got = decontaminated(["zero one " + " ".join(f"w{i}" for i in range(4, 26)) + " end"], [("1", item)])
+    assert (got["longest_match"][0], got["longest_start"][0]) == (22, 2)
+
+
+def sets_of(texts):
+    out = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        out.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return out
+
+
+def test_shingles_keep_sizes_and_overlaps():
+    r = random.Random(3)
+    v = ["a", "b", "É", "é", "c d", "x1"]
+    texts = ["", " \n", "a", "a b c d", "A b c d e", *(" ".join(r.choice(v) for _ in range(r.randrange(40))) for _ in range(60))]
+    real, ours = sets_of(texts), neardup.shingle_sets(texts)
+    assert [len(s) for s in real] == [len(s) for s in ours]
+    for (a, x), (b, y) in itertools.combinations(zip(real, ours, strict=True), 2):
+        assert len(a & b) == len(np.intersect1d(x, y))
+
+
+def test_sketch_fills_and_estimates():
+    r = np.random.default_rng(5)
+    errors = []
+    for n in (1, 3, 50, 1000):
+        common = r.integers(0, 2**63, n, dtype=np.uint64)
+        a = np.unique(np.concatenate([common, r.integers(0, 2**63, max(1, n // 4), dtype=np.uint64)]))
+        b = np.unique(np.concatenate([common, r.integers(0, 2**63, max(1, n // 4), dtype=np.uint64)]))
+        s = neardup.sketches([a, b, a])
+        assert (s[0] == s[2]).all()
+        j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        errors.append(abs((s[0] == s[1]).mean() - j))
+    assert max(errors) < 0.2
+
+
+def test_forest_joins_all_linked_components():
+    r = np.random.default_rng(6)
+    base = r.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = []
+    for k in range(30):
+        own = base if k % 3 else r.integers(0, 2**63, 300, dtype=np.uint64)
+        sets.append(np.unique(np.concatenate([own[: 290 - k % 5], r.integers(0, 2**63, 12, dtype=np.uint64)])))
+    links = neardup.forest(np.arange(30), np.zeros(30, dtype=int), neardup.sketches(sets), sets)
+    root = list(range(30))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in links:
+        root[find(i)] = find(j)
+    want = {(i, j) for i, j in itertools.combinations(range(30), 2) if neardup._linked(sets[i], sets[j])}
+    assert want and all(find(i) == find(j) for i, j in want) and len(links) == 30 - len({find(i) for i in range(30)})
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_best_fit_takes_the_tightest(seed):
+    r = random.Random(seed)
+    lengths = sorted((r.randrange(1, 64) for _ in range(200)), reverse=True)
+    free, want = [], []
+    for n in lengths:
+        fits = [(c, k) for k, c in enumerate(free) if c >= n]
+        if fits:
+            tight = min(c for c, _ in fits)
+            want.append(tight - n)
+            free[next(k for c, k in fits if c == tight)] -= n
+        else:
+            free.append(64 - n)
+            want.append(64 - n)
+    place = packing.best_fit(lengths, 64)
+    used, got = {}, []
+    for n, (s, o) in zip(lengths, place, strict=True):
+        assert used.get(s, 0) == o
+        used[s] = o + n
+        got.append(64 - used[s])
+    assert got == want and len(used) == len(free)
+
+
+def test_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path()
+    full = Tokenizer.from_file(path)
+    r = random.Random(3)
+    al = "aZéÀßµ .,'!?\n\t12σΣ́ \x1c　İŒ’s"
+    texts = ["", "  ", "The cat été İstanbul it's a<|endoftext|>b <|ENDOFTEXT|> 你好 😀 …", *("".join(r.choice(al) for _ in range(40)) for _ in range(400))]
+    want = [np.array(x.ids, dtype="<u4").tobytes() for x in full.encode_batch(texts, add_special_tokens=False)]
+    assert tokens.Encoder(path).encode(texts) == want
+
+
+def test_table_file_round_trip(tmp_path):
+    ids = [None, -5, 3, 3, 7, *range(100, 3000, 3)]
+    values = [np.arange(i % 50 + 1, dtype="<u4") * 7 for i in range(len(ids))]
+    path = str(tmp_path / "x.qsst")
+    with open(path, "wb") as f:
+        w = sstable.Writer(f, False)
+        for k, (i, v) in enumerate(zip(ids, values, strict=True)):
+            w.add(sstable.key_of(i, 1 if k == 3 else 0), v)
+        w.close()
+    reader = sstable.Reader(path)
+    assert [sstable.id_of(k) for k, _ in reader] == ids and all((a == b).all() for (_, a), b in zip(reader, values, strict=True))
+    assert (reader.get(7) == values[4]).all() and (reader.get(3, 1) == values[3]).all() and (reader.get(None) == values[0]).all()
+    assert reader.get(101) is None and reader.get(10**12) is None and reader.get(-6) is None
+
+
+def test_roles_cost_least():
+    def brute(roles):
+        best = [chat.FAR]
+
+        def go(k, s, c):
+            if c < best[0]:
+                if k == len(roles):
+                    best[0] = min(best[0], c + chat.ending_cost(s))
+                else:
+                    for o in chat.options()[roles[k]][s]:
+                        go(k + 1, o[1], c + o[0])
+
+        go(0, chat.START, 0)
+        return best[0]
+
+    for n in range(1, 5):
+        for roles in itertools.product(range(4), repeat=n):
+            chosen, state = chat.decide(list(roles), chat.START, None)
+            assert sum(c[0] for c in chosen) + chat.ending_cost(state) == brute(roles)
+
+
+def test_grammar():
+    s = toxicity.Scorer({"zork": 1.0})
+    w = lambda t: sum(s.clauses(t))
+    assert w("you idiot") > w("what an idiot") > w("not an idiot") > 0 and w("he said idiot") < 0.3 and w("zorkish people") == 1.0
+    assert w("I will kill you") > 1 and w("they kill time") == 0 and w("") == 0 and s.score([]) == pytest.approx(toxicity.FLOOR)
+
+
+def test_pages():
+    m = html_text.main_text
+    assert m("") == [] and m("<p></p>") == []
+    assert m("<body><nav><ul><li>x<main><p>Hello &amp; <b>bo</b>ld&nbsp; x<div class='cookie-notice'>c</div><form><p>f</p></form><h2>Sub</h2><aside>a</aside><p>Tail<p class=ad>AD<p>after<br>line<section id=comments><p>r</p></section></main><footer>f</footer>") == ["Hello & bold x", "Sub", "Tail", "after line"]
+    assert m("<article><header><h1>T</h1></header><p>x<script>var a='</p>'</script>y</p><!-- <p>c</p> --></article>") == ["T", "xy"]
+    long = "A line of text that is certainly longer than the bound of eighty characters, as it goes on and on."
+    assert m(f"<div class=menu>m</div><h1>Head</h1><p>{long}</p><p>short</p><div id=footer>f</div>") == ["Head", long, "short"]
