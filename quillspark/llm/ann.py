@@ -270,6 +270,7 @@ def nearest(vectors: DataFrame, top: int = TOP, query_step: int = QUERY_STEP) ->
     n_all = nodes.count()
     shards = max(1, min(spark.sparkContext.defaultParallelism, n_all // SHARD_LEAST), -(-n_all // SHARD_ROWS))
     dealt = nodes.join(norms.select("dim", "norm"), "dim").withColumn("shard", F.pmod(F.col("k1"), F.lit(shards)))
+    dealt = dealt.repartitionByRange(shards, "dim", "shard")  # one shard a task; the groups below need no other exchange
     built = materialise(dealt.groupBy("dim", "shard").applyInPandas(_build_with(scratch(spark, "graphs")), "dim int, path string, nodes long"), "graphs")
 
     # Distinct query vectors, each to every graph of its length.
