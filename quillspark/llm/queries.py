@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontaminate, html_text, neardup, packing, pii, secrets, sstable, toxicity
+from . import ann, chat, decontaminate, html_text, neardup, packing, pii, secrets, sql, sstable, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +28,8 @@ def op4_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("longest_match", "longest_start")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +64,9 @@ QUERIES = {
     "op9_nearest": op9_nearest,
     "op10_chat": op10_chat,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_secrets": sql.SECRETS,
+    "op3_html_text": sql.PAGES,
+    "op5_decontaminate": sql.CONTAMINATION,
+    "op8_near_duplicates": sql.NEAR,
+}

@@ -203,13 +203,14 @@ def _write_with(folder: str, path: str, end_id: int):
                     doc = None if pd.isna(doc) else int(doc)
                     if writer is None:
                         out = fs.open_output_stream(at)
-                        writer, first = Writer(out, len(encoder.closes) > 1 << 16), doc
+                        writer = Writer(out, len(encoder.closes) > 1 << 16)
                     elif doc == last:
                         nth += 1
                     if doc != last:
                         nth = 0
                     writer.add(key_of(doc, nth), np.frombuffer(raw + end, dtype="<u4"))
                     last = doc
+                    first = doc if first is None else first  # null isn't in the file's range of ids
         if writer is not None:
             writer.close()
             out.close()
