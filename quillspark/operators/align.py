@@ -135,3 +135,50 @@ def caption_pages(figures: DataFrame, pages: DataFrame) -> DataFrame:
     rank = F.when(F.regexp_like("t", F.concat(F.lit(r"(?im)^\s*"), head)), 0).when(F.regexp_like("t", F.concat(F.lit("(?i)"), head)), 1)
     found = joined.withColumn("rank", rank).where("rank is not null").groupBy("doc_id", "kind", "number").agg(F.min(F.struct("rank", "p"))["p"].alias("found"))
     return figures.join(found, ["doc_id", "kind", "number"], "left").select("doc_id", "kind", "number", F.coalesce("found", "page").alias("page"))
+
+
+@F.pandas_udf(T.DoubleType())
+def likeness(needle, candidate):
+    """Share of both texts in matching runs, for pairs that no containment decides."""
+    from difflib import SequenceMatcher
+
+    import pandas as pd
+
+    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(needle, candidate, strict=True)], dtype="float64")
+
+
+def locate_without_alignment(selections: DataFrame, sources: DataFrame, targets: DataFrame, least: float = 0.18) -> DataFrame:
+    """The target block at the place of a selection's best source block, for documents without alignment.
+
+    The first source block that contains the selection, or is contained in it with more than
+    20 characters; else the likeliest one from ``least`` on; else the one at the page ratio.
+    selections: n_id, doc_id, selected, page_ratio; sources, targets: doc_id, idx, text.
+    """
+    sizes = sources.groupBy("doc_id").agg(F.count("*").alias("n")).join(targets.groupBy("doc_id").agg(F.count("*").alias("m")), "doc_id")
+    asked = selections.withColumn("needle", F.left(X.match_key("selected"), F.lit(1200)))
+    keyed = sources.select("doc_id", "idx", X.match_key("text").alias("key"))
+    pairs = asked.where("needle != ''").join(keyed, "doc_id")
+    inside = F.contains(F.col("key"), F.col("needle")) | ((F.length("key") > 20) & F.contains(F.col("needle"), F.col("key")))
+    first = pairs.where(inside).groupBy("n_id").agg(F.min("idx").alias("idx"))
+    rest = pairs.join(first, "n_id", "left_anti").withColumn("like", likeness(F.left("needle", F.lit(400)), F.left("key", F.lit(1200))))
+    near = rest.groupBy("n_id").agg(F.max(F.struct("like", (-F.col("idx")).alias("i"))).alias("b")).where(F.col("b.like") >= least).select("n_id", (-F.col("b.i")).alias("idx"))
+    found = asked.join(sizes, "doc_id").join(first.unionByName(near), "n_id", "left")
+    idx = F.coalesce("idx", F.bround(X.clamp(F.col("page_ratio")) * (F.col("n") - 1), 0).cast("long"))
+    ratio = F.col("at") / F.greatest(F.lit(1), F.col("n") - 1)
+    placed = found.withColumn("at", idx).select("n_id", "doc_id", "at", ratio.alias("position"), F.bround(ratio * (F.col("m") - 1), 0).cast("long").alias("idx"))
+    return placed.join(targets.select("doc_id", "idx", F.left(X.plain("text"), F.lit(1200)).alias("target")), ["doc_id", "idx"]).select("n_id", "doc_id", F.col("at").alias("source_idx"), "idx", "position", "target")
+
+
+def notes(annotations: DataFrame, entries: DataFrame) -> DataFrame:
+    """doc_id, text: the notes of a document in order of creation, each with its translated counterpart if one is found.
+
+    annotations: id, doc_id, page, quote, note, position_ratio, created_at; entries: doc_id, idx, position, original, translated.
+    """
+    asked = annotations.select(F.col("id").alias("n_id"), "doc_id", F.col("quote").alias("selected"), F.col("position_ratio").alias("page_ratio"))
+    told = locate(asked, entries).join(entries.select("doc_id", "idx", X.plain("translated").alias("told")), ["doc_id", "idx"]).select(F.col("n_id").alias("id"), F.left("told", F.lit(1600)).alias("told"))
+    w = Window.partitionBy("doc_id").orderBy("created_at", "id")
+    rows = annotations.join(told, "id", "left").withColumn("nth", F.row_number().over(w))
+    part = lambda head, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit("\n\n" + head), c)).otherwise("")
+    text = F.concat(F.format_string("## %d. 第 %d 页\n\n> ", "nth", "page"), F.col("quote"), part("译文：", F.col("told")), part("**笔记**：", F.col("note")))
+    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("nth", text.alias("t")))).alias("l"))
+    return listed.select("doc_id", F.array_join(F.transform("l", lambda s: s["t"]), "\n\n").alias("text"))

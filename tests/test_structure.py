@@ -212,3 +212,23 @@ def test_capped_mean_is_the_fold(spark):
         avg += (x - avg) / min(n, 20)
     got = P.capped_mean(spark.createDataFrame([("k", i, x) for i, x in enumerate(xs)], "k string, o long, x double"), "k", "x", ["o"]).first()
     assert abs(got["avg"] - avg) < 1e-9 and got["n"] == 57
+
+
+def test_fallback_and_notes(spark):
+    src = spark.createDataFrame([(1, i, t) for i, t in enumerate(["first block of the text", "second block about cats", "third part on dogs", "fourth end"])], "doc_id long, idx long, text string")
+    tgt = spark.createDataFrame([(1, i, t) for i, t in enumerate(["eins", "# zwei", "drei"])], "doc_id long, idx long, text string")
+    sel = spark.createDataFrame([(1, 1, "BLOCK about", 0.0), (2, 1, "third part of dogz", 0.0), (3, 1, "", 1.0), (4, 1, "QQQQ", 0.5)], "n_id long, doc_id long, selected string, page_ratio double")
+    got = {r.n_id: (r.source_idx, r.idx, r.target) for r in A.locate_without_alignment(sel, src, tgt).collect()}
+    assert got == {1: (1, 1, "zwei"), 2: (2, 1, "zwei"), 3: (3, 2, "drei"), 4: (2, 1, "zwei")}
+    e = spark.createDataFrame([(1, 0, 0.0, "a phrase to be quoted here", "ein **Satz**")], "doc_id long, idx long, position double, original string, translated string")
+    a = spark.createDataFrame([(2, 1, 3, "phrase to be quoted", "mine", 0.0, "2024-01-02"), (1, 1, 1, "unknown words 77", None, 0.0, "2024-01-01")], "id long, doc_id long, page int, quote string, note string, position_ratio double, created_at string")
+    assert A.notes(a, e).first()["text"] == "## 1. 第 1 页\n\n> unknown words 77\n\n## 2. 第 3 页\n\n> phrase to be quoted\n\n译文：ein Satz\n\n**笔记**：mine"
+
+
+def test_names_and_failures(spark):
+    n = lambda a, b: one(spark, X.display_filename(F.col("a"), F.col("b")), "a string, b string", a, b)
+    assert n(" my:paper.txt ", "x.PDF") == "my_paper.pdf" and n("plain", "x.md") == "plain.pdf" and n("a/b", "x.pdf") is None and n(" . ", "x.pdf") is None and n("a.md", "b.md") == "a.md"
+    f = one(spark, X.failure(F.lit("translate"), F.col("x"), F.lit(True)), "x string", "Chunk 12 failed")
+    assert tuple(f) == ("translate", "Chunk 12 failed", 12, True)
+    g = D.glossary_misses(spark.createDataFrame([(1, "cat", "Katze")], "doc_id long, source string, target string"), spark.createDataFrame([(1, "A cat", "Katze"), (1, "Cats", "Hund"), (1, "dog", "x")], "doc_id long, original string, translated string"))
+    assert [(r.used, r.missed) for r in g.collect()] == [(2, 1)]
