@@ -1,9 +1,9 @@
 """Benchmark decontamination with suffix arrays over the training text (operator 5).
 
-Each batch of documents is one shard.  Its words become integer codes (0: a word that
-no benchmark item has), and a suffix array is built over the stretches of known words
-that are long enough to hold a window; every other suffix could never match a test
-suffix.  Prefix doubling ranks the suffixes to 16 words, which is more than the 13 of a
+Each run of documents of a few million characters is one shard.  Its words become integer
+codes (0: a word that no benchmark item has), and a suffix array is built over the
+stretches of known words that are long enough to hold a window; every other suffix could
+never match a test suffix.  Prefix doubling ranks the suffixes to 16 words, which is more than the 13 of a
 window.  Every suffix of the test items is binary-searched in it; the ranges give all
 occurrences of each window, and from there the longest verbatim match and its place.
 
@@ -25,10 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import as_text
+from .tokens import slices
 
 WINDOW = 13
 #: Most words of benchmark items in one broadcast block (about 50 MB).
 BLOCK_WORDS = 1_000_000
+#: Characters of the documents in one shard, about; a longer document is a shard of its own.
+SHARD_CHARS = 3_000_000
 #: Most words in a suffix array.
 SHARD_WORDS = 2_000_000
 
@@ -203,39 +206,42 @@ def _row(n_words: int, hit: np.ndarray | None, names) -> tuple:
 def _frames_with(blocks):
     """The per-batch function; ``blocks`` are the broadcast blocks, searched one after another."""
 
+    def part_of(doc_ids, texts: list[str]) -> pd.DataFrame:
+        per: dict[int, list] = {}
+        counts, names, shift = None, [], 0
+        for b in blocks:
+            items = b.value
+            counts, hits = find(texts, items)
+            for h in hits:
+                h[:, 3] += len(names)
+                h[:, 4] += shift
+                h = h[np.argsort(h[:, 0], kind="stable")]
+                cut = np.flatnonzero(np.diff(h[:, 0])) + 1
+                for part in np.split(h, cut):
+                    per.setdefault(int(part[0, 0]), []).append(part)
+            names += items.names
+            shift += len(items.flat)
+        if counts is None:
+            counts = np.array([len(words_of(t)) for t in texts], dtype=np.int64)
+        rows = [_row(int(n), np.concatenate(per[k]) if k in per else None, names) for k, n in enumerate(counts)]
+        return pd.DataFrame(
+            {
+                "doc_id": doc_ids,
+                "n_words": counts,
+                "n_hit": [r[0] for r in rows],
+                "n_items": [r[1] for r in rows],
+                "items_sha256": [r[2] for r in rows],
+                "contaminated": [r[3] for r in rows],
+                "longest_match": [r[4] for r in rows],
+                "longest_start": pd.array([r[5] for r in rows], dtype="Int64"),
+            }
+        )
+
     def run(frames):
         for f in frames:
             texts = [as_text(t) for t in f["text"]]
-            per: dict[int, list] = {}
-            counts, names, shift = None, [], 0
-            for b in blocks:
-                items = b.value
-                counts, hits = find(texts, items)
-                for h in hits:
-                    h[:, 3] += len(names)
-                    h[:, 4] += shift
-                    order = np.argsort(h[:, 0], kind="stable")
-                    h = h[order]
-                    cut = np.flatnonzero(np.diff(h[:, 0])) + 1
-                    for part in np.split(h, cut):
-                        per.setdefault(int(part[0, 0]), []).append(part)
-                names += items.names
-                shift += len(items.flat)
-            if counts is None:
-                counts = np.array([len(words_of(t)) for t in texts], dtype=np.int64)
-            rows = [_row(int(n), np.concatenate(per[k]) if k in per else None, names) for k, n in enumerate(counts)]
-            yield pd.DataFrame(
-                {
-                    "doc_id": f["doc_id"].astype("Int64"),
-                    "n_words": counts,
-                    "n_hit": [r[0] for r in rows],
-                    "n_items": [r[1] for r in rows],
-                    "items_sha256": [r[2] for r in rows],
-                    "contaminated": [r[3] for r in rows],
-                    "longest_match": [r[4] for r in rows],
-                    "longest_start": pd.array([r[5] for r in rows], dtype="Int64"),
-                }
-            )
+            for a, b in slices(texts, SHARD_CHARS):
+                yield part_of(f["doc_id"].iloc[a:b].astype("Int64").array, texts[a:b])
 
     return run
 

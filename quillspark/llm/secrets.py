@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import as_text
+from .tokens import slices
 
 # The base rules of the contract; (kind, expression, any case, group, least length).
 # "group" is the index of the part in "<...>" whose length counts, or 0 for the whole match.
@@ -324,8 +325,12 @@ def _tail_length(data: bytes, start: int, end: int) -> int:
     return end - i
 
 
-def scan(texts: list[str]) -> list[list[tuple[int, int, int]]]:
+def scan(texts: list[str], chars: int = 6_000_000) -> list[list[tuple[int, int, int]]]:
     """(start, end, rule) in code points for every text, sorted by start, then rule."""
+    return [found for a, b in slices(texts, chars) for found in _scan(texts[a:b])]
+
+
+def _scan(texts: list[str]) -> list[list[tuple[int, int, int]]]:
     docs = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = b"\n".join(docs) + b"\n"  # a new line brings every state home
     buf = np.frombuffer(data, dtype=np.uint8)

@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Most chunks a worker remembers; later ones are encoded again.
-MEMO_CHUNKS = 1_200_000
+MEMO_CHUNKS = 900_000
 TOKENIZER = "word_bpe_49k.json"
 
 # Letters that the tokenizer's steps only lower: ASCII and Latin-1 letters.
@@ -99,7 +99,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def slices(texts: list[str], chars: int = 4_000_000):
+def slices(texts: list[str], chars: int = 1_000_000):
     """Runs of texts of about so many characters, so that a batch of long texts stays small."""
     begin, size = 0, 0
     for k, t in enumerate(texts):
