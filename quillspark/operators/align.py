@@ -80,6 +80,20 @@ def candidates(needles: DataFrame, entries: DataFrame) -> DataFrame:
     return sampled.unionByName(inside).unionByName(short).distinct()
 
 
+def containing(needles: DataFrame, entries: DataFrame, direct: int = 5_000) -> DataFrame:
+    """Pairs of one document where one key contains the other.
+
+    A document's needles meet its entries by an equi-join; only in documents of more than
+    ``direct`` entries are the pairs found by grams, which costs a row for every gram.
+    """
+    cand = entries.where("candidate != ''")
+    large = cand.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > direct).select("doc_id")
+    n, c = F.col("needle"), F.col("candidate")
+    near = needles.join(large, "doc_id", "left_anti").join(cand.select("doc_id", "idx", "candidate"), "doc_id")
+    near = near.where(F.contains(c, n) | F.contains(n, c)).select("n_id", "doc_id", "idx")
+    return near.unionByName(candidates(needles.join(large, "doc_id", "left_semi"), cand.join(large, "doc_id", "left_semi")).select("n_id", "doc_id", "idx"))
+
+
 def locate(selections: DataFrame, entries: DataFrame, partial: bool = True) -> DataFrame:
     """The best entry of a selection's document, if good enough.
 
@@ -89,7 +103,7 @@ def locate(selections: DataFrame, entries: DataFrame, partial: bool = True) -> D
     """
     needles = selections.withColumn("needle", F.left(X.match_key("selected"), F.lit(NEEDLE))).where("needle != ''")
     keyed = entries.withColumn("candidate", X.match_key("original"))
-    pairs = candidates(needles, keyed).join(needles.select("n_id", "needle", "page_ratio"), "n_id").join(keyed.select("doc_id", "idx", "position", "candidate"), ["doc_id", "idx"])
+    pairs = (candidates if partial else containing)(needles, keyed).join(needles.select("n_id", "needle", "page_ratio"), "n_id").join(keyed.select("doc_id", "idx", "position", "candidate"), ["doc_id", "idx"])
     exact = score(F.col("needle"), F.col("candidate"))
     pairs = pairs.withColumn("score", exact)
     if partial:
