@@ -89,7 +89,7 @@ def suffix_array(codes: np.ndarray, places: np.ndarray, depth: int = 16) -> np.n
     n = len(codes)
     rank = codes.astype(np.int64)
     step = 1
-    while step < depth:
+    while step < min(depth, n):
         after = np.zeros(n, dtype=np.int64)
         after[: n - step] = rank[step:]
         key = rank * (rank.max() + 1) + after

@@ -81,6 +81,15 @@ def test_contamination_equals_windows(seed):
     assert list(got[["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]].itertuples(index=False, name=None)) == windows(texts, items)
 
 
+@pytest.mark.parametrize("n", range(1, 7))
+def test_contamination_of_one_short_text(n):
+    item = " ".join(f"w{i}" for i in range(n))
+    texts = [[item], ["zero " + item + " end"], [item + " zero " + item], [item, item], ["w0"]]
+    for t in texts:
+        got = decontaminated(t, [("1", item)])
+        assert list(got[["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]].itertuples(index=False, name=None)) == windows(t, [("1", item)])
+
+
 def test_longest_match():
     item = " ".join(f"w{i}" for i in range(30))
     got = decontaminated(["zero one " + " ".join(f"w{i}" for i in range(4, 26)) + " end"], [("1", item)])
