@@ -1,8 +1,10 @@
 """Format-preserving pseudonyms for personal data, with Spark expressions only (operator 7).
 
 One regular expression finds candidates for mail addresses, card, phone and social security
-numbers, IBANs, IPv4 addresses and dates; each is validated (Luhn, mod 97, numbering-plan
-and calendar rules), and what is no such value stays as it is.  A valid value is written as
+numbers, IBANs, IPv4 addresses and dates at every place of the text; each is validated (Luhn,
+mod 97, numbering-plan and calendar rules), and what is no such value stays as it is.  Digits or
+capitals behind a card or an IBAN are told from it at the borders of groups and are searched
+on their own.  A valid value is written as
 a list of digits in given bases, and a keyed Feistel network over the two halves of the list
 permutes it within all lists of these bases.  Written back, it has the same length, signs
 and separators and passes the same validation; check digits are computed anew.  The same
@@ -39,9 +41,20 @@ FORMS = {
     "ssn": r"(?<![0-9A-Za-z-])[0-8][0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "ip": rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
+    # A short last group that goes on behind a point or slash begins another value.
+    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])(?!(?<=[ -][0-9]{1,3})[./][0-9])",
 }
-PATTERN = "|".join(f"(?:{p})" for p in FORMS.values()).replace(r"\1", r"[/.]").replace("([/.])", "[/.]")
+_ANY = "|".join(f"(?:{p})" for p in FORMS.values()).replace(r"\1", r"[/.]").replace("([/.])", "[/.]")
+#: One character, and from it on the longest text of the first form that is met there.
+PATTERN = rf"(?=({_ANY}))[\s\S]"
+#: Length of an IBAN in the countries of the registry.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28"
+    " IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24"
+    " SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+)
+#: Elements in one part of the list that a scan builds.
+PART = 512
 
 
 def _chars(s: Column) -> Column:
@@ -148,6 +161,76 @@ def kind_of(m: Column) -> Column:
     )
 
 
+def _prefixes(m: Column) -> Column:
+    """The beginnings of a candidate that end where one of its groups does, shortest first."""
+    parts = lambda p: F.transform(p, lambda _, k: F.left(m, F.length(F.array_join(F.slice(p, F.lit(1), k + 1), "-"))))
+    return let(F.split(m, "[ -]"), parts)
+
+
+def value_at(m: Column) -> Column:
+    """(sure, loose): the value that begins a candidate, and what is one only if the candidate is taken whole.
+
+    Other digits or capitals may follow a card or an IBAN.  A card is the shortest valid
+    beginning whose groups, but for the last, have four digits at least; an IBAN is the valid
+    one of its country's length, or else the longest.  Cards in other groups are valid only as a whole.
+    """
+    none = F.struct(F.lit("").alias("text"), F.lit("").alias("kind"))
+    text = lambda t, kind: F.struct(t.alias("text"), F.lit(kind).alias("kind"))
+    bare = lambda p: F.replace(p, F.lit(" "), F.lit(""))
+    of_land = lambda p: F.contains(F.lit(IBAN_LENGTHS), F.concat(F.left(p, F.lit(2)), F.length(bare(p)).cast("string")))
+    ibans = F.filter(_prefixes(m), lambda p: p.rlike("^(?:" + FORMS["iban"] + ")$") & (kind_of(p) == "iban"))
+    iban = let(ibans, lambda a: F.coalesce(F.get(F.filter(a, of_land), 0), F.get(F.reverse(a), 0)))
+    cards = F.filter(_prefixes(m), lambda p: p.rlike("^(?:[0-9]{4,}[ -])*[0-9]+$") & F.length(_digits(p)).between(13, 19) & (_luhn(_digits(p)) % 10 == 0))
+    card = F.get(cards, 0)
+
+    def told(kind: Column) -> Column:
+        first = F.when(m.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9 ]*$"), let(iban, lambda p: F.when(p.isNull(), none).otherwise(text(p, "iban"))))
+        first = first.when(m.rlike("^[0-9][0-9 -]*$") & kind.isin("", "card"), let(card, lambda p: F.when(p.isNull(), none).otherwise(text(p, "card"))))
+        first = first.otherwise(F.struct(F.when(kind != "", m).otherwise("").alias("text"), kind.alias("kind")))
+        return F.struct(first.alias("sure"), (kind == "card").alias("loose"))
+
+    return let(kind_of(m), told)
+
+
+def scan(text: Column) -> Column:
+    """(head, elements): the text before the first candidate, and for each candidate's beginning the
+    value that is taken there ('' for none), its kind, and the text up to the next beginning without
+    what a value covers.  Left to right, no two values overlap, and what no value covers is tried again.
+    """
+    starts = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(1))
+
+    def cut(s: Column) -> Column:
+        gaps = s["gaps"]
+        parts = F.zip_with(s["starts"], F.slice(gaps, F.lit(2), F.size(s["starts"])), lambda m, g: F.struct(m.alias("m"), F.concat(F.left(m, F.lit(1)), g).alias("rest"), value_at(m).alias("value")))
+        item = "struct<text:string,kind:string,rest:string>"
+        begin = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("tried"), F.array().cast(f"array<array<{item}>>").alias("parts"), F.array().cast(f"array<{item}>").alias("part"))
+
+        def step(a: Column, x: Column) -> Column:
+            sure, whole = x["value"]["sure"], x["value"]["loose"] & (a["tried"] <= 0)
+            # A part of a value that was taken is no value, and a whole that failed is tried again only in groups.
+            taken = F.when(a["covered"] > 0, F.struct(F.lit("").alias("text"), F.lit("").alias("kind"))).when(sure["kind"] != "", sure).when(whole, F.struct(x["m"].alias("text"), F.lit("card").alias("kind")))
+            taken = taken.otherwise(F.struct(F.lit("").alias("text"), F.lit("").alias("kind")))
+
+            def go_on(v: Column) -> Column:
+                size = F.length(x["rest"])
+                covered = F.when(v["kind"] != "", F.length(v["text"])).otherwise(a["covered"])
+                tried = F.when(v["kind"] != "", 0).when((a["covered"] <= 0) & (a["tried"] <= 0), F.length(x["m"])).otherwise(a["tried"])
+                one = F.array(F.struct(v["text"].alias("text"), v["kind"].alias("kind"), F.substring(x["rest"], covered + 1, size).alias("rest")))
+                full = F.size(a["part"]) >= PART  # whole parts are set aside: adding to one long list would copy it each time
+                return F.struct(
+                    F.greatest(F.lit(0), covered - size).alias("covered"),
+                    F.greatest(F.lit(0), tried - size).alias("tried"),
+                    F.when(full, F.concat(a["parts"], F.array(a["part"]))).otherwise(a["parts"]).alias("parts"),
+                    F.when(full, one).otherwise(F.concat(a["part"], one)).alias("part"),
+                )
+
+            return let(taken, go_on)
+
+        return F.struct(F.get(gaps, 0).alias("head"), F.aggregate(parts, begin, step, lambda a: F.flatten(F.concat(a["parts"], F.array(a["part"])))).alias("elements"))
+
+    return let(F.struct(starts.alias("starts"), F.split(text, PATTERN, -1).alias("gaps")), cut)
+
+
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     head = F.regexp_extract(m, r"^(.*)(\.[A-Za-z]+)$", 1)
     tail = F.regexp_extract(m, r"^(.*)(\.[A-Za-z]+)$", 2)
@@ -190,11 +273,9 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """doc_id, the new text, and how many values of each kind were replaced."""
     df = docs.select("doc_id", "text")
-    df = df.withColumn("_found", F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("_kinds", F.transform("_found", kind_of))
-    df = df.withColumn("_new", F.zip_with("_found", "_kinds", lambda m, k: pseudonym(m, k, key)))
-    pieces = F.zip_with(F.split("text", PATTERN, -1), "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    many = lambda kind: F.coalesce(F.size(F.filter("_kinds", lambda k: k == kind)), F.lit(0))
+    df = df.withColumn("_scan", F.when(F.col("text").rlike(_ANY), scan(F.col("text"))))
+    pieces = F.transform("_scan.elements", lambda e: F.concat(pseudonym(e["text"], e["kind"], key), e["rest"]))
+    many = lambda kind: F.coalesce(F.size(F.filter("_scan.elements", lambda e: e["kind"] == kind)), F.lit(0))
     counts = [many(kind).cast("long").alias(f"n_{kind}") for kind in KINDS]
-    any_ = F.exists("_kinds", lambda k: k != "")
-    return df.select("doc_id", F.when(any_, F.array_join(pieces, "")).otherwise(F.col("text")).alias("text"), *counts)
+    any_ = F.exists("_scan.elements", lambda e: e["kind"] != "")
+    return df.select("doc_id", F.when(any_, F.concat("_scan.head", F.array_join(pieces, ""))).otherwise(F.col("text")).alias("text"), *counts)

@@ -202,6 +202,35 @@ def test_pseudonyms(spark, docs, none):
     assert pii.pseudonymise(none).count() == 0 and pii.pseudonymise(docs).count() == len(ROWS)
 
 
+def test_pseudonyms_beside_other_digits(spark):
+    card, iban = "4069394737303146", "ES9121000418450200051332"
+    cases = [
+        (f"{card} 12/27", [card], "card", " 12/27"),
+        (f"{card} 123", [card], "card", " 123"),
+        (f"{card} 97.51.17.173", [card, "97.51.17.173"], "card ip", ""),
+        (f"4069 3947 3730 3146 123 {card}", ["4069 3947 3730 3146", card], "card card", ""),
+        (f"7 {card}", [card], "card", ""),
+        ("11 22 33 44 55 66 77 4069 3947 3730 3146 5", ["4069 3947 3730 3146"], "card", " 5"),
+        ("371449635398431 123-45-6789", ["371449635398431", "123-45-6789"], "card ssn", ""),
+        ("371449635398431 2020-02-29", ["371449635398431", "2020-02-29"], "card date", ""),
+        (f"{iban} 10 euros", [iban], "iban", " 10 euros"),
+        ("AT61 1904 3002 3457 3201 OK", ["AT61 1904 3002 3457 3201"], "iban", " OK"),
+        (f"AT61 1904 3002 3457 3201 4069 3947 3730 3146 {card}", ["AT61 1904 3002 3457 3201", "4069 3947 3730 3146", card], "iban card card", ""),
+        ("AB12 CDEF AT61 1904 3002 3457 3201", ["AT61 1904 3002 3457 3201"], "iban", ""),
+        ("x 40 69 39 47 37 30 31 46, é😀 4069394737303147 12", ["40 69 39 47 37 30 31 46"], "card", ", é😀 4069394737303147 12"),
+        (" ".join([card, "é", "1.2.3.4"] * 700), [card, "1.2.3.4"], "card ip " * 700, ""),
+    ]
+    d = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)] + [(99, card)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(d, "k").collect()}
+    for i, (text, gone, kinds, end) in enumerate(cases):
+        new = got[i].text
+        assert {k: got[i][f"n_{k}"] for k in pii.KINDS} == {k: kinds.split().count(k) for k in pii.KINDS}, text[:80]
+        assert not any(g in new for g in gone) and new.endswith(end), text[:80]
+        assert card not in text.split() or new.split()[text.split().index(card)] == got[99].text, text[:80]
+        if "ip" not in kinds:
+            assert len(new) == len(text)
+
+
 def test_feistel_is_a_permutation(spark):
     pair = F.array((F.col("id") / 261).cast("int"), (F.col("id") % 261).cast("int"))
     d = spark.range(280 * 261).select(pii.feistel(pair, F.array(F.lit(280), F.lit(261)), "k", "date").alias("v"))
