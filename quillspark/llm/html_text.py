@@ -6,13 +6,17 @@ forms, scripts, styles and reader comments (told by element, role, class or id)
 nothing.  Weights are summed over sliding windows of ``WINDOW`` lines: where the sum first
 rises over the bound is a surge point, where it falls to nothing again a dive point, and
 the text between them is kept.  Inside an ``article`` or ``main`` element the bound is one
-character, so no short block of it is lost; a page without one is bounded by
-``SURGE`` and keeps its heaviest stretch, with the headings right before it.
+character, so no short block of it is lost.  On a page without one the stretches above
+``SURGE`` only tell the content's container, the innermost element that holds all of them
+and more than one block: all of its text but furniture is kept, with the headings right
+before it.  If nothing reaches the bound, the whole page is the container.  There, blocks that
+are wholly links are dropped before the first and behind the last other text, unless they
+share a container of their own with text.
 
 Character references are decoded, white space inside a block becomes one space (a line
 break is white space), blocks are trimmed and joined by one line feed.
 
-Defined results: null or empty html, and pages without such text, have the empty text;
+Defined results: null or empty html, and pages without text outside links, have the empty text;
 every row gives a row, a null page_id or url stays null; other columns are ignored.
 """
 
@@ -46,6 +50,7 @@ HINTS = set(
     " nav navbar navigation menu breadcrumb breadcrumbs sidebar complementary widget widgets footer header masthead contentinfo topbar toolbar share sharing social"
     " related recommended newsletter subscribe subscription signup login search form comment comments disqus respond replies discussion pagination pager".split()
 )
+CONTAINERS = set("html body div section table tbody tr td center blockquote".split())
 _KEEP_HEADER = {"article", "entry", "post", "story"}
 
 _TOKEN = re.compile(
@@ -83,31 +88,34 @@ def _furniture(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, weight, in an article, heading) of every block; furniture is an empty line."""
-    out: list[tuple[str, int, bool, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, bool, tuple[int, ...]]]:
+    """(text, weight, in an article, heading, numbers of the open containers) of every block; furniture is an empty line."""
+    out: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool]] = []  # open elements; whether each is furniture
-    skip = articles = links = headings = 0
+    inner: list[int] = []  # the open containers
+    skip = articles = links = headings = opened = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append((text, max(0, len(text) - linked), articles > 0, headings > 0))
+            out.append((text, max(0, len(text) - linked), articles > 0, headings > 0, tuple(inner)))
         parts.clear()
         linked = 0
 
     def pop() -> None:
         nonlocal skip, articles, links, headings
         name, bad = stack.pop()
+        if name in CONTAINERS:
+            inner.pop()
         skip -= bad
         articles -= name in ("article", "main")
         links -= name == "a"
         headings -= len(name) == 2 and name[0] == "h" and name[1] in "123456"
         if bad and not skip:
-            out.append(("", 0, articles > 0, False))
+            out.append(("", 0, articles > 0, False, tuple(inner)))
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -147,6 +155,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if skip and not bad:
             bad = False
         stack.append((name, bad))
+        if name in CONTAINERS:
+            opened += 1
+            inner.append(opened)
         skip += bad
         articles += name in ("article", "main")
         links += name == "a"
@@ -158,16 +169,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
 
 
 def main_text(page: str) -> list[str]:
-    """The blocks between surge and dive points."""
+    """The blocks between surge and dive points, or of the container that these tell."""
     lines = lines_of(page)
-    inside = any(text and art for text, _, art, _ in lines)
+    inside = any(text and art for text, _, art, *_ in lines)
     if inside:
-        weight = np.array([len(text) if art else 0 for text, _, art, _ in lines], dtype=np.int64)
+        weight = np.array([len(text) if art else 0 for text, _, art, *_ in lines], dtype=np.int64)
     else:
-        weight = np.array([w for _, w, _, _ in lines], dtype=np.int64)
+        weight = np.array([w for _, w, *_ in lines], dtype=np.int64)
     if not weight.sum():
         return []
-    bound = 1 if inside else min(SURGE, int(weight.sum()))
+    bound = 1 if inside else SURGE
     n = len(weight)
     total = np.concatenate([[0], np.cumsum(weight), np.full(WINDOW, weight.sum())])
     window = total[WINDOW : WINDOW + n] - total[:n]  # of the lines from each line on
@@ -184,14 +195,39 @@ def main_text(page: str) -> list[str]:
             i = max(dive, i + 1)
         else:
             i += 1
-    if not stretches:
-        return []
-    if not inside:
-        surge, dive = max(stretches, key=lambda s: (weight[s[0] : s[1]].sum(), -s[0]))
-        while surge and lines[surge - 1][3]:
-            surge -= 1
-        stretches = [(surge, dive)]
-    return [lines[k][0] for a, b in stretches for k in range(a, b) if lines[k][0] and (lines[k][2] if inside else lines[k][1] or lines[k][3])]
+    if inside:
+        return [lines[k][0] for a, b in stretches for k in range(a, b) if lines[k][0] and lines[k][2]]
+    return [lines[k][0] for k in _content(lines, stretches)]
+
+
+def _content(lines: list, stretches: list[tuple[int, int]]) -> list[int]:
+    """The lines of the container that holds all stretches."""
+    common = None
+    for a, b in stretches:
+        for text, weight, _, _, path in lines[a:b]:
+            if text and weight:
+                same = 0
+                while common is not None and same < min(len(common), len(path)) and common[same] == path[same]:
+                    same += 1
+                common = path if common is None else common[:same]
+    root = common or ()
+    told = [k for k, line in enumerate(lines) if line[0]]
+    kept = [k for k in told if lines[k][4][: len(root)] == root]
+    while root and len(kept) < 2:
+        root = root[:-1]
+        kept = [k for k in told if lines[k][4][: len(root)] == root]
+    if len(kept) == len(told):  # the whole page: link lists around the text are no part of it
+        text = [k for k in kept if lines[k][1]]
+        first, last = text[0], text[-1]
+        while first and lines[first - 1][3]:
+            first -= 1
+        homes = {lines[k][4] for k in text} - {root}  # a link that shares a text's own container is
+        shares = lambda path: any(path[:n] in homes for n in range(len(root), len(path) + 1))
+        return [k for k in kept if first <= k <= last or shares(lines[k][4])]
+    first = kept[0]
+    while first and lines[first - 1][3]:
+        first -= 1
+    return [*range(first, kept[0]), *kept]
 
 
 def _frames(frames):

@@ -234,3 +234,21 @@ def test_pages():
     assert m("<article><header><h1>T</h1></header><p>x<script>var a='</p>'</script>y</p><!-- <p>c</p> --></article>") == ["T", "xy"]
     long = "A line of text that is certainly longer than the bound of eighty characters, as it goes on and on."
     assert m(f"<div class=menu>m</div><h1>Head</h1><p>{long}</p><p>short</p><div id=footer>f</div>") == ["Head", long, "short"]
+
+
+def test_pages_without_an_article():
+    m = html_text.main_text
+    long = "A line of text that is certainly longer than the bound of eighty characters, as it goes on and on."
+    box = "<div class=advert>x</div>" * 3 + "<ul class=share><li><a href=u>s</a></ul>"
+    links = "".join(f"<li><a href=u>link {i}</a>" for i in range(3))
+    told = ["link 0", "link 1", "link 2"]
+    # Boxes, link items and short paragraphs inside the text.
+    assert m(f"<div id=top><a href=u>Site</a></div><div id=text><p>short</p>{box}<p>{long}</p>{box}<p>{long}</p><ul>{links}</ul><p>end</p>{box}<p>x</p></div><div>(c)</div>") == ["short", long, long, *told, "end", "x"]
+    assert m(f"<body><p>a</p>{box}<p>{long}</p><ul>{links}</ul><p>b</p>{box}<p>c</p></body>") == ["a", long, *told, "b", "c"]
+    # Only short paragraphs, and nothing that reaches the bound.
+    short = [f"Short paragraph {i}." for i in range(9)]
+    assert m("<div>" + "".join(f"<p>{x}</p>{box}" for x in short) + "</div>") == short
+    assert m("<div><div>one</div><div>two</div></div>") == ["one", "two"]
+    # Link lists around the text, and each paragraph in an element of its own.
+    assert m(f"<ul>{links}</ul><h1>Head</h1><div>{long}</div><div>b</div><ul>{links}</ul>") == ["Head", long, "b"]
+    assert m(f"<ul>{links}</ul><h1>Head</h1><div><p>{long}</p><p><a href=u>more</a></p></div><ul>{links}</ul>")[-2:] == [long, "more"] and m(f"<ul>{links}</ul>") == []
