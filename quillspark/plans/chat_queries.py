@@ -130,6 +130,20 @@ def best_page(spark, d):
     return A.best_page(t, pages)
 
 
+def locate_lines(spark, d):
+    """Every line, looked for with all tiers in its own document from the middle of the page; no SQL."""
+    lines = lines_(spark, d)
+    asked = lines.select(F.struct("doc_id", "pos").alias("n_id"), "doc_id", F.col("line").alias("selected"), F.lit(0.5).alias("page_ratio"))
+    return A.locate(asked, _entries(spark, d)).select("doc_id", F.col("n_id.pos").alias("pos"), "idx", F.round("confidence", 9).alias("confidence"))
+
+
+def best_page_lines(spark, d):
+    """Every line with an end that is nowhere, looked for in its document's lines at all cuts; no SQL."""
+    pages = lines_(spark, d).select("doc_id", F.col("pos").alias("page"), X.match_key("line").alias("key"))
+    asked = pages.select(F.struct("doc_id", "page").alias("t_id"), "doc_id", F.concat("key", F.lit("0000000000")).alias("needle"), F.lit(0).cast("long").alias("hint"))
+    return A.best_page(asked, pages).select("doc_id", F.col("t_id.page").alias("pos"), "page", "match")
+
+
 def neighbour_context(spark, d):
     return A.neighbours(lines_(spark, d)).select("doc_id", "pos", F.length("before").cast("long").alias("before"), F.length("behind").cast("long").alias("behind"))
 
@@ -167,7 +181,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         history_last8, session_titles, render_conversation, session_by_document, pair_validation, pair_repair, zip_align, delta_assembly, array_distinct_order,
-        token_difference, token_overlap, token_retrieval, ranked_blocks, budgeted_sources, locate_exact, best_page, neighbour_context, chunk_pack, memo_hits, memo_misses, segment_progress,
+        token_difference, token_overlap, token_retrieval, ranked_blocks, budgeted_sources, locate_exact, best_page, locate_lines, best_page_lines, neighbour_context, chunk_pack, memo_hits, memo_misses, segment_progress,
     )
 }
 
