@@ -109,6 +109,28 @@ def budgeted_sources(spark, d):
     return b.select("q_id", "label", "doc_id", "idx", F.length("content").cast("long").alias("chars"))
 
 
+def _asked_of_all(spark, d):
+    q = talk(spark, d).where("role = 'user'").select(F.struct("conv_id", "turn").alias("q_id"), F.col("text").alias("question"))
+    return q, R.retrieval_blocks(docs_(spark, d), "\n")
+
+
+def token_retrieval_all(spark, d):
+    """Every question asked of every document; no SQL."""
+    return R.token_overlap(*_asked_of_all(spark, d)).select("q_id.conv_id", "q_id.turn", "doc_id", "idx", "overlap")
+
+
+def ranked_blocks_all(spark, d):
+    r = R.rank_blocks(*_asked_of_all(spark, d))
+    return r.select("q_id.conv_id", "q_id.turn", "doc_id", "idx", F.round("position", 9).alias("position"), F.col("place").cast("long").alias("place"))
+
+
+def budgeted_sources_all(spark, d):
+    """Sources of every question from all documents, within the operator's own budget; no SQL."""
+    q, blocks = _asked_of_all(spark, d)
+    b = R.budgeted(R.rank_blocks(q, blocks), blocks)
+    return b.select("q_id.conv_id", "q_id.turn", "label", "doc_id", "idx", F.length("content").cast("long").alias("chars"))
+
+
 def _selections(spark, d):
     """Every tenth line of a document, looked for in its own lines from the middle of the page."""
     return lines_(spark, d).where("pos % 10 = 3 and length(line) >= 20").select((F.col("doc_id") * 100_000 + F.col("pos")).alias("n_id"), "doc_id", F.substring("line", 5, 60).alias("selected"), F.lit(0.5).alias("page_ratio"))
@@ -181,7 +203,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         history_last8, session_titles, render_conversation, session_by_document, pair_validation, pair_repair, zip_align, delta_assembly, array_distinct_order,
-        token_difference, token_overlap, token_retrieval, ranked_blocks, budgeted_sources, locate_exact, best_page, locate_lines, best_page_lines, neighbour_context, chunk_pack, memo_hits, memo_misses, segment_progress,
+        token_difference, token_overlap, token_retrieval, ranked_blocks, budgeted_sources, token_retrieval_all, ranked_blocks_all, budgeted_sources_all, locate_exact, best_page, locate_lines, best_page_lines, neighbour_context, chunk_pack, memo_hits, memo_misses, segment_progress,
     )
 }
 

@@ -77,3 +77,31 @@ def test_best_page_lines(spark, made):
                 cuts.add(max(found))
     assert {120, 60, 24} <= cuts
     assert {tuple(r) for r in registry.QUERIES["best_page_lines"](spark, made[0]).where("doc_id < 12").collect()} == want
+
+
+def test_retrieval_from_all_documents(spark, made):
+    import re
+
+    d, docs, talk = made
+    tokens = lambda t: {x.lower() for x in re.findall("[A-Za-z0-9_]{2,}", t)}
+    blocks = {doc: [" ".join(x.split()) for x in text.split("\n") if len(x.strip()) >= 20] for doc, text in docs}
+    overlap, ranked, sources = set(), set(), set()
+    for c, t, role, question in talk:
+        if role != "user":
+            continue
+        q, used, label = tokens(question), 0, 0
+        for doc in sorted(blocks):
+            shared = [len(q & tokens(b)) for b in blocks[doc]]
+            overlap |= {(c, t, doc, i, n) for i, n in enumerate(shared) if n}
+            best = sorted(range(len(shared)), key=lambda i: (-shared[i] - shared[i] / len(q), i))[:3]
+            for place, i in enumerate(best if 0 in best else [0, *best], 1 if 0 in best else 0):
+                ranked.add((c, t, doc, i, place))
+                chars = min(26_000 - used, 4200, len(blocks[doc][i]))
+                if chars > 0:
+                    label += 1
+                    sources.add((c, t, f"P{label}", doc, i, chars))
+                    used += chars
+    ask = lambda name, *cols: {tuple(r) for r in registry.QUERIES[name](spark, d).select("conv_id", "turn", *cols).collect()}
+    assert ask("token_retrieval_all", "doc_id", "idx", "overlap") == overlap
+    assert ask("ranked_blocks_all", "doc_id", "idx", "place") == ranked
+    assert ask("budgeted_sources_all", "label", "doc_id", "idx", "chars") == sources and {s[3] for s in sources} == set(range(13))
