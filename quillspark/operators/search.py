@@ -69,6 +69,16 @@ def find_all(blocks: DataFrame, needle: str, most: int = 500) -> DataFrame:
     return hit.withColumn("nth", rank.cast("long")).where(F.col("nth") <= most)
 
 
+def key_places(blocks: DataFrame, needle: str) -> DataFrame:
+    """doc_id, begin, stop of every occurrence, overlapping ones and across blocks too, of a needle (a key) in the joined keys."""
+    listed = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", X.match_key("line").alias("k")))).alias("l"))
+    key = F.array_join(F.transform("l", lambda s: s["k"]), "")
+    parts = listed.select("doc_id", key.alias("key")).select("doc_id", F.startswith("key", F.lit(needle)).alias("leads"), F.posexplode(F.split("key", f"(?={needle})", -1)).alias("nth", "part"))
+    before = F.coalesce(F.sum(F.length("part")).over(Window.partitionBy("doc_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hit = parts.withColumn("begin", before.cast("long")).where((F.col("nth") > 0) | F.col("leads"))  # only the first part may begin without one
+    return hit.select("doc_id", "begin", (F.col("begin") + len(needle)).alias("stop"))
+
+
 def span_overlay(blocks: DataFrame, matches: DataFrame) -> DataFrame:
     """Blocks, as spans of their document's joined key, that a match (doc_id, begin, stop) overlaps."""
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

@@ -177,6 +177,16 @@ def chunk_pack(spark, d):
     return b.groupBy("doc_id", "batch").agg(F.count("*").alias("n_lines"), F.min("pos").alias("first"))
 
 
+def chunk_pack_cut(spark, d):
+    """Like chunk_pack, with longer lines cut first, so that no chunk is above 4000 characters; no SQL."""
+    line = F.when(F.length("line") <= 4_000, F.array("line")).otherwise(G.cut_long(F.col("line"), 4_000))
+    rows = lines_(spark, d).where(X.strip("line") != "").select("doc_id", "pos", F.posexplode(line).alias("part", "piece"))
+    rows = rows.select("doc_id", F.struct("pos", "part").alias("at"), "piece")
+    b = G.greedy_batches(rows, "doc_id", "at", F.length("piece"), 4_000, 2).join(rows, ["doc_id", "at"])
+    chars = (F.sum(F.length("piece")) + 2 * (F.count("*") - 1)).cast("long")
+    return b.groupBy("doc_id", "batch").agg(F.count("*").alias("n_pieces"), F.min("at.pos").alias("first"), chars.alias("chars"))
+
+
 def _memo(spark, d):
     """Half of the distinct lines are known."""
     seen = lines_(spark, d).select("line").distinct().where(F.pmod(F.length("line"), F.lit(2)) == 0)
@@ -203,7 +213,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         history_last8, session_titles, render_conversation, session_by_document, pair_validation, pair_repair, zip_align, delta_assembly, array_distinct_order,
-        token_difference, token_overlap, token_retrieval, ranked_blocks, budgeted_sources, token_retrieval_all, ranked_blocks_all, budgeted_sources_all, locate_exact, best_page, locate_lines, best_page_lines, neighbour_context, chunk_pack, memo_hits, memo_misses, segment_progress,
+        token_difference, token_overlap, token_retrieval, ranked_blocks, budgeted_sources, token_retrieval_all, ranked_blocks_all, budgeted_sources_all, locate_exact, best_page, locate_lines, best_page_lines, neighbour_context, chunk_pack, chunk_pack_cut, memo_hits, memo_misses, segment_progress,
     )
 }
 

@@ -35,6 +35,14 @@ def history_order(spark, d):
     return o.select("o_orderkey", F.row_number().over(w).cast("long").alias("place"))
 
 
+def history_order_all(spark, d):
+    """Library order of every owner; no SQL."""
+    o = orders(spark, d)
+    at = F.coalesce(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")), F.col("o_orderdate"))
+    w = Window.partitionBy("o_custkey").orderBy(at.desc(), F.desc("o_orderdate"), "o_orderkey")
+    return o.select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("place"))
+
+
 def summaries(spark, d):
     o = orders(spark, d).withColumn("translated", F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")))
     return o.select("o_orderkey", "o_orderstatus", F.col("translated").isNotNull().alias("has_translated"))
@@ -142,7 +150,7 @@ def resume_frontier(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        owner_docs, visible_docs, status_gate, history_order, summaries, membership, favourites, priority_union, delete_by_key, latest_state, upsert_view, session_validity,
+        owner_docs, visible_docs, status_gate, history_order, history_order_all, summaries, membership, favourites, priority_union, delete_by_key, latest_state, upsert_view, session_validity,
         stalled_runs, review_decisions, reading_position, throttled_input, capped_mean, stage_progress, stage_eta, load_levels, resume_frontier,
     )
 }

@@ -49,6 +49,12 @@ def span_overlay(spark, d):
     return S.span_overlay(lines, matches)
 
 
+def span_overlay_all(spark, d):
+    """Spans that any occurrence of the needle in each document's joined key overlaps; no SQL."""
+    lines = lines_(spark, d)
+    return S.span_overlay(lines, S.key_places(lines, NEEDLE))
+
+
 def line_source(spark, d):
     return lines_(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("chars"))
 
@@ -97,6 +103,11 @@ def context_windows(spark, d):
     return L.context_windows(lines_(spark, d), _anchors(spark, d), 2).select("doc_id", "pos", F.length("line").cast("long").alias("chars"))
 
 
+def context_windows_20(spark, d):
+    """With the operator's own radius; no SQL."""
+    return L.context_windows(lines_(spark, d), _anchors(spark, d)).select("doc_id", "pos", F.length("line").cast("long").alias("chars"))
+
+
 def distinct_anchors(spark, d):
     return _anchors(spark, d).select("doc_id", F.floor(F.col("pos") / 5).cast("long").alias("block")).dropDuplicates().orderBy("doc_id", "block")
 
@@ -159,8 +170,8 @@ def group_caps(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        library_search, find_all, span_overlay, line_source, repeated_lines, lines_kept, heading_lines, page_segments, line_positions, char_coverage, uncovered_chars,
-        marker_counts, rewrite_audit, context_windows, distinct_anchors, html_blocks, html_markdown, outline_parents, tag_balance, ingest_new, evolve_schema,
+        library_search, find_all, span_overlay, span_overlay_all, line_source, repeated_lines, lines_kept, heading_lines, page_segments, line_positions, char_coverage, uncovered_chars,
+        marker_counts, rewrite_audit, context_windows, context_windows_20, distinct_anchors, html_blocks, html_markdown, outline_parents, tag_balance, ingest_new, evolve_schema,
         metadata_fill, tier_fallback, union_kinds, group_caps,
     )
 }

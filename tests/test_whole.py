@@ -105,3 +105,39 @@ def test_retrieval_from_all_documents(spark, made):
     assert ask("token_retrieval_all", "doc_id", "idx", "overlap") == overlap
     assert ask("ranked_blocks_all", "doc_id", "idx", "place") == ranked
     assert ask("budgeted_sources_all", "label", "doc_id", "idx", "chars") == sources and {s[3] for s in sources} == set(range(13))
+
+
+def test_overlay_of_every_match(spark, made):
+    want = set()
+    for doc, text in made[1]:
+        keys = [key(x) for x in lines_of(text)]
+        joined, ends = "".join(keys), [sum(map(len, keys[: i + 1])) for i in range(len(keys))]
+        for b in (i for i in range(len(joined)) if joined.startswith("theand", i)):
+            want |= {(doc, b, b + 6, p) for p, e in enumerate(ends) if keys[p] and e - len(keys[p]) < b + 6 and e > b}
+    got = {tuple(r) for r in registry.QUERIES["span_overlay_all"](spark, made[0]).select("doc_id", "begin", "stop", "pos").collect()}
+    assert got == want and len({r[1] for r in got if r[0] == 12}) == 3 and (12, 12, 18, 1) in got
+    from quillspark.operators import search
+
+    d = spark.createDataFrame([(1, 0, "A-a"), (1, 1, "aa b"), (1, 2, "aa"), (2, 0, "ba"), (3, 0, "")], "doc_id long, pos long, line string")
+    assert {tuple(r) for r in search.key_places(d, "aa").collect()} == {(1, b, b + 2) for b in (0, 1, 2, 5)}
+
+
+def test_windows_and_chunks(spark, made):
+    text = lines_of(made[1][12][1])
+    got = [r.pos for r in registry.QUERIES["context_windows_20"](spark, made[0]).where("doc_id = 12").orderBy("pos").collect()]
+    assert got == list(range(3 + 40 - 20, 3 + 40 + 21))
+    chunks = registry.QUERIES["chunk_pack_cut"](spark, made[0]).where("doc_id = 12").collect()
+    assert max(r.chars for r in chunks) <= 4000
+    letters = sum(len(x.strip()) for x in text)  # cuts fall at blanks, which are stripped
+    pieces = sum(r.chars - 2 * (r.n_pieces - 1) for r in chunks)
+    assert letters - 5 <= pieces <= letters and max(map(len, text)) == 9000
+
+
+def test_order_of_every_owner(spark, data):
+    orders = spark.read.parquet(f"{data}/orders.parquet").collect()
+    want = set()
+    for c in {r.o_custkey for r in orders}:
+        own = sorted((r for r in orders if r.o_custkey == c), key=lambda r: r.o_orderkey)
+        own.sort(key=lambda r: r.o_orderdate, reverse=True)
+        want |= {(c, r.o_orderkey, i) for i, r in enumerate(own, 1)}
+    assert {tuple(r) for r in registry.QUERIES["history_order_all"](spark, data).collect()} == want
