@@ -14,13 +14,23 @@ value under the same key always becomes the same pseudonym, in whatever document
     mail       letters and digits but for the last domain label      26 or 10
     card       all but the check digit                               10
     phone      ten digits of the national number                     8 for the 1st and 4th, else 10
+               abroad: all digits behind the country code            9 for the 1st, else 10
     ssn        area, group, serial among the valid ones              898, 99, 9999
     iban       letters and digits behind the check digits            26 or 10
     ip         four numbers                                          256
-    date       day number from 1900-01-01, of 73,080                 280, 261
+    date       day number from 1900-01-01, of 73,049                 280, 261, walked on past 31 lists
+
+Lists of the date's bases that are no day up to 2099-12-31 are permuted again until they are
+one; a walk is at most 31 steps long, so it is a permutation of the days.
 
 Defined results: a null text stays null and an empty one empty, both with no values; a null
-doc_id stays null; repeated rows each give a row; other columns are ignored.
+doc_id stays null; repeated rows each give a row; other columns are ignored.  The work on a text
+grows in proportion to it, whatever is in it: no repeat of the forms nests without a bound, and a
+mail address of any length is read and written in one pass.  Its domain has at most 127 labels
+before the last one (as in the domain name system); longer ones end there.
+
+The key is a literal of the plan: whoever may read plans of the job may read it.  The query
+takes it from the session's ``quillspark.pii.key`` where that is set.
 """
 
 from __future__ import annotations
@@ -31,16 +41,26 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 KINDS = ["mail", "card", "phone", "ssn", "iban", "ip", "date"]
 DEFAULT_KEY = "quillspark-demo-key"  # production runs pass their own
+#: Days from 1900-01-01 to 2099-12-31, and the bases that their numbers are permuted in.
+DAYS = 73_049
+DAY_BASES = (280, 261)
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+# A label of a domain: possessive repeats of single characters' runs, which cost no stack.
+_LABEL = "[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*+"
+# Country codes of two digits; all others but 1 and 7 have three.
+_CODE = "(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
+_END = "(?![0-9A-Za-z])"
 # The forms of the values.
 FORMS = {
-    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
+    "mail": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@{_LABEL}(?:\.{_LABEL}){{0,126}}\.[A-Za-z]{{2,}}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![0-9A-Za-z/.-])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[0-3][0-9]([/.])[01][0-9]\1(?:19|20)[0-9]{2})(?![0-9A-Za-z]|[/.-][0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-8][0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "ip": rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9A-Za-z])",
+    # The North American plan; any other behind "+" and a country code; five pairs behind a 0 in France.
+    "phone": r"(?:(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-]?[0-9]{4}"
+    rf"|(?<![0-9A-Za-z+])\+{_CODE}(?:[ .-]?\(0\))?(?:[ .-]?[0-9]){{7,11}}|(?<![0-9A-Za-z+.,-])0[1-9](?:[ .-][0-9]{{2}}){{4}}(?![ .-]?[0-9])){_END}",
     # A short last group that goes on behind a point or slash begins another value.
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])(?!(?<=[ -][0-9]{1,3})[./][0-9])",
 }
@@ -62,11 +82,11 @@ def _chars(s: Column) -> Column:
 
 
 def _base(c: Column) -> Column:
-    return F.when(c.between("0", "9"), 10).otherwise(26)
+    return F.when(c.between("0", "9"), 10).when(c.between("a", "z") | c.between("A", "Z"), 26).otherwise(1)
 
 
 def _zero(c: Column) -> Column:
-    return F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).otherwise(65)
+    return F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65).otherwise(F.ascii(c))
 
 
 def let(value: Column, then) -> Column:
@@ -81,7 +101,9 @@ def feistel(values: Column, bases: Column, key: str, kind: str) -> Column:
         seed = F.concat_ws(",", F.lit(key), F.lit(kind), size.cast("string"), i.cast("string"), F.array_join(F.transform(other, lambda v: v.cast("string")), ","))
         # Six hexadecimal digits for each place; the digest is read again, shifted, behind nine places.
         word = lambda digest, k: F.conv(F.substring(digest, (k * 6) % 54 + 1 + F.floor(k / 9).cast("int") % 5, F.lit(6)), 16, 10).cast("int")
-        return let(F.sha2(seed, 256), lambda digest: F.transform(own, lambda v, k: F.pmod(v + word(digest, k), F.get(base, k))))
+        # The bases are zipped to the values: in a lambda they would be sliced again for each place.
+        pairs = F.zip_with(own, base, lambda v, b: F.struct(v.alias("v"), b.alias("b")))
+        return let(F.sha2(seed, 256), lambda digest: F.transform(pairs, lambda p, k: F.pmod(p["v"] + word(digest, k), p["b"])))
 
     def network(s: Column) -> Column:
         size, half = s["size"], F.floor(s["size"] / 2).cast("int")
@@ -99,6 +121,18 @@ def feistel(values: Column, bases: Column, key: str, kind: str) -> Column:
     return let(F.struct(values.alias("v"), bases.alias("b")), lambda s: let(F.struct(s["v"].alias("v"), s["b"].alias("b"), F.size(s["v"]).alias("size")), network))
 
 
+def day_pseudonym(day: Column, key: str) -> Column:
+    """A day number permuted among all ``DAYS``."""
+    high, low = DAY_BASES
+
+    def once(d: Column) -> Column:
+        return let(feistel(F.array(F.floor(d / low).cast("int"), (d % low).cast("int")), F.array(F.lit(high), F.lit(low)), key, "date"), lambda v: F.get(v, 0) * low + F.get(v, 1))
+
+    spare = high * low - DAYS
+    walk = lambda d, k: F.when((k > 0) & (d < DAYS), d).otherwise(once(d))
+    return F.get(F.aggregate(F.sequence(F.lit(0), F.lit(spare)), F.array(day, F.lit(0)), lambda a, k: F.array(walk(F.get(a, 0), F.get(a, 1)), F.get(a, 1) + 1)), 0)
+
+
 def _text_feistel(s: Column, key: str, kind: str, fixed: tuple[Column, Column] | None = None) -> Column:
     """A string of letters and digits, each permuted within its own class (or with fixed bases and zeros)."""
 
@@ -203,38 +237,43 @@ def scan(text: Column) -> Column:
         gaps = s["gaps"]
         parts = F.zip_with(s["starts"], F.slice(gaps, F.lit(2), F.size(s["starts"])), lambda m, g: F.struct(m.alias("m"), F.concat(F.left(m, F.lit(1)), g).alias("rest"), value_at(m).alias("value")))
         item = "struct<text:string,kind:string,rest:string>"
-        begin = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("tried"), F.array().cast(f"array<array<{item}>>").alias("parts"), F.array().cast(f"array<{item}>").alias("part"))
+        none = F.struct(F.lit("").alias("text"), F.lit("").alias("kind"))
 
         def step(a: Column, x: Column) -> Column:
             sure, whole = x["value"]["sure"], x["value"]["loose"] & (a["tried"] <= 0)
             # A part of a value that was taken is no value, and a whole that failed is tried again only in groups.
-            taken = F.when(a["covered"] > 0, F.struct(F.lit("").alias("text"), F.lit("").alias("kind"))).when(sure["kind"] != "", sure).when(whole, F.struct(x["m"].alias("text"), F.lit("card").alias("kind")))
-            taken = taken.otherwise(F.struct(F.lit("").alias("text"), F.lit("").alias("kind")))
+            taken = F.when(a["covered"] > 0, none).when(sure["kind"] != "", sure).when(whole, F.struct(x["m"].alias("text"), F.lit("card").alias("kind"))).otherwise(none)
 
             def go_on(v: Column) -> Column:
                 size = F.length(x["rest"])
                 covered = F.when(v["kind"] != "", F.length(v["text"])).otherwise(a["covered"])
                 tried = F.when(v["kind"] != "", 0).when((a["covered"] <= 0) & (a["tried"] <= 0), F.length(x["m"])).otherwise(a["tried"])
-                one = F.array(F.struct(v["text"].alias("text"), v["kind"].alias("kind"), F.substring(x["rest"], covered + 1, size).alias("rest")))
-                full = F.size(a["part"]) >= PART  # whole parts are set aside: adding to one long list would copy it each time
-                return F.struct(
-                    F.greatest(F.lit(0), covered - size).alias("covered"),
-                    F.greatest(F.lit(0), tried - size).alias("tried"),
-                    F.when(full, F.concat(a["parts"], F.array(a["part"]))).otherwise(a["parts"]).alias("parts"),
-                    F.when(full, one).otherwise(F.concat(a["part"], one)).alias("part"),
-                )
+                one = F.struct(v["text"].alias("text"), v["kind"].alias("kind"), F.substring(x["rest"], covered + 1, size).alias("rest"))
+                return F.struct(F.greatest(F.lit(0), covered - size).alias("covered"), F.greatest(F.lit(0), tried - size).alias("tried"), F.concat(a["part"], F.array(one)).alias("part"))
 
             return let(taken, go_on)
 
-        return F.struct(F.get(gaps, 0).alias("head"), F.aggregate(parts, begin, step, lambda a: F.flatten(F.concat(a["parts"], F.array(a["part"])))).alias("elements"))
+        # A step copies what was gathered so far, so PART elements are gathered apart and then set aside.
+        def run(all_: Column) -> Column:
+            begin = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("tried"), F.array().cast(f"array<array<{item}>>").alias("parts"))
+            empty = F.array().cast(f"array<{item}>")
+
+            def next_part(a: Column, i: Column) -> Column:
+                state = F.struct(a["covered"].alias("covered"), a["tried"].alias("tried"), empty.alias("part"))
+                done = F.aggregate(F.slice(all_, i * PART + 1, F.lit(PART)), state, step)
+                return let(done, lambda r: F.struct(r["covered"].alias("covered"), r["tried"].alias("tried"), F.concat(a["parts"], F.array(r["part"])).alias("parts")))
+
+            return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(all_) / PART).cast("int")), begin, next_part, lambda a: F.flatten(a["parts"]))
+
+        return F.struct(F.get(gaps, 0).alias("head"), let(parts, run).alias("elements"))
 
     return let(F.struct(starts.alias("starts"), F.split(text, PATTERN, -1).alias("gaps")), cut)
 
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
-    head = F.regexp_extract(m, r"^(.*)(\.[A-Za-z]+)$", 1)
-    tail = F.regexp_extract(m, r"^(.*)(\.[A-Za-z]+)$", 2)
-    mail = F.concat(_refill(head, _text_feistel(F.regexp_replace(head, "[^A-Za-z0-9]", ""), key, "mail")), tail)
+    # An address keeps its signs: they are places of base 1.
+    tail = F.substring_index(m, ".", -1)
+    mail = F.concat(_text_feistel(F.left(m, F.length(m) - F.length(tail)), key, "mail"), tail)
 
     number = _digits(m)
     checked = lambda body: F.concat(body, F.pmod(-_luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
@@ -244,7 +283,15 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     local = F.substring(m, F.length(lead) + 1, F.length(m))
     ten = F.right(number, F.lit(10))
     eight = lambda a, b: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.when(k.isin(0, 3), a).otherwise(b))
-    phone = F.concat(lead, _refill(local, _text_feistel(ten, key, "phone", (eight(8, 10), eight(50, 48)))))
+    american = F.concat(lead, _refill(local, _text_feistel(ten, key, "phone", (eight(8, 10), eight(50, 48)))))
+    # Elsewhere the code (and a zero in brackets) or the leading zero stays, and the next digit is no zero.
+    code = F.regexp_extract(m, rf"^(?:\+{_CODE}(?:[ .-]?\(0\))?|0)[ .-]?", 0)
+    abroad = F.substring(m, F.length(code) + 1, F.length(m))
+    nine = lambda a, b: let(F.size(F.split(_digits(abroad), "")), lambda n: F.transform(F.sequence(F.lit(1), n), lambda k: F.when(k == 1, a).otherwise(b)))
+    # A first digit of 0 is kept: it has base 1.
+    zero_first = F.substring(_digits(abroad), 1, 1) == "0"
+    away = F.concat(code, _refill(abroad, _text_feistel(_digits(abroad), key, "phone-abroad", (nine(F.when(zero_first, 1).otherwise(9), 10), nine(F.when(zero_first, 48).otherwise(49), 48)))))
+    phone = F.when(m.rlike(rf"^(?:\+(?!1)|0)"), away).otherwise(american)
 
     area = F.substring(m, 1, 3).cast("int")
     ssn_in = F.array(area - 1 - F.when(area > 666, 1).otherwise(0), F.substring(m, 5, 2).cast("int") - 1, F.substring(m, 8, 4).cast("int") - 1)
@@ -259,8 +306,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     ip = F.array_join(F.transform(feistel(F.transform(F.split(m, r"\."), lambda x: x.cast("int")), F.array(*[F.lit(256)] * 4), key, "ip"), lambda v: v.cast("string")), ".")
 
     sign = F.substring(m, 3, 1)
-    moved = feistel(F.array(F.floor(_day(m) / 261).cast("int"), _day(m) % 261), F.array(F.lit(280), F.lit(261)), key, "date")
-    date = let(moved, lambda d: F.date_add(F.lit("1900-01-01").cast("date"), F.get(d, 0) * 261 + F.get(d, 1)))
+    date = let(day_pseudonym(_day(m), key), lambda d: F.date_add(F.lit("1900-01-01").cast("date"), d))
     day = F.when(m.rlike("^[0-9]{4}"), F.date_format(date, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(date, "dd"), sign, F.date_format(date, "MM"), sign, F.date_format(date, "yyyy")))
 
     by = {"mail": mail, "card": card, "phone": phone, "ssn": ssn, "iban": iban, "ip": ip, "date": day}

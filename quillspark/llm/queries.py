@@ -37,7 +37,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_table(spark, sf_dir, "documents"))
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), spark.conf.get("quillspark.pii.key", pii.DEFAULT_KEY))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
