@@ -4,26 +4,32 @@ Markup is stripped to one line per block element, in page order.  A line weighs
 of its text outside links; lines of menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments (told by element, role, class or id) weigh
 nothing.  Weights are summed over sliding windows of ``WINDOW`` lines: where the sum first
-rises over the bound is a surge point, where it falls to nothing again a dive point, and
-the text between them is kept.  Inside an ``article`` or ``main`` element the bound is one
-character, so no short block of it is lost.  On a page without one the stretches above
-``SURGE`` only tell the content's container, the innermost element that holds all of them
-and more than one block: all of its text but furniture is kept, with the headings right
-before it.  If nothing reaches the bound, the whole page is the container.  There, blocks that
-are wholly links are dropped before the first and behind the last other text, unless they
-share a container of their own with text.
+reaches ``SURGE`` is a surge point, where it falls to nothing again a dive point.  The
+stretches between them tell the content: the ``article`` elements that hold one (teasers beside
+them go) with what else is in the ``main`` element, or on a page without these elements the content's container, the
+innermost element that holds all stretches and more than one block.  All text of it but furniture
+is kept, so that no short block is lost; on a page without an article with the headings right
+before it.  If nothing reaches the bound, all articles or the whole page are the content.  On
+a whole page, blocks that are wholly links are dropped before the first and behind the last
+other text, unless they share a container of their own with text.
+
+Inside an article only elements that frame others (``FRAMES``) are furniture by their name, and
+only if each word of a name says so; paragraphs and headings never are.
 
 Character references are decoded, white space inside a block becomes one space (a line
 break is white space), blocks are trimmed and joined by one line feed.
 
 Defined results: null or empty html, and pages without text outside links, have the empty text;
-every row gives a row, a null page_id or url stays null; other columns are ignored.
+every row gives a row, a null page_id or url stays null; other columns are ignored.  A page is read
+in time proportional to its length, whatever its markup: a quote, raw element or comment that never
+closes is searched for once.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -37,7 +43,10 @@ WINDOW = 3
 SURGE = 80
 
 # HTML's own element names.
-RAW = "script style noscript template iframe object svg math textarea select canvas audio video title xmp"
+RAW = set("script style noscript template iframe object svg math textarea select canvas audio video title xmp".split())
+ENDLESS = set("script style textarea title xmp".split())  # without an end they reach to the end of the page
+_HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+_ITEMS = set("li dt dd option tr td th".split())
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html"
     " legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -50,16 +59,17 @@ HINTS = set(
     " nav navbar navigation menu breadcrumb breadcrumbs sidebar complementary widget widgets footer header masthead contentinfo topbar toolbar share sharing social"
     " related recommended newsletter subscribe subscription signup login search form comment comments disqus respond replies discussion pagination pager".split()
 )
+# Elements that may be furniture inside an article, and words that its names may hold beside those above.
+FRAMES = set("div section ul ol table figure center iframe details".split())
+NEUTRAL = set("box bar block container wrapper wrap section list area slot unit inner outer row link links button buttons icons item items thread site page top bottom left right main post story article entry js".split())
+ADVERTS = set("ad ads advert adverts advertisement advertising sponsored".split())
 CONTAINERS = set("html body div section table tbody tr td center blockquote".split())
 _KEEP_HEADER = {"article", "entry", "post", "story"}
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<({RAW.replace(' ', '|')})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
-_MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_TAG_END = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]++)))?")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 _PART = re.compile(r"[a-z0-9]+")
 
 SCHEMA = T.StructType(
@@ -73,58 +83,151 @@ SCHEMA = T.StructType(
 )
 
 
+def _attributes(text: str) -> dict[str, str]:
+    """Names, lowered, and values; of a repeated name the first one counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
 def _furniture(name: str, attributes: str, in_article: bool) -> bool:
     if name in DROPPED or name == "header" and not in_article:
         return True
-    if name in ("html", "body", "article", "main") or not attributes:
+    if name in ("html", "body", "article", "main") or not attributes.strip():
         return False
-    if _HIDDEN.search(attributes):
+    told = _attributes(attributes)
+    style = told.get("style", "").lower().replace(" ", "")
+    if "hidden" in told and told["hidden"].lower() != "until-found" or told.get("aria-hidden", "").lower() == "true" or "display:none" in style:
         return True
-    for m in _MARK.finditer(attributes):
-        words = set(_PART.findall((m[1] or m[2] or m[3] or "").lower()))
-        found = words & HINTS
-        if found and not (found == {"header"} and words & _KEEP_HEADER):
-            return True
+    if in_article and name not in FRAMES:
+        # An article's own paragraphs, headings and inline elements are its text, but for adverts.
+        return name not in _HEADINGS and not ADVERTS.isdisjoint(told.get("class", "").lower().split())
+    for key in ("class", "id", "role"):
+        for token in told.get(key, "").lower().split():
+            words = set(_PART.findall(token))
+            found = words & HINTS
+            # In an article every word of the name must speak of furniture ("comment-list", not "related-work").
+            if found and (words <= HINTS | NEUTRAL if in_article else not (found == {"header"} and words & _KEEP_HEADER)):
+                return True
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool, tuple[int, ...]]]:
-    """(text, weight, in an article, heading, numbers of the open containers) of every block; furniture is an empty line."""
-    out: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
+def tokens_of(page: str):
+    """(text before, name, closing, attributes) of every tag, and a last one with an empty name.
+
+    Comments, declarations and raw elements are passed over.  Each place is read a bounded number
+    of times: a quote that never closes is searched for once, after that quotes hide no ">".
+    """
+    low = page.translate(_LOWER)
+    begin = at = 0
+    quotes, missing = True, set()
+    parts: list[str] = []
+    while True:
+        i = page.find("<", at)
+        if i < 0:
+            break
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            parts.append(page[begin:i])
+            begin = at = len(page) if end < 0 else end + 3
+            continue
+        m = _NAME.match(page, i + (2 if page.startswith("/", i + 1) else 1))
+        if not m:
+            end = page.find(">", i) if page[i + 1 : i + 2] in ("!", "?", "/") else -1
+            if end < 0:
+                at = i + 1  # a sign of the text
+                continue
+            parts.append(page[begin:i])
+            begin = at = end + 1
+            continue
+        end = -1
+        if quotes:
+            tag = _TAG_END.match(page, m.end())
+            quotes = tag is not None
+            end = tag.end() - 1 if tag else -1
+        if end < 0:
+            end = page.find(">", m.end())
+            if end < 0:
+                at = len(page)  # no tag ends any more
+                break
+        name, closing = low[m.start() : m.end()], page[i + 1] == "/"
+        before = "".join([*parts, page[begin:i]])
+        parts, begin, at = [], end + 1, end + 1
+        if name in RAW and not closing:
+            close = -1 if name in missing else low.find("</" + name, at)
+            if close < 0:
+                missing.add(name)
+                if name in ENDLESS:
+                    begin = at = len(page)
+            else:
+                stop = page.find(">", close)
+                begin = at = len(page) if stop < 0 else stop + 1
+            yield before, "", False, ""
+            continue
+        yield before, name, closing, page[m.end() : end]
+    yield "".join([*parts, page[begin:]]), "", False, ""
+
+
+class Lines:
+    """The lines of a page, and the tree of its containers (0: the page)."""
+
+    def __init__(self) -> None:
+        self.text: list[str] = []
+        self.weight: list[int] = []  # characters outside links
+        self.article: list[int] = []  # number of the outermost article, -1 elsewhere in a main element, 0 outside
+        self.heading: list[bool] = []
+        self.node: list[int] = []
+        self.parent = [0]
+        self.end = [0]  # the first number behind those of a container's own ones
+
+    def add(self, text: str, weight: int, article: int, heading: bool, node: int) -> None:
+        for to, value in zip((self.text, self.weight, self.article, self.heading, self.node), (text, weight, article, heading, node), strict=True):
+            to.append(value)
+
+
+def lines_of(page: str) -> Lines:
+    """One line for every block; furniture is an empty line."""
+    out = Lines()
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool]] = []  # open elements; whether each is furniture
-    inner: list[int] = []  # the open containers
-    skip = articles = links = headings = opened = 0
+    open_of: Counter = Counter()
+    inner = [0]  # the open containers
+    skip = articles = mains = links = headings = roots = 0
+    place = lambda: roots if articles else -1 if mains else 0
+    closes: dict[str, bool] = {}
+    low = None
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append((text, max(0, len(text) - linked), articles > 0, headings > 0, tuple(inner)))
+            out.add(text, max(0, len(text) - linked), place(), headings > 0, inner[-1])
         parts.clear()
         linked = 0
 
     def pop() -> None:
-        nonlocal skip, articles, links, headings
+        nonlocal skip, articles, mains, links, headings
         name, bad = stack.pop()
+        open_of[name] -= 1
         if name in CONTAINERS:
-            inner.pop()
+            out.end[inner.pop()] = len(out.parent)
         skip -= bad
-        articles -= name in ("article", "main")
+        articles -= name == "article"
+        mains -= name == "main"
         links -= name == "a"
-        headings -= len(name) == 2 and name[0] == "h" and name[1] in "123456"
+        headings -= name in _HEADINGS
         if bad and not skip:
-            out.append(("", 0, articles > 0, False, tuple(inner)))
+            out.add("", 0, place(), False, inner[-1])
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not skip:
-            parts.append(page[at : m.start()])
+    for before, name, closing, attributes in tokens_of(page):
+        at += len(before)
+        if before and not skip:
+            parts.append(before)
             if links:
-                linked += m.start() - at
-        at = m.end()
-        name = (m[3] or "").lower()
+                linked += len(before)
         if not name:
             continue
         block = name in BLOCKS
@@ -133,8 +236,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool, tuple[int, ...]]]:
                 flush()
             elif name == "br":
                 parts.append(" ")
-        if m[2]:
-            if any(n == name for n, _ in stack):
+        if closing:
+            if open_of[name]:
                 while stack[-1][0] != name:
                     pop()
                 if block and not skip:
@@ -143,89 +246,100 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool, tuple[int, ...]]]:
             continue
         if name in VOID:
             continue
-        if block and stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or name in ("li", "dt", "dd", "option", "tr", "td", "th") and stack and stack[-1][0] == name:
+        if block and stack and (stack[-1][0] == "p" or stack[-1][0] in _HEADINGS) or name in _ITEMS and stack and stack[-1][0] == name:
             pop()  # a new block ends an open paragraph
         if skip and name in ("article", "main"):
             # Furniture that is never closed ends where the article begins.
-            bad = next(n for n, b in stack if b)
-            if page.lower().find(f"</{bad}", at) < 0:
+            bad = next(n for n, b in reversed(stack) if b)
+            if bad not in closes:
+                low = page.translate(_LOWER) if low is None else low
+                closes[bad] = low.rfind("</" + bad)
+            if closes[bad] < at:
                 while skip:
                     pop()
-        bad = not skip and _furniture(name, m[4] or "", articles > 0)
-        if skip and not bad:
-            bad = False
+        bad = not skip and _furniture(name, attributes, articles + mains > 0)
         stack.append((name, bad))
+        open_of[name] += 1
         if name in CONTAINERS:
-            opened += 1
-            inner.append(opened)
+            out.parent.append(inner[-1])
+            out.end.append(0)
+            inner.append(len(out.parent) - 1)
         skip += bad
-        articles += name in ("article", "main")
+        if name == "article":
+            roots += not articles
+            articles += 1
+        mains += name == "main"
         links += name == "a"
-        headings += len(name) == 2 and name[0] == "h" and name[1] in "123456"
-    if not skip:
-        parts.append(page[at:])
+        headings += name in _HEADINGS
     flush()
+    while stack:
+        pop()
+    out.end[0] = len(out.parent)
     return out
 
 
-def main_text(page: str) -> list[str]:
-    """The blocks between surge and dive points, or of the container that these tell."""
-    lines = lines_of(page)
-    inside = any(text and art for text, _, art, *_ in lines)
-    if inside:
-        weight = np.array([len(text) if art else 0 for text, _, art, *_ in lines], dtype=np.int64)
-    else:
-        weight = np.array([w for _, w, *_ in lines], dtype=np.int64)
-    if not weight.sum():
-        return []
-    bound = 1 if inside else SURGE
+def stretches_of(weight: np.ndarray, bound: int) -> list[tuple[int, int]]:
+    """(surge, dive): from the first line of a window of ``bound`` characters to where windows are empty."""
     n = len(weight)
     total = np.concatenate([[0], np.cumsum(weight), np.full(WINDOW, weight.sum())])
     window = total[WINDOW : WINDOW + n] - total[:n]  # of the lines from each line on
-    stretches, i = [], 0
+    out, i = [], 0
+    high, low = window >= bound, window <= 0
     while i < n:
-        if window[i] >= bound:
-            surge = i
-            while surge < n and not weight[surge]:
-                surge += 1
-            dive = surge
-            while dive < n and window[dive] > 0:
-                dive += 1
-            stretches.append((surge, dive))
-            i = max(dive, i + 1)
-        else:
-            i += 1
-    if inside:
-        return [lines[k][0] for a, b in stretches for k in range(a, b) if lines[k][0] and lines[k][2]]
-    return [lines[k][0] for k in _content(lines, stretches)]
-
-
-def _content(lines: list, stretches: list[tuple[int, int]]) -> list[int]:
+        rise = i + int(high[i:].argmax())
+        if not high[rise]:
+            break
+        surge = rise + int((weight[rise:] > 0).argmax())
+        fall = int(low[surge:].argmax())
+        dive = surge + fall if low[surge + fall] else n
+        out.append((surge, dive))
+        i = max(dive, rise + 1)
+    return out
+
+
+def main_text(page: str) -> list[str]:
+    """The blocks between surge and dive points, with what shares their article or container."""
+    lines = lines_of(page)
+    weight, article = np.array(lines.weight, dtype=np.int64), np.array(lines.article, dtype=np.int64)
+    told = np.array([bool(t) for t in lines.text], dtype=bool)
+    inside = told & (article != 0)
+    if inside.any():
+        # Of several articles, those that the distribution points to; all, if it points to none.
+        points = {int(article[k]) for a, b in stretches_of(np.where(article > 0, weight, 0), SURGE) for k in range(a, b) if weight[k]}
+        kept = inside & np.isin(article, [-1, *points]) if points else inside
+        return [lines.text[k] for k in np.flatnonzero(kept)]
+    if not weight.sum():
+        return []
+    return [lines.text[k] for k in _content(lines, weight, np.flatnonzero(told), stretches_of(weight, SURGE))]
+
+
+def _content(lines: Lines, weight: np.ndarray, told: np.ndarray, stretches: list[tuple[int, int]]) -> list[int]:
     """The lines of the container that holds all stretches."""
-    common = None
-    for a, b in stretches:
-        for text, weight, _, _, path in lines[a:b]:
-            if text and weight:
-                same = 0
-                while common is not None and same < min(len(common), len(path)) and common[same] == path[same]:
-                    same += 1
-                common = path if common is None else common[:same]
-    root = common or ()
-    told = [k for k, line in enumerate(lines) if line[0]]
-    kept = [k for k in told if lines[k][4][: len(root)] == root]
-    while root and len(kept) < 2:
-        root = root[:-1]
-        kept = [k for k in told if lines[k][4][: len(root)] == root]
+    node = np.array(lines.node, dtype=np.int64)
+    held = [node[k] for a, b in stretches for k in range(a, b) if lines.text[k] and weight[k]]
+    root = 0
+    if held:  # containers are numbered in page order: the one around the first and the last holds all
+        low, high = int(min(held)), int(max(held))
+        root = low
+        while root and not (root <= low and high < lines.end[root]):
+            root = lines.parent[root]
+    order = np.sort(node[told])
+    within = lambda r: int(np.searchsorted(order, lines.end[r]) - np.searchsorted(order, r))
+    while root and within(root) < 2:
+        root = lines.parent[root]
+    kept = told[(node[told] >= root) & (node[told] < lines.end[root])].tolist()
     if len(kept) == len(told):  # the whole page: link lists around the text are no part of it
-        text = [k for k in kept if lines[k][1]]
+        text = [k for k in kept if weight[k]]
         first, last = text[0], text[-1]
-        while first and lines[first - 1][3]:
+        while first and lines.heading[first - 1]:
             first -= 1
-        homes = {lines[k][4] for k in text} - {root}  # a link that shares a text's own container is
-        shares = lambda path: any(path[:n] in homes for n in range(len(root), len(path) + 1))
-        return [k for k in kept if first <= k <= last or shares(lines[k][4])]
+        homes = {lines.node[k] for k in text} - {root}  # a link that shares a text's own container is
+        shared = [False] * len(lines.parent)
+        for n in range(1, len(shared)):
+            shared[n] = n in homes or shared[lines.parent[n]]
+        return [k for k in kept if first <= k <= last or shared[lines.node[k]]]
     first = kept[0]
-    while first and lines[first - 1][3]:
+    while first and lines.heading[first - 1]:
         first -= 1
     return [*range(first, kept[0]), *kept]
 
