@@ -1,18 +1,22 @@
 """Approximate nearest neighbours by one small-world graph per shard (operator 9).
 
 Equal vectors are one node, so that copies cannot crowd out a node's links; of their ids
-the ``TOP`` + 1 least are remembered, and no query can ever need more.  Nodes are dealt by
-hash into shards.  A shard's graph is hierarchical: nodes are numbered by falling level,
-so every layer is a prefix, and a layer is one flat array of neighbour numbers (-1: none).
-For largest inner products, vectors are given one more component that brings all of them
-to the same norm; a query has 0 there, which leaves the order of products as it is.
+the ``TOP`` + 1 least are remembered, and no query can ever need more.  Nodes are parted by
+their norm into bands, each of norms within a factor of two, and a band's nodes are dealt by
+hash into shards of about ``SHARD_ROWS``.  A shard's graph is hierarchical: nodes are numbered by
+falling level, so every layer is a prefix, and a layer is one flat array of neighbour numbers
+(-1: none).  For largest inner products, vectors are divided by the band's largest norm and given
+one more component that brings all of them to norm one; a query has 0 there, which leaves the order
+of products as it is.  Within a band that component never outweighs the others, and no vector
+of another scale has a say in it.
 
 Nodes are inserted and queries are searched many at a time: one step expands the best open
-candidates of all of them with array operations.  Graphs are files in the shared folder;
-blocks of queries are sent to every shard, and the shards' results are merged.
+candidates of all of them with array operations.  Graphs and blocks of query vectors are files in
+the shared folder; a task is a block against a graph, so that only their names are shuffled, and
+the shards' results are merged.
 
-The number of shards is the session's parallelism, and more where a shard would get more
-than ``SHARD_ROWS`` nodes.  The index takes in every row; nothing is sampled.
+The number of shards follows from the number of nodes and ``SHARD_ROWS`` alone, so results are the
+same on any cluster.  The index takes in every row; nothing is sampled.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and
 rows without an id, take no part; vectors meet only vectors of their own length; a repeated
@@ -36,9 +40,10 @@ QUERY_STEP = 20
 LINKS = 20
 EF_BUILD = 64
 EF_SEARCH = 192
-SHARD_ROWS = 200_000
-#: Least nodes in a shard before another one is opened.
-SHARD_LEAST = 1_500
+#: Nodes of a shard, about.
+SHARD_ROWS = 16_384
+#: Query vectors of a block.
+QUERY_ROWS = 2_048
 BATCH = 256
 STEP = 4
 
@@ -126,21 +131,22 @@ def beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef:
 class Graph:
     """A hierarchical small-world graph over the rows of ``vectors``."""
 
-    def __init__(self, vectors: np.ndarray, norm: float, seed: int = 7) -> None:
+    def __init__(self, vectors: np.ndarray, seed: int = 7) -> None:
         level = np.floor(-np.log(np.random.default_rng(seed).random(len(vectors))) / np.log(LINKS)).astype(int)
         self.order = np.argsort(-level, kind="stable")
         level = level[self.order]
         self.vectors = vectors[self.order]
-        self.x = self._padded(self.vectors, norm)
+        self.x = self._padded(self.vectors)
         self.sizes = [int((level >= k).sum()) for k in range(int(level.max(initial=0)) + 1)]
         self.layers: list[np.ndarray] = [np.empty((0, LINKS), dtype=np.int32)] * len(self.sizes)
         for k in reversed(range(len(self.sizes))):
             self._build(k)
 
     @staticmethod
-    def _padded(v: np.ndarray, norm: float) -> np.ndarray:
-        rest = np.sqrt(np.maximum(0.0, norm**2 - (v**2).sum(axis=1)))
-        return np.column_stack([v, rest]).astype(np.float32)
+    def _padded(v: np.ndarray) -> np.ndarray:
+        v = v / np.abs(v).max(initial=1e-320)  # first by the largest component: its square is finite
+        v = v / np.sqrt((v**2).sum(axis=1).max(initial=0))
+        return np.column_stack([v, np.sqrt(np.maximum(0.0, 1.0 - (v**2).sum(axis=1)))]).astype(np.float32)
 
     def _entries(self, q: np.ndarray, above: int, limit: int) -> np.ndarray:
         """The best nodes of the layers above for every query."""
@@ -198,10 +204,11 @@ class Graph:
 
     def search(self, q: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
         """(node, exact product) of the ``top`` nearest found for every query; -1: none."""
-        x = np.column_stack([q, np.zeros(len(q))]).astype(np.float32)
+        x = np.column_stack([q / np.abs(q).max(axis=1, keepdims=True), np.zeros(len(q))]).astype(np.float32)
         ids, _ = beam(self.x, self.layers[0], x, self._entries(x, 1, len(self.x)), max(EF_SEARCH, top), len(self.x))
         ids = ids[:, : 2 * top]
-        exact = np.where(ids >= 0, np.einsum("nkd,nd->nk", self.vectors[ids], q), -np.inf)
+        with np.errstate(over="ignore", invalid="ignore"):
+            exact = np.where(ids >= 0, np.einsum("nkd,nd->nk", self.vectors[ids], q), -np.inf)
         order = np.argsort(-exact, axis=1, kind="stable")[:, :top]
         return np.take_along_axis(ids, order, axis=1), np.take_along_axis(exact, order, axis=1)
 
@@ -223,21 +230,40 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(fine).select("vec_id", "v", F.size("v").alias("dim"), F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2"))
 
 
+def _save(folder: str, name: str, raw: io.BytesIO) -> str:
+    import uuid
+
+    path = f"{folder}/{name}-{uuid.uuid4().hex}.npz"
+    fs, at = open_fs(path)
+    fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(at) as out:
+        out.write(raw.getbuffer())
+    return path
+
+
+def _load(path: str) -> io.BytesIO:
+    fs, at = open_fs(path)
+    with fs.open_input_file(at) as file:
+        return io.BytesIO(file.read())
+
+
 def _build_with(folder: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import uuid
-
         pdf = pdf.sort_values(["rep"], ignore_index=True)
-        g = Graph(np.stack(pdf["v"].to_numpy()).astype(np.float64), float(pdf["norm"].iloc[0]))
+        g = Graph(np.stack(pdf["v"].to_numpy()).astype(np.float64))
         g.order = pdf["rep"].to_numpy()[g.order]  # from here on: the id of every node
         raw = io.BytesIO()
         g.save(raw)
-        path = f"{folder}/graph-{int(pdf['dim'].iloc[0])}-{int(pdf['shard'].iloc[0])}-{uuid.uuid4().hex}.npz"
-        fs, at = open_fs(path)
-        fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
-        with fs.open_output_stream(at) as out:
-            out.write(raw.getbuffer())
-        return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "path": [path], "nodes": [len(pdf)]})
+        return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "path": [_save(folder, "graph", raw)], "nodes": [len(pdf)]})
+
+    return run
+
+
+def _blocks_with(folder: str):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        raw = io.BytesIO()
+        np.savez(raw, q=pdf["q"].to_numpy(), v=np.stack(pdf["v"].to_numpy()).astype(np.float64))
+        return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "asked": [_save(folder, "queries", raw)]})
 
     return run
 
@@ -246,38 +272,43 @@ def _search_with(top: int):
     def run(frames):
         path, graph = None, None
         for f in frames:
-            for p, group in f.groupby("path", sort=False):
+            for p, asked in f.sort_values("path")[["path", "asked"]].itertuples(index=False):
                 if p != path:
-                    fs, at = open_fs(p)
-                    with fs.open_input_file(at) as file:
-                        path, graph = p, Graph.load(io.BytesIO(file.read()))
-                for a in range(0, len(group), BATCH):
-                    part = group.iloc[a : a + BATCH]
-                    ids, exact = graph.search(np.stack(part["v"].to_numpy()).astype(np.float64), top)
+                    path, graph = p, Graph.load(_load(p))
+                z = np.load(_load(asked))
+                q, v = z["q"], z["v"]
+                for a in range(0, len(q), BATCH):
+                    ids, exact = graph.search(v[a : a + BATCH], top)
                     ok = ids >= 0
-                    yield pd.DataFrame({"q": np.repeat(part["q"].to_numpy(), ok.sum(axis=1)), "rep": graph.order[ids[ok]], "score": exact[ok]})
+                    yield pd.DataFrame({"q": np.repeat(q[a : a + BATCH], ok.sum(axis=1)), "rep": graph.order[ids[ok]], "score": exact[ok]})
 
     return run
 
 
-def nearest(vectors: DataFrame, top: int = TOP, query_step: int = QUERY_STEP) -> DataFrame:
+def nearest(vectors: DataFrame, top: int = TOP, query_step: int = QUERY_STEP, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest of every row whose id is divisible by ``query_step``."""
     spark = vectors.sparkSession
     rows = materialise(usable(vectors).dropDuplicates(["vec_id", "k1", "k2"]), "vectors")
     nodes = rows.groupBy("dim", "k1", "k2").agg(F.min(F.struct("vec_id", "v")).alias("r")).select("dim", "k1", "k2", F.col("r.vec_id").alias("rep"), F.col("r.v").alias("v"))
-    nodes = materialise(nodes, "nodes")
-    norms = nodes.groupBy("dim").agg(F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("norm"), F.count("*").alias("n"))
-    n_all = nodes.count()
-    shards = max(1, min(spark.sparkContext.defaultParallelism, n_all // SHARD_LEAST), -(-n_all // SHARD_ROWS))
-    dealt = nodes.join(norms.select("dim", "norm"), "dim").withColumn("shard", F.pmod(F.col("k1"), F.lit(shards)))
-    dealt = dealt.repartitionByRange(shards, "dim", "shard")  # one shard a task; the groups below need no other exchange
-    built = materialise(dealt.groupBy("dim", "shard").applyInPandas(_build_with(scratch(spark, "graphs")), "dim int, path string, nodes long"), "graphs")
-
-    # Distinct query vectors, each to every graph of its length.
+    # Bands reach from a power of two over the square root of two to it times that; squares of scaled components stay finite.
+    most = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    scaled = F.aggregate(F.transform("v", lambda x: x / most), F.lit(0.0), lambda s, x: s + x * x)
+    nodes = materialise(nodes.withColumn("band", F.round(F.log2(most) + F.log2(scaled) / 2).cast("int")), "nodes")
+    counts = nodes.groupBy("dim", "band").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))  # a row for each length and band
+    dealt = nodes.join(counts, ["dim", "band"]).withColumn("shard", F.pmod(F.col("k1"), F.col("shards")))
+    n_shards = counts.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0]
+    dealt = dealt.repartitionByRange(max(1, n_shards), "dim", "band", "shard")  # about one shard a task; the groups below need no other exchange
+    built = materialise(dealt.groupBy("dim", "band", "shard").applyInPandas(_build_with(scratch(spark, "graphs")), "dim int, path string, nodes long"), "graphs")
+
+    # Distinct query vectors in blocks, each block against every graph of its length.
     asked = rows.where(F.col("vec_id") % query_step == 0).select(F.col("vec_id").alias("query_id"), "dim", "k1", "k2")
     q = asked.select("dim", "k1", "k2").distinct().join(nodes.select("dim", "k1", "k2", F.col("rep").alias("q"), "v"), ["dim", "k1", "k2"])
-    tasks = q.join(built.select("dim", "path"), "dim").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", F.pmod(F.xxhash64("q"), F.lit(4))).sortWithinPartitions("path")
-    found = tasks.select("q", "v", "path").mapInPandas(_search_with(top + 1), "q long, rep long, score double")
+    n_blocks = max(1, -(-asked.count() // QUERY_ROWS))
+    q = q.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "q"), F.lit(n_blocks)))
+    blocks = materialise(q.groupBy("dim", "block").applyInPandas(_blocks_with(scratch(spark, "queries")), "dim int, asked string"), "queries")
+    tasks = built.join(blocks, "dim").select("path", "asked")
+    tasks = tasks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", F.pmod(F.xxhash64("asked"), F.lit(4)))
+    found = materialise(tasks.mapInPandas(_search_with(top + 1), "q long, rep long, score double"), "found")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= top + 1).drop("n")
 
