@@ -9,7 +9,8 @@ bytes that bring every state back to the start, so each lane may begin there.
 
 The walk yields the places where some rule first completes.  From these, per rule,
 a reversed automaton finds the leftmost start and the rule's own automaton the
-longest end, which gives the leftmost, non-overlapping matches.
+longest end, which gives the leftmost, non-overlapping matches.  A private key is found by its
+BEGIN line and reaches to its END line; without one, over the lines of its alphabet below.
 
 Defined results: null or empty text has no spans; every row of the input gives one
 row (repeated ids too, a null id stays null); other columns are ignored.
@@ -36,11 +37,28 @@ BASE_RULES = [
     ("access", r"AKIA[A-Z0-9]+", "", False, "all", 20),
     ("hex", r"[0-9a-f]+", "", False, "all", 24),
 ]
-# Further rules: well-known public token shapes.
+# Further rules: well-known public token shapes.  The combined automaton finds their heads, which are
+# short, so its states stay few; GO_ON is how a match goes on from there.
 MORE_RULES = [
-    ("github", r"gh(p|o|u|s|r)_[A-Za-z0-9]+", "", False, "all", 40),
+    ("github", r"gh(p|o|u|s|r)_", "", False, "all", 40),
     ("pem", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----", "", False, "all", 0),
+    ("github_pat", r"github_pat_", "", False, "all", 40),
+    ("slack", r"xox(a|b|p|o|r|s)-", "", False, "all", 20),
+    ("google", r"AIza", "", False, "all", 39),
+    ("stripe", r"(s|r)k_(live|test)_", "", False, "all", 24),
+    ("jwt", r"eyJ", "", False, "all", 0),
 ]
+_KEY_LINE = r"\x0d?\x0a" + "[A-Za-z0-9+/=]" * 16 + "[A-Za-z0-9+/=]*"
+GO_ON = {
+    "github": r"[A-Za-z0-9]+",
+    # A key's body up to its END line, or else whole lines of its alphabet.
+    "pem": r"(([\x00-\x2c\x2e-\xff]|-[\x00-\x2c\x2e-\xff])*-----END\x20[A-Z\x20]*PRIVATE\x20KEY-----|(" + _KEY_LINE + r")*)",
+    "github_pat": r"[A-Za-z0-9_]+",
+    "slack": r"[A-Za-z0-9-]+",
+    "google": r"[A-Za-z0-9_-]+",
+    "stripe": r"[A-Za-z0-9]+",
+    "jwt": r"[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
+}
 KINDS = [r[0] for r in BASE_RULES + MORE_RULES]
 BASE = 3
 
@@ -208,7 +226,16 @@ def automata():
         single.append((a, d))
     table, masks = minimise(*determinise(nfa, _with_counts(nfa, rules, starts, finals, single), finals, True))
     back = nfa.reversed()
-    own = [minimise(*determinise(nfa, [a], {d: 1}, False)) for a, d in single]
+    whole = []
+    for (a, d), rule in zip(single, rules, strict=True):
+        more = Nfa()
+        more.moves = [list(m) for m in nfa.moves]
+        last = d
+        if rule[0] in GO_ON:
+            c, last = more.parse(GO_ON[rule[0]], False)
+            more.moves[d].append((None, c))
+        whole.append((more, a, last))
+    own = [minimise(*determinise(n, [a], {d: 1}, False)) for n, a, d in whole]
     rev = [minimise(*determinise(back, [d], {a: 1}, False)) for a, d in single]
     home = (table == 0).all(axis=0)
     return table, masks, home, own, rev
@@ -286,7 +313,8 @@ def _leftmost(rev, data: bytes, end: int, low: int) -> int:
     return best
 
 
-def _longest(own, data: bytes, start: int, high: int) -> int:
+def _longest(own, data: bytes, start: int, high: int) -> tuple[int, int]:
+    """(end of the longest match from ``start`` or -1, where no further byte could help)."""
     table, masks = own
     s, best, i = 0, -1, start
     dead = _dead(table, masks)
@@ -296,8 +324,8 @@ def _longest(own, data: bytes, start: int, high: int) -> int:
         if masks[s]:
             best = i
         if dead[s]:
-            break
-    return best
+            return best, i - 1
+    return best, i
 
 
 _DEAD: dict[int, np.ndarray] = {}
@@ -351,7 +379,10 @@ def _scan(texts: list[str]) -> list[list[tuple[int, int, int]]]:
             start = _leftmost(rev[k], data, e, low)
             if start < 0:
                 continue
-            stop = _longest(own[k], data, start, high)
+            stop, reached = _longest(own[k], data, start, high)
+            if stop < 0:
+                done = reached  # a later head before this place fails at it as well
+                continue
             done = stop
             if (_tail_length(data, start, stop) if part == "tail" else stop - start) >= least:
                 out[d].append((start - int(begin[d]), stop - int(begin[d]), k))

@@ -4,7 +4,8 @@ _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 
 SECRETS = r"""with r(kind, o, rx, least) as (values
  ('assign', 0, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', 0), ('access', 1, 'AKIA[A-Z0-9]{16,}', 20), ('hex', 2, '[0-9a-f]{24,}', 24),
- ('github', 3, 'gh(?:p|o|u|s|r)_[A-Za-z0-9]+', 40), ('pem', 4, '-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----', 0)),
+ ('github', 3, 'gh(?:p|o|u|s|r)_[A-Za-z0-9]+', 40), ('pem', 4, '-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----(?:(?:[^-]|-[^-])*-----END\x20[A-Z\x20]*PRIVATE\x20KEY-----|(?:\r?\n[A-Za-z0-9+/=]{16,})*)', 0),
+ ('github_pat', 5, 'github_pat_[A-Za-z0-9_]+', 40), ('slack', 6, 'xox(?:a|b|p|o|r|s)-[A-Za-z0-9-]+', 20), ('google', 7, 'AIza[A-Za-z0-9_-]+', 39), ('stripe', 8, '(?:s|r)k_(?:live|test)_[A-Za-z0-9]+', 24), ('jwt', 9, 'eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+', 0)),
 m as (select doc_id, kind, o, least, string_split_regex(text, rx) p, regexp_extract_all(text, rx) x from documents, r where regexp_matches(text, rx)),
 s as (select doc_id, kind, o, least, x[i] as hit, cast(list_sum(list_transform(p[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(x[1:i-1], lambda z: length(z))), 0) as bigint) as a from (select *, unnest(range(1, len(x) + 1)) i from m)),
 v as (select * from s where case when kind = 'assign' then length(regexp_extract(hit, '(?i)^(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?(.*)$', 1)) >= 6 else length(hit) >= least end),
