@@ -1,17 +1,27 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 6).
 
-Words fall into classes: insult, threat, target, negation, reporting verb, other.  Five
-transducers rewrite the class sequence of a clause one after another and are composed into
-one table: targets strengthen an insult next to them and make a threat count, negation
-weakens an insult a few words behind it, reported speech weakens the rest of its clause,
-and the last one gives each surviving symbol its weight.  A clause ends at a sentence or
-line mark.  The weights of all clauses add up to s, and the score is 1 - exp(-s).
+Words fall into classes: insult, threat, target (second or third person), copula, intent,
+negation, reporting verb, other.  Five transducers rewrite the class sequence of a clause one
+after another and are composed into one table:
+
+    insult     an insult right behind another one is piled up
+    threat     a threat behind a word of intent is meant
+    target     an insult behind "you", or behind a person and a copula, is aimed at them; so is a
+               threat with "you" behind it, or one that is meant, with any person behind it
+    negation   what is up to three words behind a negation is weak
+    report     what is behind a reporting verb in its clause is weak
+
+Each surviving symbol has its weight.  A clause ends at a sentence or line mark.  The weights of
+all clauses add up to s, and the score is 1 - exp(-s).  A lone insult stays below the threshold;
+two of them, or an aimed one, reach it.
 
 Which words insult is partly fixed and partly learned: from a bounded sample of labelled
 rows (``SAMPLE_TOXIC`` and ``SAMPLE_OTHER`` rows in expectation, chosen by a hash of the
-id), word beginnings that many different toxic texts share and others do not.  A beginning
-counts only if chance would hardly give it that many toxic texts, however many beginnings
-are tried, and near copies count once.  Rows of the held-out fold are never looked at.
+id), word beginnings that many different toxic texts share and others do not, once or at least
+twice in a text.  A beginning counts only if chance would hardly give it that many toxic texts,
+however many beginnings are tried, and near copies count once.  What a learned word weighs
+when nothing else is in the text follows from the sample's texts with one match alone, too.
+Rows of the held-out fold are never looked at.
 
 Defined results: null or empty text scores ``FLOOR``; repeated rows each give a row;
 labels without a document, or null labels, are ignored; without labels the fixed words
@@ -23,7 +33,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -39,18 +49,25 @@ SAMPLE_OTHER = 12_000
 THRESHOLD = 0.3
 FLOOR = 0.01
 
-# Public everyday words of each class in English, German, French and Spanish.
+# Public everyday words of each class (a person with a copula in one word stands with the second person) in English, German, French and Spanish.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting dumb imbecile dumbass bastard clown arschloch dummkopf vollidiot connard salope imbécile pendejo estúpido cabrón".split()
 THREATS = "kill hurt murder destroy beat stab shoot burn töten umbringen tuer frapper matar golpear".split()
-TARGETS = "you your yours he she they him her them du dich ihr euch tu te toi vous usted ustedes ti".split()
-NEGATIONS = "not no never nor isn't aren't wasn't don't nicht kein keine nie pas jamais ni nunca jamás".split()
+SECOND = "you you're u ya he's she's they're du dich euch ihr tu te toi vous usted ustedes ti".split()
+THIRD = "he she they him her them er sie ihn il elle ils elles él ella ellos ellas".split()
+COPULAS = "are is am was were be bist ist sind seid es est êtes sont eres son".split()
+INTENTS = "will i'll we'll gonna going should must let's want werde werden will muss soll vais va allons vamos voy quiero".split()
+NEGATIONS = "not no never nor isn't aren't wasn't don't won't nicht kein keine nie pas jamais ni nunca jamás".split()
 REPORTS = "said says called calls quoted reported claimed wrote sagte nannte schrieb dit appelé écrit dijo llamó escribió".split()
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
+INSULT, THREAT, SECOND_PERSON, THIRD_PERSON, COPULA, INTENT, NEGATION, REPORT, OTHER = range(9)
 # Symbols that the transducers write beside the classes.
-STRONG, WEAK, AIMED = 6, 7, 8
-SYMBOLS = 9
-WEIGHTS = {INSULT: 1.0, STRONG: 1.5, WEAK: 0.1, AIMED: 1.2}
+PILED, MEANT, STRONG, AIMED, WEAK = range(9, 14)
+SYMBOLS = 14
+#: Two lone insults reach the threshold together, one alone doesn't; an aimed one does.
+LONE = 0.22
+WEIGHTS = {INSULT: LONE, PILED: LONE, STRONG: 0.7, AIMED: 0.7, WEAK: 0.03}
+#: Texts that speak for the usual weight of a lone insult beside those of the sample.
+PRIOR = 20
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CLAUSE = re.compile(r"[.!?;\n\r|]+")
@@ -87,77 +104,106 @@ class Transducer:
         return out
 
 
-def _insult_and_target() -> Transducer:
-    """A target, then an insult within three words: a strong insult."""
-    change = {(s, TARGET): (3, TARGET) for s in range(4)} | {(s, INSULT): (s, STRONG) for s in (1, 2, 3)}
-    return Transducer(4, change, lambda s, a: (max(0, s - 1), a))
+def _insult() -> Transducer:
+    """An insult up to two words behind another one."""
+    change = {(s, INSULT): (2, PILED if s else INSULT) for s in range(3)}
+    return Transducer(3, change, lambda s, a: (max(0, s - 1), a))
 
 
 def _threat() -> Transducer:
-    """A threat counts only with a target within two words behind it."""
-    change = {(s, THREAT): (2, OTHER) for s in range(3)} | {(s, TARGET): (0, AIMED) for s in (1, 2)}
-    return Transducer(3, change, lambda s, a: (max(0, s - 1), a))
+    """A threat up to three words behind a word of intent."""
+    change = {(s, INTENT): (3, INTENT) for s in range(4)} | {(s, THREAT): (0, MEANT) for s in (1, 2, 3)}
+    return Transducer(4, change, lambda s, a: (max(0, s - 1), a))
+
+
+def _target() -> Transducer:
+    """Insults at a person, and threats with one behind them.
+
+    States: 0; 1, 2: one or two words are left in which an insult is aimed; 3, 4: the same behind a third person, who needs a copula;
+    5, 6: behind a threat; 7, 8: behind one that is meant.
+    """
+    fewer = {0: 0, 1: 0, 2: 1, 3: 0, 4: 3, 5: 0, 6: 5, 7: 0, 8: 7}
+    change = {(s, THREAT): (6, THREAT) for s in range(9)} | {(s, MEANT): (8, MEANT) for s in range(9)}
+    for s in range(9):
+        change[s, SECOND_PERSON] = (2, AIMED if s >= 5 else SECOND_PERSON)
+        change[s, THIRD_PERSON] = (4, AIMED if s >= 7 else THIRD_PERSON)
+        for insult in (INSULT, PILED):
+            change[s, insult] = (s if s in (1, 2) else 0, STRONG if s in (1, 2) else insult)
+    for s in (1, 2, 3, 4):
+        change[s, COPULA] = (2, COPULA)
+        change[s, NEGATION] = (s, NEGATION)  # a negation doesn't part a person from what is said of them
+    return Transducer(9, change, lambda s, a: (fewer[s], a))
 
 
 def _negation() -> Transducer:
-    """Insults and threats up to three words behind a negation are weak."""
-    change = {(s, NEGATION): (3, NEGATION) for s in range(4)} | {(s, a): (s - 1, WEAK) for s in (1, 2, 3) for a in (INSULT, STRONG, AIMED)}
+    """What is up to three words behind a negation."""
+    change = {(s, NEGATION): (3, NEGATION) for s in range(4)} | {(s, a): (s - 1, WEAK) for s in (1, 2, 3) for a in (INSULT, PILED, STRONG, AIMED)}
     return Transducer(4, change, lambda s, a: (max(0, s - 1), a))
 
 
 def _report() -> Transducer:
     """Behind a reporting verb, the rest of the clause is weak."""
-    change = {(s, REPORT): (1, REPORT) for s in range(2)} | {(1, a): (1, WEAK) for a in (INSULT, STRONG, AIMED)}
+    change = {(s, REPORT): (1, REPORT) for s in range(2)} | {(1, a): (1, WEAK) for a in (INSULT, PILED, STRONG, AIMED)}
     return Transducer(2, change, lambda s, a: (s, a))
 
 
-def grammar() -> list[list[tuple[int, float]]]:
-    """The composed table: step[state][class] = (next state, weight)."""
-    whole = reduce(Transducer.then, [_insult_and_target(), _threat(), _negation(), _report()])
-    return [[(to, WEIGHTS.get(symbol, 0.0)) for to, symbol in row] for row in whole.step]
+def transducers() -> list[Transducer]:
+    return [_insult(), _threat(), _target(), _negation(), _report()]
+
+
+@lru_cache(maxsize=1)
+def grammar() -> list[list[tuple[int, int]]]:
+    """The composed table: step[state][class] = (next state, written symbol)."""
+    return reduce(Transducer.then, transducers()).step
 
 
 class Scorer:
-    def __init__(self, stems: dict[str, float]) -> None:
+    def __init__(self, stems: dict[str, float], lone: float = LONE) -> None:
+        """stems: learned beginnings of insults; lone: what one of these weighs by itself."""
         import ahocorasick
 
         self.step = grammar()
-        self.kind = {w: k for k, ws in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in ws}
-        self.words = {w: 1.0 for w in INSULTS}
-        self.stems = stems
+        classes = (REPORT, REPORTS), (NEGATION, NEGATIONS), (COPULA, COPULAS), (INTENT, INTENTS), (THIRD_PERSON, THIRD), (SECOND_PERSON, SECOND), (THREAT, THREATS), (INSULT, INSULTS)
+        self.kind = {w: k for k, ws in classes for w in ws}
+        self.stems, self.lone = stems, lone
         self.lengths = sorted({len(s) for s in stems})
         self.find = ahocorasick.Automaton()
-        for w in {*self.words, *THREATS, *stems}:
+        for w in {*INSULTS, *THREATS, *stems}:
             self.find.add_word(w, len(w))
         self.find.make_automaton()
 
-    def insult(self, word: str) -> float:
-        return max([self.words.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in self.lengths if n <= len(word))])
+    def learned(self, word: str) -> bool:
+        return any(word[:n] in self.stems for n in self.lengths if n <= len(word))
 
-    def clauses(self, text: str) -> list[float]:
-        """Weights of the clauses that match the grammar."""
-        low = text.lower()
-        if next(self.find.iter(low), None) is None:
-            return []
-        out, at = [], 0
-        marks = [(m.start(), m.end()) for m in _CLAUSE.finditer(low)] + [(len(low), len(low))]
+    def symbols(self, text: str) -> list[list[tuple[int, bool]]]:
+        """For each clause that matches, the written symbols that weigh, and whether each is of a learned word that isn't a fixed one."""
+        low = text.lower().replace("’", "'")
         hits = [end - n + 1 for end, n in self.find.iter(low)]
-        k = 0
+        out, at, k = [], 0, 0
+        if not hits:
+            return out
+        marks = [(m.start(), m.end()) for m in _CLAUSE.finditer(low)] + [(len(low), len(low))]
         for stop, after in marks:
             if k < len(hits) and hits[k] < after:
                 while k < len(hits) and hits[k] < after:
                     k += 1
-                weight, state = 0.0, 0
+                found, state = [], 0
                 for m in _WORD.finditer(low, at, stop):
                     w = m.group()
-                    own = self.insult(w)
-                    state, got = self.step[state][INSULT if own else self.kind.get(w, OTHER)]
-                    weight += got * (own or 1.0)
-                if weight:
-                    out.append(weight)
+                    kind = self.kind.get(w, OTHER)
+                    own = kind == OTHER and self.learned(w)
+                    state, symbol = self.step[state][INSULT if own else kind]
+                    if symbol in WEIGHTS:
+                        found.append((symbol, own))
+                if found:
+                    out.append(found)
             at = after
         return out
 
+    def clauses(self, text: str) -> list[float]:
+        """Weights of the clauses that match the grammar."""
+        return [sum(self.lone if own and s == INSULT else WEIGHTS[s] for s, own in found) for found in self.symbols(text)]
+
     def score(self, clauses: list[float]) -> float:
         return 1.0 - (1.0 - FLOOR) * math.exp(-sum(clauses))
 
@@ -165,8 +211,9 @@ class Scorer:
 # --- learning ----------------------------------------------------------------------------
 
 
-def _beginnings(text: str) -> set[str]:
-    return {w[:n] for w in _WORD.findall(text.lower()) for n in range(4, min(8, len(w)) + 1)}
+def _beginnings(text: str) -> Counter:
+    """How many words of a text have each beginning."""
+    return Counter(w[:n] for w in _WORD.findall(text.lower().replace("’", "'")) for n in range(4, min(8, len(w)) + 1))
 
 
 def _sketch(text: str) -> list[int]:
@@ -181,23 +228,37 @@ def _sketch(text: str) -> list[int]:
 def _count_with(wanted: set[str] | None):
     def run(frames):
         for f in frames:
-            seen: Counter = Counter()
+            once, twice = Counter(), Counter()
             for t in f["text"]:
                 b = _beginnings(as_text(t))
-                seen.update(b if wanted is None else b & wanted)
-            if seen:
-                yield pd.DataFrame({"stem": list(seen), "n": np.array(list(seen.values()), dtype=np.int64)})
+                told = b if wanted is None else b.keys() & wanted
+                once.update(dict.fromkeys(told, 1))
+                twice.update({w: 1 for w in told if b[w] > 1})
+            if once:
+                yield pd.DataFrame({"stem": list(once), "n": np.array(list(once.values()), dtype=np.int64), "twice": np.array([twice[w] for w in once], dtype=np.int64)})
+
+    return run
+
+
+def _lone_with(stems: dict[str, float]):
+    """Of every text whether its only match is one learned word."""
+
+    def run(frames):
+        scorer = Scorer(stems)
+        for f in frames:
+            found = [[x for clause in scorer.symbols(as_text(t)) for x in clause] for t in f["text"]]
+            yield pd.DataFrame({"toxic": f["toxic"], "lone": [x == [(INSULT, True)] for x in found]})
 
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_other: int = SAMPLE_OTHER) -> dict[str, float]:
-    """Stem to weight, from the labelled rows outside the held-out fold."""
+def learn(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_other: int = SAMPLE_OTHER) -> tuple[dict[str, float], float]:
+    """Stems with the share of their texts that are toxic, and what a lone one weighs, from the labelled rows outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     n = {bool(r["t"]): r["n"] for r in known.groupBy((F.col("toxic") == 1).alias("t")).agg(F.count("*").alias("n")).collect()}
     if not n.get(True) or not n.get(False):
-        return {}
+        return {}, LONE
     part = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30))
     share = {True: min(1.0, sample_toxic / n[True]), False: min(1.0, sample_other / n[False])}
     keep = known.where(part < F.when(F.col("toxic") == 1, int(share[True] * (1 << 30))).otherwise(int(share[False] * (1 << 30))))
@@ -213,23 +274,24 @@ def learn(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     for k in range(3):  # of texts that share a minimum, the one with the smallest id stays
         first = toxic.groupBy(toxic.m[k].alias("g")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
         toxic = toxic.join(first.distinct(), "doc_id", "left_semi")
-    toxic = materialise(toxic.select("text"), "toxic")
-    other = rows.where("toxic != 1").select("text")
+    toxic = materialise(toxic.select("text", "toxic"), "toxic")
+    other = rows.where("toxic != 1").select("text", "toxic")
     n_toxic, n_other = toxic.count(), other.count()
     if not n_toxic or not n_other:
-        return {}
-    count = lambda df, wanted: df.mapInPandas(_count_with(wanted), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+        return {}, LONE
+    count = lambda df, wanted: df.select("text").mapInPandas(_count_with(wanted), "stem string, n long, twice long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("twice").alias("twice"))
     # With m beginnings tried, chance alone reaches this many toxic texts about once in 100 learnings.
     tried = 200_000
     least = max(4, math.ceil(math.log(100 * tried) / math.log((n_toxic + n_other) / n_toxic)))
     least = max(least, n_toxic // 100)
-    in_toxic = {r["stem"]: r["n"] for r in count(toxic, None).where(F.col("n") >= least).collect()}  # at most words of the sample
-    in_other = {r["stem"]: r["n"] for r in count(other, set(in_toxic)).collect()}
+    in_toxic = {r["stem"]: (r["n"], r["twice"]) for r in count(toxic, None).where(F.col("n") >= least).collect()}  # at most words of the sample
+    in_other = {r["stem"]: (r["n"], r["twice"]) for r in count(other, set(in_toxic)).collect()}
     good = {}
-    for s, a in in_toxic.items():
-        b = in_other.get(s, 0)
-        if a / n_toxic >= 30 * (b + 0.5) / n_other or b == 0 and a >= least:
-            good[s] = (a, (a / n_toxic) / (a / n_toxic + b / n_other))
+    for s, seen in in_toxic.items():
+        # Once in a text or, for beginnings that other texts may have by chance, twice in it.
+        for a, b in zip(seen, in_other.get(s, (0, 0)), strict=True):
+            if s not in good and a >= least and (a / n_toxic >= 30 * (b + 0.5) / n_other or b == 0):
+                good[s] = (seen[0], (a / n_toxic) / (a / n_toxic + b / n_other))
     # Of a chain of beginnings that nearly the same texts have, the longest stays; it makes longer ones needless.
     # One that also stands in other texts gives way to a longer one that doesn't.
     best = {}
@@ -242,12 +304,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
             s = max(longer, key=lambda x: (good[x][0], x))
         if not any(s.startswith(x) for x in best):
             best[s] = good[s][1]
-    return best
+    lone = toxic.unionByName(other).mapInPandas(_lone_with(best), "toxic int, lone boolean").where("lone").groupBy("toxic").count().collect()
+    share = {r["toxic"] == 1: r["count"] / (n_toxic if r["toxic"] == 1 else n_other) for r in lone}
+    told = {r["toxic"] == 1: r["count"] for r in lone}
+    usual = 1 - (1 - FLOOR) * math.exp(-LONE)
+    seen = told.get(True, 0) + told.get(False, 0)
+    of_seen = share.get(True, 0.0) / (share.get(True, 0.0) + share.get(False, 0.0)) if seen else 0.0
+    p = min(0.9, (of_seen * seen + usual * PRIOR) / (seen + PRIOR))
+    return best, max(LONE, math.log((1 - FLOOR) / (1 - p)))
 
 
-def _score_with(stems: dict[str, float]):
+def _score_with(stems: dict[str, float], lone: float):
     def run(frames):
-        scorer = Scorer(stems)
+        scorer = Scorer(stems, lone)
         for f in frames:
             found = [scorer.clauses(as_text(t)) for t in f["text"]]
             score = [scorer.score(c) for c in found]
@@ -261,16 +330,16 @@ def _score_with(stems: dict[str, float]):
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document with its score; held_out tells the fold that was not learned from."""
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    return docs.select("doc_id", "text", held.alias("held_out")).mapInPandas(_score_with(learn(docs, labels)), SCHEMA)
+    return docs.select("doc_id", "text", held.alias("held_out")).mapInPandas(_score_with(*learn(docs, labels)), SCHEMA)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted to be toxic, with all their columns."""
-    stems = learn(docs, labels)
+    learned = learn(docs, labels)
 
     @F.pandas_udf("double")
     def rate(texts: pd.Series) -> pd.Series:
-        scorer = Scorer(stems)
+        scorer = Scorer(*learned)
         return pd.Series([scorer.score(scorer.clauses(as_text(t))) for t in texts], dtype="float64")
 
     return docs.where(rate(docs["text"]) < THRESHOLD)

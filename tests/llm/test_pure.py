@@ -244,10 +244,33 @@ def test_roles_cost_least():
 
 
 def test_grammar():
-    s = toxicity.Scorer({"zork": 1.0})
+    s = toxicity.Scorer({"zork": 1.0}, 0.5)
     w = lambda t: sum(s.clauses(t))
-    assert w("you idiot") > w("what an idiot") > w("not an idiot") > 0 and w("he said idiot") < 0.3 and w("zorkish people") == 1.0
-    assert w("I will kill you") > 1 and w("they kill time") == 0 and w("") == 0 and s.score([]) == pytest.approx(toxicity.FLOOR)
+    assert w("you idiot") > w("what an idiot") > w("not an idiot") > 0 and w("he said idiot") < 0.3 and w("zorkish people") == 0.5
+    assert w("they kill time") == 0 and w("") == 0 and s.score([]) == pytest.approx(toxicity.FLOOR)
+    rate = lambda t: s.score(s.clauses(t))
+    for t in ("Please put the trash in the bin.", "The pathetic fallacy is a literary term.", "he beat them in the final", "put them in the trash", "you are not an idiot", "He said you are an idiot"):
+        assert rate(t) < toxicity.THRESHOLD, t
+    for t in ("I will kill you", "kill you", "I'm going to hurt him", "you idiot", "He is a moron", "You’re a pathetic loser", "stupid, stupid. A moron"):
+        assert rate(t) >= toxicity.THRESHOLD, t
+
+
+def test_composed_grammar_equals_its_transducers():
+    r = random.Random(8)
+    table = toxicity.grammar()
+    for _ in range(3_000):
+        word = [r.randrange(9) for _ in range(r.randrange(12))]
+        state, got = 0, []
+        for a in word:
+            state, symbol = table[state][a]
+            got.append(symbol)
+        for t in toxicity.transducers():
+            state, out = 0, []
+            for a in word:
+                state, symbol = t.step[state][a]
+                out.append(symbol)
+            word = out
+        assert got == word
 
 
 def test_pages():
@@ -259,6 +282,43 @@ def test_pages():
     assert m(f"<div class=menu>m</div><h1>Head</h1><p>{long}</p><p>short</p><div id=footer>f</div>") == ["Head", long, "short"]
 
 
+def test_an_article_keeps_its_own_text():
+    m = html_text.main_text
+    long = "A line of text that is certainly longer than the bound of eighty characters, as it goes on and on."
+    assert m('<article><p title="the hidden truth">keep</p><h2 id="related-work">Related work</h2><section id="search-form-design"><p>x</p></section><p class="notice">n</p><p><a href=u>all link</a></p></article>') == ["keep", "Related work", "x", "n", "all link"]
+    assert m('<article><div class="advert box">a</div><p class="ad">a</p><ul class="share-buttons"><li>s</ul><div class="comment-list">c</div><p hidden>h</p><p style="display: none">h</p><p>t</p></article>') == ["t"]
+    # Teasers beside the article go, short articles alone stay, and so does the text of main around an article.
+    assert m(f"<main><h1>Head</h1><article><p>{long}</p><p>s</p></article><article><a href=u>teaser</a></article></main>") == ["Head", long, "s"]
+    assert m("<article><p>one</p></article><article><p>two</p></article>") == ["one", "two"]
+    assert m(f"<div><p>{long}</p><p><a href=u>only a link</a></p><p>{long}</p></div><div>(c)</div>") == [long, "only a link", long, "(c)"]
+
+
+def test_stretches_equal_their_definition():
+    r = random.Random(4)
+    for _ in range(500):
+        w = [r.choice([0, 0, 0, 5, 30, 90]) for _ in range(r.randrange(1, 25))]
+        window = [sum(w[i : i + 3]) for i in range(len(w))]
+        want, i = [], 0
+        while i < len(w):
+            if window[i] >= 80:
+                a = next(k for k in range(i, len(w)) if w[k])
+                b = next((k for k in range(a, len(w)) if not window[k]), len(w))
+                want.append((a, b))
+                i = max(b, i + 1)
+            else:
+                i += 1
+        assert html_text.stretches_of(np.array(w), 80) == want
+
+
+@pytest.mark.parametrize("text", ["<a '" * 50_000, "<div>" * 100_000, "<div>" * 50_000 + "</x>" * 50_000, "<svg>" * 50_000, "<" * 200_000, "<a " + "\"='" * 100_000 + ">", "<nav>" + "<article>" * 30_000, "<!--" * 100_000, "<div>x" * 30_000])
+def test_hostile_pages_take_linear_time(text):
+    import time
+
+    begin = time.monotonic()
+    html_text.main_text(text)
+    assert time.monotonic() - begin < 10
+
+
 def test_pages_without_an_article():
     m = html_text.main_text
     long = "A line of text that is certainly longer than the bound of eighty characters, as it goes on and on."

@@ -86,7 +86,7 @@ def test_toxicity(spark, docs, none):
     rows = [(i, f"{base[i % 3]} {i} {i * 7} {'zorkel' + 'abcdefgh'[i % 8] if i % 5 == 0 else 'fine'} and {i * i}", int(i % 5 == 0)) for i in range(400)]
     d = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (3, None), (9999, 1)], "doc_id long, toxic int")
-    assert any(s.startswith("zork") for s in toxicity.learn(d, labels))
+    assert any(s.startswith("zork") for s in toxicity.learn(d, labels)[0])
     got = {r.doc_id: r for r in toxicity.score(d, labels).collect()}
     assert all(got[i].predicted == y for i, _, y in rows) and all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, _, _ in rows)
     assert [r.score for r in toxicity.score(docs, labels.where("false")).where("doc_id in (2, 3)").collect()] == [pytest.approx(toxicity.FLOOR)] * 2
@@ -152,6 +152,24 @@ def test_nearest(spark):
     assert ann.nearest(d.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("case", ["outlier", "lognormal"])
+def test_nearest_over_many_shards_and_norms(spark, case):
+    r = np.random.default_rng(4)
+    v = r.normal(size=(2_000, 24))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    if case == "outlier":
+        v[17] *= 1e6
+    else:
+        v *= np.exp(r.normal(size=2_000))[:, None]
+    got = ann.nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), shard_rows=500).toPandas()
+    exact, hits, asked = v @ v.T, 0, range(0, 2_000, 20)
+    for q in asked:
+        s = exact[q].copy()
+        s[q] = -np.inf
+        hits += len(set(np.lexsort([np.arange(2_000), -s])[:20]) & set(got[got["query_id"] == q]["vec_id"]))
+    assert hits >= 0.95 * 20 * len(asked) and (got.groupby("query_id").size() == 20).all()
+
+
 def test_chat_over_many_ranges(spark):
     import random
 
@@ -231,10 +249,55 @@ def test_pseudonyms_beside_other_digits(spark):
             assert len(new) == len(text)
 
 
-def test_feistel_is_a_permutation(spark):
-    pair = F.array((F.col("id") / 261).cast("int"), (F.col("id") % 261).cast("int"))
-    d = spark.range(280 * 261).select(pii.feistel(pair, F.array(F.lit(280), F.lit(261)), "k", "date").alias("v"))
-    assert d.distinct().count() == 280 * 261 and d.where("v[0] < 0 or v[0] >= 280 or v[1] < 0 or v[1] >= 261").count() == 0
+def _feistel(values, bases, key, kind):
+    """The network of the operator in plain Python."""
+    import hashlib
+
+    n, half = len(values), len(values) // 2
+    left, right = list(values[:half]), list(values[half:])
+    for i in range(pii.ROUNDS):
+        own, base, other = (right, bases[half:], left) if i % 2 == 0 else (left, bases[:half], right)
+        digest = hashlib.sha256(",".join([key, kind, str(n), str(i), ",".join(map(str, other))]).encode()).hexdigest()
+        own[:] = [(v + int(digest[(k * 6) % 54 + k // 9 % 5 :][:6], 16)) % b for k, (v, b) in enumerate(zip(own, base, strict=True))]
+    return left + right
+
+
+def test_feistel_equals_plain_python(spark):
+    r = np.random.default_rng(3)
+    rows = []
+    for k in range(200):
+        bases = r.choice([1, 2, 10, 26, 256, 9999], r.integers(1, 40)).tolist()
+        rows.append((k, [int(r.integers(0, b)) for b in bases], bases))
+    d = spark.createDataFrame(rows, "k long, v array<int>, b array<int>")
+    got = {x.k: x.out for x in d.select("k", pii.feistel(F.col("v"), F.col("b"), "key", "mail").alias("out")).collect()}
+    assert all(got[k] == _feistel(v, b, "key", "mail") for k, v, b in rows)
+
+
+def test_days_are_permuted(spark):
+    d = spark.range(pii.DAYS).select(F.col("id").cast("int").alias("id"), pii.day_pseudonym(F.col("id").cast("int"), "k").alias("d")).toPandas()
+    assert sorted(d["d"]) == list(range(pii.DAYS))
+    for a, b in d.sample(300, random_state=1).itertuples(index=False):
+        while True:
+            h, low = _feistel([a // 261, a % 261], [280, 261], "k", "date")
+            a = h * 261 + low
+            if a < pii.DAYS:
+                break
+        assert a == b
+
+
+def test_pseudonyms_of_hostile_texts(spark):
+    texts = ["x a@" + "b1." * 100_000 + "com", "y " + "a" * 300_000 + "@x.com", "z a@" + "b-" * 100_000 + "c.com", "1.2.3.4 " * 5_000, "a@" * 50_000, "+49 " * 20_000]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    assert len(got) == len(texts) and got[1].n_mail == got[2].n_mail == 1 and got[3].n_ip == 5_000 and got[0].text == texts[0]
+
+
+def test_pseudonyms_of_phones_abroad(spark):
+    text = "+49 (0)30 1234567, +33 1 23 45 67 89; 01 23 45 67 89 or +34 612 345 678 and 01 23 45 67 89 10"
+    r = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    assert r.n_phone == 4 and len(r.text) == len(text) and r.text.endswith(" and 01 23 45 67 89 10")
+    for kept in ("+49 (0)", "+33 ", "; 0", "+34 "):
+        assert kept in r.text
+    assert not any(x in r.text for x in ("30 1234567", "1 23 45 67 89;", "612 345 678"))
 
 
 def test_sql_agrees(spark, data, duck):
