@@ -7,6 +7,8 @@ Everything that is written between two jobs goes below ``spark.checkpoint.dir``
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,13 +16,35 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: list[str] = []  # the folder of a session without a cluster
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder name below the shared checkpoint folder."""
+    """A new folder name below the shared checkpoint folder.
+
+    Without ``spark.checkpoint.dir`` a temporary folder is used, which goes when Python ends; that works
+    only where driver and tasks are one machine, so on a cluster it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # only without a cluster, as in tests
-        base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quillspark/{tag}-{uuid.uuid4().hex}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="quillspark-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+        base = "file://" + _LOCAL[0]
+    _MADE.append(f"{base.rstrip('/')}/quillspark/{tag}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the folders that this process made, when their results have been used; how many there were."""
+    n = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

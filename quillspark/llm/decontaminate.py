@@ -3,12 +3,14 @@
 Each run of documents of a few million characters is one shard.  Its words become integer
 codes (0: a word that no benchmark item has), and a suffix array is built over the
 stretches of known words that are long enough to hold a window; every other suffix could
-never match a test suffix.  Prefix doubling ranks the suffixes to 16 words, which is more than the 13 of a
-window.  Every suffix of the test items is binary-searched in it; the ranges give all
-occurrences of each window, and from there the longest verbatim match and its place.
+never hold one.  Prefix doubling goes on until the suffixes are in true order.  Every suffix of the
+test items that begins a window is binary-searched in it; the ranges give all occurrences of each
+window.  Windows that go on both in the text and in the item make up the verbatim matches, of which
+the longest and its place are told; a match shorter than its item's window counts as none.
 
-The benchmark is shared with the tasks as blocks of at most ``BLOCK_WORDS`` words, so
-what a task holds has a fixed size; more blocks mean more passes over the documents.
+A Spark job writes the benchmark to the shared folder in blocks of about ``BLOCK_WORDS`` words; the
+driver sees only their names, one for each block.  A task holds one block at a time, whose size doesn't
+grow with the benchmark; more blocks mean more passes over the documents.
 
 Defined results: null text has no words; an item without words is ignored; a null
 item_id is written as "null"; repeated rows each give a row; other columns are ignored.
@@ -17,6 +19,8 @@ item_id is written as "null"; repeated rows each give a row; other columns are i
 from __future__ import annotations
 
 import hashlib
+import pickle
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_text
+from .common import as_text, materialise, open_fs, scratch
 from .tokens import slices
 
 WINDOW = 13
-#: Most words of benchmark items in one broadcast block (about 50 MB).
+#: Words of benchmark items in one block, about (some 50 MB).
 BLOCK_WORDS = 1_000_000
 #: Characters of the documents in one shard, about; a longer document is a shard of its own.
 SHARD_CHARS = 3_000_000
@@ -84,16 +88,21 @@ class Items:
         self.least = int(self.sizes.min()) if len(windows) else 0
 
 
-def suffix_array(codes: np.ndarray, places: np.ndarray, depth: int = 16) -> np.ndarray:
-    """``places`` ordered by the ``depth`` words of ``codes`` from each of them (0 sorts first)."""
+def suffix_array(codes: np.ndarray, places: np.ndarray, longest: int) -> np.ndarray:
+    """``places`` in the order of the suffixes of ``codes`` that begin there (0 sorts first).
+
+    No two places are followed by the same words for more than ``longest``.
+    """
     n = len(codes)
     rank = codes.astype(np.int64)
     step = 1
-    while step < min(depth, n):
+    while step < min(longest + 1, n):
         after = np.zeros(n, dtype=np.int64)
         after[: n - step] = rank[step:]
         key = rank * (rank.max() + 1) + after
         rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        if rank.max() == n - 1:
+            break
         step *= 2
     return places[np.argsort(rank[places], kind="stable")]
 
@@ -163,7 +172,7 @@ def find(texts: list[str], items: Items) -> tuple[np.ndarray, list]:
             origin = np.arange(total) - np.repeat(offset, lengths + 1) + np.repeat(runs, lengths + 1)
             short = codes[origin]  # the word behind a stretch has code 0
             left = np.repeat(lengths, lengths + 1) - (np.arange(total) - np.repeat(offset, lengths + 1))
-            order = suffix_array(short, np.flatnonzero(left >= items.least))
+            order = suffix_array(short, np.flatnonzero(left >= items.least), int(lengths.max()))
             low, high = ranges(short, order, items)
             n = high - low
             if n.any():
@@ -203,14 +212,21 @@ def _row(n_words: int, hit: np.ndarray | None, names) -> tuple:
     return n_hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), 20 * n_hit >= n_words, longest, start
 
 
-def _frames_with(blocks):
-    """The per-batch function; ``blocks`` are the broadcast blocks, searched one after another."""
+@lru_cache(maxsize=1)
+def _block(path: str) -> Items:
+    fs, at = open_fs(path)
+    with fs.open_input_file(at) as file:
+        return pickle.loads(file.read())
+
+
+def _frames_with(blocks: list[str], load=_block):
+    """The per-batch function; ``blocks`` are the blocks' files, loaded and searched one after another."""
 
     def part_of(doc_ids, texts: list[str]) -> pd.DataFrame:
         per: dict[int, list] = {}
         counts, names, shift = None, [], 0
         for b in blocks:
-            items = b.value
+            items = load(b)
             counts, hits = find(texts, items)
             for h in hits:
                 h[:, 3] += len(names)
@@ -246,21 +262,41 @@ def _frames_with(blocks):
     return run
 
 
-def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list:
-    """The items as broadcast blocks of bounded size, read item by item."""
-    spark = benchmark.sparkSession
-    rows, size, out = [], 0, []
+def _blocks_with(folder: str, block_words: int):
+    def run(frames):
+        import uuid
+
+        def save(rows) -> pd.DataFrame:
+            path = f"{folder}/block-{uuid.uuid4().hex}"
+            fs, at = open_fs(path)
+            fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(at) as out:
+                out.write(pickle.dumps(Items(rows), protocol=5))
+            return pd.DataFrame({"path": [path]})
+
+        rows, size = [], 0
+        for f in frames:
+            for item, text in f[["item", "text"]].itertuples(index=False):
+                n = len(text) // 2 + 1
+                if rows and size + n > block_words:
+                    yield save(rows)
+                    rows, size = [], 0
+                rows.append((item, text))
+                size += n
+        if rows:
+            yield save(rows)
+
+    return run
+
+
+def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[str]:
+    """Write the items as blocks of bounded size; their files' names."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").where("text is not null")
-    for item, text in items.toLocalIterator(prefetchPartitions=True):
-        n = len(text) // 2 + 1
-        if rows and size + n > block_words:
-            out.append(spark.sparkContext.broadcast(Items(rows)))
-            rows, size = [], 0
-        rows.append((item, text))
-        size += n
-    if rows:
-        out.append(spark.sparkContext.broadcast(Items(rows)))
-    return out
+    words = items.agg(F.sum(F.length("text").cast("long") / 2 + 1)).first()[0]
+    if words is None:
+        return []
+    written = items.repartition(1 + int(words) // block_words).mapInPandas(_blocks_with(scratch(benchmark.sparkSession, "benchmark"), block_words), "path string")
+    return sorted(r["path"] for r in materialise(written, "blocks").collect())
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:

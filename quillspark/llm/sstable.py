@@ -253,11 +253,11 @@ def read(manifest: DataFrame) -> DataFrame:
 
 def _look_up(frames):
     for f in frames:
-        for path, group in f.groupby("path"):
+        for (shard, path), group in f.groupby(["shard", "path"]):
             reader = Reader(path)
-            rows = [(int(d), None if (ids := reader.get(int(d))) is None else ids.tolist()) for d in group["doc_id"]]
+            rows = [(int(d), shard, None if (ids := reader.get(int(d))) is None else ids.tolist()) for d in group["doc_id"]]
             reader.close()
-            yield pd.DataFrame(rows, columns=["doc_id", "ids"])
+            yield pd.DataFrame(rows, columns=["doc_id", "shard", "ids"])
 
 
 def lookup(spark: SparkSession, manifest: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -265,7 +265,9 @@ def lookup(spark: SparkSession, manifest: DataFrame, wanted: DataFrame) -> DataF
 
     A wanted id is sent to the file whose range holds it; ids that no file has give no row.
     """
-    files = manifest.select("path", "first_id", "last_id")
+    files = manifest.select("shard", "path", "first_id", "last_id")
     near = wanted.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
-    to = near.join(files, (near.doc_id >= files.first_id) & (near.doc_id <= files.last_id)).select("doc_id", "path")
-    return to.repartition("path").mapInPandas(_look_up, "doc_id long, ids array<int>").where("ids is not null").dropDuplicates(["doc_id"])
+    to = near.join(files, (near.doc_id >= files.first_id) & (near.doc_id <= files.last_id)).select("doc_id", "shard", "path")
+    found = to.repartition("path").mapInPandas(_look_up, "doc_id long, shard long, ids array<int>").where("ids is not null")
+    # Each file numbers a repeated id anew, so the first file that has it holds the first one.
+    return found.groupBy("doc_id").agg(F.min_by("ids", "shard").alias("ids"))

@@ -82,16 +82,25 @@ def windows(texts, items):
     return out
 
 
-class Value:
-    def __init__(self, value):
-        self.value = value
-
-
 def decontaminated(texts, items, blocks=1):
     size = max(1, -(-len(items) // blocks))
-    parts = [Value(decontaminate.Items(items[a : a + size])) for a in range(0, len(items), size)]
+    parts = [decontaminate.Items(items[a : a + size]) for a in range(0, len(items), size)]
     frame = pd.DataFrame({"doc_id": pd.array(range(len(texts)), dtype="Int64"), "text": texts})
-    return pd.concat(decontaminate._frames_with(parts)([frame]))
+    return pd.concat(decontaminate._frames_with(parts, lambda b: b)([frame]))
+
+
+def test_suffixes_are_in_true_order():
+    r = random.Random(2)
+    for _ in range(200):
+        codes, longest, run = [], 0, 0
+        for _ in range(r.randrange(1, 60)):
+            codes.append(r.choice([0, 1, 1, 2]))
+            run = run + 1 if codes[-1] else 0
+            longest = max(longest, run)
+        codes.append(0)
+        got = decontaminate.suffix_array(np.array(codes), np.arange(len(codes)), longest)
+        word = lambda p: codes[p : codes.index(0, p) + 1]
+        assert [word(p) for p in got] == sorted(word(p) for p in range(len(codes)))
 
 
 @pytest.mark.parametrize("seed", range(25))

@@ -57,6 +57,12 @@ def test_tables(spark, docs, none):
     found = sstable.lookup(spark, manifest, spark.createDataFrame([(4,), (99,), (1,)], "doc_id long")).collect()
     assert {r.doc_id: r.ids for r in found} == {4: ids(LONG, 1).tolist(), 1: ids(ROWS[0][1], 1).tolist()}
     assert sstable.read(sstable.write(none)).count() == 0
+    # One id in several files: the first file's first entry.
+    same = spark.createDataFrame([(5, f"text number {k}") for k in range(40)], "doc_id long, text string")
+    manifest = sstable.write(same, shards=4)
+    assert manifest.count() > 1
+    first = sorted((F_h, t) for F_h, t in same.select(F.xxhash64("text"), "text").collect())[0][1]
+    assert sstable.lookup(spark, manifest, spark.createDataFrame([(5,)], "doc_id long")).first()["ids"] == ids(first, 1).tolist()
 
 
 def test_secrets(docs, none):
@@ -76,6 +82,8 @@ def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(7, "cat sat on the mat and then it ran away home x"), (8, "SAT on"), (9, None), (10, "..")], "item_id long, text string").withColumn("score", F.lit(0))
     got = decontaminate.contamination(docs, items).where("doc_id = 1").collect()
     assert len(got) == 2 and [(r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got] == [(12, 2, 1, True)] * 2
+    few = decontaminate.blocks_of(items, block_words=5)
+    assert len(few) > 1 and decontaminate.contamination(docs, items, block_words=5).where("doc_id = 1").collect() == got
     kept = decontaminate.drop_contaminated(docs, items)
     assert kept.columns == docs.columns and kept.count() == len(ROWS) - 2
     assert decontaminate.drop_contaminated(docs, items.where("false")).count() == len(ROWS) and decontaminate.contamination(none, items).count() == 0
