@@ -7,12 +7,15 @@ one given bin, so that even a single shingle fills all of them.  ``BANDS`` bands
 ``ROWS`` coordinates give the buckets: two texts of similarity 0.75 miss each other in all
 of them with a chance of (1 - 0.75 ** 5) ** 40, about 2 in 100,000.
 
-Texts with equal sets are one class from the start.  Of the classes in a bucket, each is
+Texts with equal sets are one class from the start.  Where a join's key may be hot (a bucket of
+many classes, a class of many texts, a popular least class), the key's rows are dealt over salts;
+which keys are hot is broadcast, at most ``HOT_KEYS`` small rows (see ``hot_of``).  Of the classes in a bucket, each is
 first held against the bucket's least one; the links that full sets confirm give
 components.  Only buckets that then still hold two components or more need a closer look:
 there, classes of different components are compared within blocks of ``BLOCK``, sketches
 first and then full sets.  All block pairs are compared, and a pair that is skipped lies
-in one component already, so no link that joins two components is lost.  What a block
+in one component already, so no link that joins two components is lost.  Blocks are bounded by
+members and by the bytes of their sets, ``BLOCK_BYTES``.  What a block
 pair returns are the links of a forest, never all pairs.
 
 Defined results: null or empty text has the empty set and is linked with nothing, so its
@@ -41,6 +44,10 @@ PERCENT = 75
 #: Sketches that agree in fewer coordinates are of less than that similarity but for 1 pair in 100,000.
 LEAST_AGREE = int(COORDINATES * 0.62)
 BLOCK = 512
+#: Bytes of full sets in a block, about.
+BLOCK_BYTES = 64 << 20
+#: Most keys that are told as hot; what is told of them is broadcast.
+HOT_KEYS = 50_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -154,7 +161,7 @@ def _set_frames(frames):
     for f in frames:
         texts = [as_text(t) for t in f["text"]]
         for a, b in slices(texts, 1_500_000):
-            yield pd.DataFrame({"fp": f["fp"].iloc[a:b].array, "sketch": f["sketch"].iloc[a:b].array, "full": [s.tobytes() for s in shingle_sets(texts[a:b])]})
+            yield pd.DataFrame({"node": f["node"].iloc[a:b].array, "sketch": f["sketch"].iloc[a:b].array, "full": [s.tobytes() for s in shingle_sets(texts[a:b])]})
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -254,59 +261,104 @@ def components(links: DataFrame) -> DataFrame:
         last = now
 
 
+def hot_of(counts: DataFrame, key: str, total: int) -> DataFrame:
+    """(key, salts) of the keys that more than ``BLOCK`` and a ``HOT_KEYS``-th of all ``total`` rows have.
+
+    counts: key and n, the number of its rows, ``total`` of all together.  There can be no more than
+    ``HOT_KEYS`` such keys, so that many small rows are broadcast at most.
+    """
+    return F.broadcast(counts.where(F.col("n") > max(BLOCK, total // HOT_KEYS)).select(key, F.ceil(F.col("n") / BLOCK).cast("int").alias("salts")))
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame, spread) -> DataFrame:
+    """Inner join by key; rows of a hot key are dealt by ``spread`` over its salts, for each of which ``side``'s row is repeated."""
+    salts = F.coalesce("salts", F.lit(1))
+    rows = rows.join(hot, key, "left").withColumn("salt", F.pmod(spread, salts).cast("int")).drop("salts")
+    side = side.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return rows.join(side, [key, "salt"]).drop("salt")
+
+
+_SIGN = -(1 << 63)
+
+
+def _node(doc_id, fp):
+    """A name of 25 bytes that sorts by id, null last, and then by fingerprint."""
+    return F.unhex(F.concat(F.when(doc_id.isNull(), "01").otherwise("00"), F.lpad(F.hex(F.coalesce(doc_id, F.lit(0)).bitwiseXOR(F.lit(_SIGN))), 16, "0"), F.hex(fp)))
+
+
+def _id_of(node):
+    return F.when(F.hex(F.substring(node, 1, 1)) == "00", F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(_SIGN)))
+
+
 def groups(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept (and h, the hash of its text)."""
+    """One row per document: doc_id, n_shingles, component_id, kept (and h, the hash of its text, and component, its name)."""
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
     marks = materialise(texts.mapInPandas(_sketch_frames, SKETCH), "sketches")
+    # A class is what texts of equal sets are; its name begins with their least id, so a component's least name tells its id.
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "sketch", "n_shingles")
+    classes = marks.where("fp is not null").groupBy("fp").agg(F.min(least).alias("r"), F.count("*").alias("n"))
+    classes = classes.select("fp", "n", _node(F.col("r.doc_id"), F.col("fp")).alias("node"), F.col("r.doc_id").alias("d"), F.col("r.h").alias("h1"), F.col("r.sketch").alias("sketch"), F.col("r.n_shingles").alias("size"))
+    classes = materialise(classes, "classes")
+    n_classes = classes.count()
+
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sketch", k * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    member = marks.where("fp is not null").select("fp", F.explode(bands).alias("key"))
-    bucket = member.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least != most").select("key", "least")
-    member = materialise(member.join(bucket, "key").distinct(), "members")
+    member = classes.select("node", "size", F.explode(bands).alias("key"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks")
+    bucket = member.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    bucket = materialise(bucket.where("least != most").select("key", "least", "n", blocks), "buckets")
+    member = spread_join(member.select("key", "node"), bucket.drop("n"), "key", hot_of(bucket, "key", n_classes * BANDS), F.xxhash64("node"))
+    member = materialise(member, "members")
 
     # Full sets, only of classes that share a bucket with another one; each from one of its texts.
-    wanted = member.select("fp").distinct()
-    one = marks.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "h", "sketch")).alias("r"))
-    one = materialise(one.select("fp", F.col("r.doc_id").alias("d"), F.col("r.h").alias("h1"), F.col("r.sketch").alias("sketch")), "classes")
-    full = texts.join(one, texts.doc_id.eqNullSafe(one.d) & (texts.h == one.h1)).select("fp", "sketch", "text").dropDuplicates(["fp"])
-    full = materialise(full.mapInPandas(_set_frames, "fp binary, sketch binary, full binary"), "sets")
+    one = classes.join(member.select("node").distinct(), "node", "left_semi").select("node", "d", "h1", "sketch")
+    full = texts.join(one, texts.doc_id.eqNullSafe(one.d) & (texts.h == one.h1)).select("node", "sketch", "text")
+    if marks.groupBy("doc_id", "h").count().where("count > 1").limit(1).count():  # only repeated rows give a class several texts
+        full = full.dropDuplicates(["node"])
+    full = materialise(full.mapInPandas(_set_frames, "node binary, sketch binary, full binary"), "sets")
 
     # First links: each class against the least class of all its buckets.
-    pair = member.where("fp != least").groupBy("fp").agg(F.min("least").alias("least"))
-    sets = full.select("fp", "full")
-    pair = pair.join(sets, "fp").join(sets.select(F.col("fp").alias("least"), F.col("full").alias("other")), "least")
-    links = materialise(pair.where(linked("full", "other")).select(F.col("fp").alias("a"), F.col("least").alias("b")), "links")
+    pair = materialise(member.where("node != least").groupBy("node").agg(F.min("least").alias("least")), "pairs")
+    sets = full.select("node", "full")
+    popular = hot_of(pair.groupBy("least").agg(F.count("*").alias("n")), "least", n_classes)
+    pair = spread_join(pair.join(sets, "node"), sets.select(F.col("node").alias("least"), F.col("full").alias("other")), "least", popular, F.xxhash64("node"))
+    links = materialise(pair.where(linked("full", "other")).select(F.col("node").alias("a"), F.col("least").alias("b")), "links")
     label = components(links)
 
     # Buckets that still hold several components, in pairs of blocks.
-    placed = member.join(label, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("component", "fp").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x != y")
-    split = split.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    open_ = placed.join(split, "key").withColumn("own", block)
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = member.join(label, "node", "left").select("key", "node", "blocks", F.coalesce("component", "node").alias("component"), own.alias("own"))
+    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("blocks").alias("b")).where("x != y")
+    split = split.select("key", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("own"))
+    open_ = placed.join(split, ["key", "own"])
     open_ = open_.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("key", "fp", "component", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"))
-    dealt = open_.join(full, "fp").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
+    open_ = open_.select("key", "node", "component", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"))
+    dealt = open_.join(full, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     more = materialise(dealt.select("key", "i", "j", "side", "component", "sketch", "full").mapInPandas(_forest_frames, "a binary, b binary"), "more-links")
     label = components(links.unionByName(more))
 
-    node = marks.join(label, F.col("fp") == F.col("node"), "left").select("doc_id", "h", "n_shingles", F.coalesce("component", "fp").alias("component"))
-    least = node.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")).select(F.col("component").alias("c"), "least")
-    out = node.join(least, F.col("component") == F.col("c"), "left")
-    cid = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"), "h")
+    cls = classes.select("fp", "node", "n").join(label, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component"))
+    alike = marks.where("fp is not null").select("doc_id", "h", "n_shingles", "fp")
+    alike = spread_join(alike, cls.drop("n"), "fp", hot_of(classes.select("fp", "n"), "fp", marks.count()), F.monotonically_increasing_id())
+    empty = marks.where("fp is null").select("doc_id", "h", "n_shingles", F.lit(None).cast("binary").alias("component"))
+    node = alike.select(*empty.columns).unionByName(empty)
+    cid = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(_id_of(F.col("component")))
+    return node.select("doc_id", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"), "h", "component")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document with its component and whether it stays."""
-    return groups(docs).drop("h")
+    return groups(docs).drop("h", "component")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component, with all their columns.
 
-    Rows that repeat both the id and the text of a kept one are dropped as well.
+    Of several texts of the least id in a component that of the least hash stays, and of rows that
+    repeat both id and text, one.
     """
-    keep = materialise(groups(docs).where("kept").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")), "kept")
-    repeated = keep.groupBy("_d", "_h").count().where("count > 1").limit(1).count()
+    kept = materialise(groups(docs).where("kept").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "component"), "kept")
+    repeated = kept.groupBy("_d", "_h").count().where("count > 1").limit(1).count()
+    first = kept.where("component is not null").groupBy("component").agg(F.min(F.struct("_d", "_h")).alias("r")).select("r.*")
+    keep = first.unionByName(kept.where("component is null").select("_d", "_h"))
     out = docs.join(keep.distinct(), docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left_semi")
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out

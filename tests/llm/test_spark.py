@@ -109,17 +109,25 @@ def test_near_duplicates(spark, docs, none):
     out = neardup.drop_near_duplicates(docs)
     assert out.columns == docs.columns and sorted(r.doc_id or 0 for r in out.collect()) == [0, 1, 2, 3, 4, 6]
     assert neardup.near_duplicates(none).count() == 0
+    # One id with different texts of one component: one of them stays; the least id may be negative or null.
+    same = docs.limit(0).sparkSession.createDataFrame([(1, LONG), (1, LONG + " end"), (7, LONG), (-3, LONG + " x"), (None, LONG + " y"), (None, "no id but a text"), (None, "no id but a text")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(same).where("n_shingles > 100").collect()} == {(1, -3), (7, -3), (-3, -3), (None, -3)}
+    assert sorted((r.doc_id is None, r.doc_id) for r in neardup.drop_near_duplicates(same).collect()) == [(False, -3), (True, None)]
+    assert neardup.drop_near_duplicates(same.where("doc_id = 1")).count() == 1
 
 
-def test_near_duplicates_of_a_large_family(spark):
+@pytest.mark.parametrize(("members", "block", "hot"), [(160, 512, 50_000), (1_100, 512, 50_000), (220, 16, 20)])
+def test_near_duplicates_of_a_large_family(spark, monkeypatch, members, block, hot):
     """A family around one text, whose members are often less alike among themselves; brute force agrees."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "HOT_KEYS", hot)
     import itertools
     import random
 
     r = random.Random(11)
     base = [f"w{r.randrange(5000)}" for _ in range(120)]
     rows = []
-    for k in range(160):
+    for k in range(members):
         w = list(base)
         for _ in range(r.choice([1, 2, 4, 6, 8])):
             w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
