@@ -49,6 +49,7 @@ TURN = "conv_id long, turn long, role string, text string, seg int, pos long, wh
 DECISION = "out_role int, opens boolean, relabelled boolean, before array<int>, after array<int>, out_turn long, part long, last boolean"
 
 
+@lru_cache(maxsize=1024)
 def role_of(role) -> int:
     name = as_text(role).strip().lower()
     name = ALIASES.get(name, name)
@@ -110,8 +111,11 @@ def decide(roles: list[int], entry: int, leave: int | None) -> tuple[list[tuple]
     return out[::-1], leave
 
 
-def _decisions(roles: list[int], entry: int, leave: int | None, first: bool) -> pd.DataFrame:
-    """Columns of DECISION; out_turn and part count from the piece's own beginning."""
+_COLUMNS = ["out_role", "opens", "relabelled", "before", "after", "out_turn", "part", "last"]
+
+
+def _rows(roles: tuple[int, ...], entry: int, leave: int | None) -> list[tuple]:
+    """Rows of DECISION; out_turn and part count from the piece's own beginning."""
     chosen, state = decide(roles, entry, leave)
     turn, part, rows = -1, 0, []
     for k, (_, _, o, opens, before) in enumerate(chosen):
@@ -121,43 +125,50 @@ def _decisions(roles: list[int], entry: int, leave: int | None, first: bool) ->
             part += 1
         last = leave is None and k == len(chosen) - 1
         rows.append((o, opens, roles[k] != o, list(before), list(ENDING[state]) if last else [], turn, part, last))
-    return pd.DataFrame(rows, columns=["out_role", "opens", "relabelled", "before", "after", "out_turn", "part", "last"])
+    return rows
+
+
+#: Short conversations repeat their sequence of roles; a worker decides each sequence once.
+_SHORT = 24
+_short_rows = lru_cache(maxsize=20_000)(lambda roles: _rows(roles, START, None))
 
 
-def _pieces(frames):
-    """Conversations of one range, one behind another: (frame, touches the border)."""
+def _batches(frames):
+    """(frame of whole conversations one behind another, where each begins, whether the first, and the last, touches the border)."""
     rest, first = None, True
     for f in frames:
         f = f if rest is None else pd.concat([rest, f], ignore_index=True)
         key = f["conv_id"].astype("Int64").fillna(-(1 << 62)).to_numpy(dtype=np.int64)
         cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            yield f.iloc[a:b], first
+        if len(cuts) > 1:
+            yield f.iloc[: cuts[-1]], cuts[:-1], first, False
             first = False
         rest = f.iloc[cuts[-1] :]
     if rest is not None and len(rest):
-        yield rest, True
+        yield rest, [0], first, True
 
 
 def _repair_frames(frames):
     from pyspark import TaskContext
 
-    seg, pos, ready, size = TaskContext.get().partitionId(), 0, [], 0
-    for piece, border in _pieces(frames):
-        out = piece[["conv_id", "turn", "role", "text"]].reset_index(drop=True)
+    seg, pos = TaskContext.get().partitionId(), 0
+    undecided = (None,) * len(_COLUMNS)
+    for f, starts, first, last in _batches(frames):
+        roles = tuple(map(role_of, f["role"].tolist()))
+        rows, whole = [], []
+        for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(f)], strict=True)):
+            # A piece at the border may go on elsewhere; it is decided later.
+            border = first and k == 0 or last and k == len(starts) - 1
+            rows += [undecided] * (b - a) if border else _short_rows(roles[a:b]) if b - a <= _SHORT else _rows(roles[a:b], START, None)
+            whole += [not border] * (b - a)
+        out = f[["conv_id", "turn", "role", "text"]].reset_index(drop=True)
         out["conv_id"], out["turn"] = out["conv_id"].astype("Int64"), out["turn"].astype("Int64")
-        out["seg"], out["pos"], out["whole"] = seg, range(pos, pos + len(out)), not border
+        out["seg"], out["pos"], out["whole"] = seg, range(pos, pos + len(out)), whole
+        for name, column in zip(_COLUMNS, zip(*rows, strict=True), strict=True):
+            kind = {"out_role": "Int32", "out_turn": "Int64", "part": "Int64"}.get(name)
+            out[name] = pd.array(column, dtype=kind) if kind else pd.Series(column, dtype=object)
         pos += len(out)
-        roles = [role_of(r) for r in out["role"]]
-        # A piece at the border may go on elsewhere; it is decided later.
-        d = _decisions(roles, START, None, True) if not border else pd.DataFrame({c: [None] * len(out) for c in ("out_role", "opens", "relabelled", "before", "after", "out_turn", "part", "last")})
-        ready.append(pd.concat([out, d.astype({"out_role": "Int32", "out_turn": "Int64", "part": "Int64"})], axis=1))
-        size += len(out)
-        if size >= 2_000:
-            yield pd.concat(ready, ignore_index=True)
-            ready, size = [], 0
-    if ready:
-        yield pd.concat(ready, ignore_index=True)
+        yield out
 
 
 def _table(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -193,7 +204,7 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
 def _piece_decisions(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("pos", ignore_index=True)
     entry, leave = int(pdf["entry"].iloc[0]), int(pdf["leave"].iloc[0])
-    d = _decisions([role_of(r) for r in pdf["role"]], entry, None if leave < 0 else leave, entry == START)
+    d = pd.DataFrame(_rows(tuple(map(role_of, pdf["role"])), entry, None if leave < 0 else leave), columns=_COLUMNS)
     return pd.concat([pdf[["seg", "pos"]], d], axis=1).assign(conv_id=pdf["conv_id"].astype("Int64"))
 
 

@@ -6,10 +6,14 @@ chunks it has seen; the library encodes each new chunk.  A plain word of letters
 closing punctuation) is encoded by the same model without the general normaliser and
 splitter, which for such words do nothing but lower them; any other chunk goes through
 the full tokenizer.
+
+That holds for tokenizers of the one make that ``_chunked`` describes, which is checked when the file is
+read, and by encoding a probe both ways.  With any other one whole texts go through the library.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from functools import lru_cache
@@ -24,20 +28,43 @@ TOKENIZER = "word_bpe_49k.json"
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 
+_PROBE = "The cat's école, ÀÉÎ ßtraße! it'll 12,5 <|endoftext|> x_y\tz\n\n  don't;end ﬁ 你好 e\u0301."
+
+
+def _kinds(part: dict | None, inner: str) -> list[str]:
+    """Names of a normaliser's or splitter's steps."""
+    if not part:
+        return []
+    return [k for p in part[inner] for k in _kinds(p, inner)] if inner in part else [part["type"]]
+
+
+def _chunked(path: str) -> bool:
+    """Whether the file describes a tokenizer of words: they are cleaned and lowered, split at white space first, and their last token is marked."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    clean = _kinds(told["normalizer"], "normalizers")
+    split = _kinds(told["pre_tokenizer"], "pretokenizers")
+    return set(clean) <= {"NFC", "Lowercase", "Replace"} and "Lowercase" in clean and split[-1:] == ["ByteLevel"] and told["model"]["type"] == "BPE" and told["model"]["end_of_word_suffix"] == "</w>"
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
+        vocabulary = self.full.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
+        self.memo: dict[bytes, bytes] = {}
+        self.signs: dict[str, bytes] = {"": b""}
+        self.by_chunk = _chunked(path)
+        if not self.by_chunk:
+            return
         self.word = Tokenizer(self.full.model)
         self.word.normalizer = normalizers.Lowercase()
         self.word.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.word.model._resize_cache(0)  # no word comes twice
-        vocabulary = self.full.get_vocab(with_added_tokens=True)
-        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
         self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.memo: dict[bytes, bytes] = {}
-        self.signs: dict[str, bytes] = {"": b""}
+        self.by_chunk = self.encode([_PROBE]) == self._ids(self.full, [_PROBE])
 
     def _ids(self, tokenizer, texts: list[str]) -> list[bytes]:
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -71,6 +98,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.by_chunk:
+            return self._ids(self.full, [t.encode("utf-8", "replace").decode() for t in texts])
         raw = [t.encode("utf-8", "replace") for t in texts]
         # ASCII capitals are lowered first to meet fewer chunks; special tokens, in "<|...|>", are told by case.
         split = [(r if b"<|" in r else r.lower()).split() for r in raw]

@@ -344,3 +344,15 @@ def test_pages_without_an_article():
     # Link lists around the text, and each paragraph in an element of its own.
     assert m(f"<ul>{links}</ul><h1>Head</h1><div>{long}</div><div>b</div><ul>{links}</ul>") == ["Head", long, "b"]
     assert m(f"<ul>{links}</ul><h1>Head</h1><div><p>{long}</p><p><a href=u>more</a></p></div><ul>{links}</ul>")[-2:] == [long, "more"] and m(f"<ul>{links}</ul>") == []
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import os
+
+    from tokenizers import Tokenizer
+
+    path = os.path.join(os.path.dirname(tokens.tokenizer_path()), "byte_bpe_50k.json")
+    e = tokens.Encoder(path)
+    texts = ["", " two  blanks", "The cat été\n\n it's"]
+    assert not e.by_chunk and tokens.Encoder(tokens.tokenizer_path()).by_chunk
+    assert e.encode(texts) == [np.array(x.ids, dtype="<u4").tobytes() for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
