@@ -64,19 +64,6 @@ def context_windows(blocks: DataFrame, anchors: DataFrame, radius: int = 20) ->
     return blocks.join(near, ["doc_id", "pos"])
 
 
-def coverage(docs: DataFrame) -> DataFrame:
-    """Characters that no font is known to cover, with their number over all documents."""
-    safe_ranges = [(0, 0x7F), (0xA0, 0x36F), (0x3000, 0x303F), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF00, 0xFFEF), (0x20000, 0x2A6DF)]
-    # Only texts with any character beyond the first two ranges are taken apart.
-    odd = docs.where(F.col("text").rlike("[^\\x{00}-\\x{7f}\\x{a0}-\\x{36f}]"))
-    ch = odd.select(F.explode(F.regexp_extract_all("text", F.lit("[^\\x{00}-\\x{7f}\\x{a0}-\\x{36f}]"), F.lit(0))).alias("ch")).groupBy("ch").agg(F.count("*").alias("n"))
-    code = F.ascii("ch")
-    safe = code.between(*safe_ranges[0])
-    for a, b in safe_ranges[1:]:
-        safe = safe | code.between(a, b)
-    return ch.where(~safe & ~F.col("ch").isin(list("‘’“”„‚‛‹›«»–—…•·°†‡℃"))).select("ch", X.code_point(F.col("ch")).alias("code"), "n")
-
-
 def character_counts(docs: DataFrame) -> DataFrame:
     """Number of every character beyond ASCII over all documents."""
     return docs.select(F.explode(F.regexp_extract_all("text", F.lit("[^\\x{00}-\\x{7f}]"), F.lit(0))).alias("ch")).groupBy("ch").agg(F.count("*").alias("n")).select(X.code_point(F.col("ch")).alias("code"), "n")

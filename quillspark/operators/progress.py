@@ -12,18 +12,25 @@ def percent(stages: DataFrame, key: str, running_share: Column | None = None) ->
     return stages.groupBy(key).agg(F.bround(F.round(100 * F.sum(F.col("weight") * share) / F.sum("weight"), 9), 0).cast("long").alias("percent"))
 
 
-def capped_mean(rows: DataFrame, key: str, value: str, order: list[str], cap: int = 20) -> DataFrame:
-    """avg += (x - avg) / min(n, cap) in order, as a closed form over two windows of one sort.
+def capped_mean(rows: DataFrame, key: str, value: str, order: list[str], cap: int = 20, ranges: int = 64) -> DataFrame:
+    """avg += (x - avg) / min(n, cap) in order, as a closed form over numbered rows.
 
     The mean of the first ``cap`` values, then every later one weighs 1 / cap and all before
-    shrink by 1 - 1 / cap; so no key's values are ever gathered in an array.
+    shrink by 1 - 1 / cap; so no key's values are ever gathered in an array.  Rows are numbered
+    within ``ranges`` parts of the first order column (a number or a timestamp), so even a key with most of
+    the rows is spread over as many tasks; the parts' counts give the numbers before them.
     """
+    at = F.col(order[0]).cast("double")
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    part = F.coalesce(F.floor((at - F.lit(low)) / F.lit(max((high or 0) - (low or 0), 1e-9)) * ranges).cast("int"), F.lit(-1))  # nulls come first
+    own = rows.select(key, value, *order).withColumn("_part", part)
+    nth = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))
+    counts = own.groupBy(key, "_part").agg(F.count("*").alias("_m"))
     w = Window.partitionBy(key)
-    nth = F.row_number().over(w.orderBy(*order))
-    n = F.count("*").over(w)
+    counts = counts.select(F.col(key).alias("_k"), F.col("_part").alias("_p"), (F.sum("_m").over(w.orderBy("_part")) - F.col("_m")).alias("before"), F.sum("_m").over(w).alias("n"))
+    numbered = own.withColumn("nth", nth).join(counts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p"))).withColumn("nth", F.col("nth") + F.col("before"))
     keep = 1 - 1 / cap
     weight = F.when(F.col("nth") <= cap, F.pow(F.lit(keep), F.greatest(F.col("n") - cap, F.lit(0))) / F.least(F.col("n"), F.lit(cap))).otherwise(F.pow(F.lit(keep), F.col("n") - F.col("nth")) / cap)
-    numbered = rows.withColumns({"nth": nth, "n": n})
     return numbered.groupBy(key).agg(F.sum(F.col(value) * weight).alias("avg"), F.max("n").alias("n"))
 
 

@@ -1,7 +1,8 @@
 """Substring search of a stated set of needles over all documents.
 
-The needles are a query set that is read in blocks of bounded size; each block is part of
-the plan, so the scan stays one pass over the documents without a join.
+The needles are a query set that is read in blocks of bounded size.  A block is one automaton,
+which a pass over the documents runs over every key once, however many needles it holds; only
+ids, places and snippets leave that pass.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 #: Most needles, and most characters of them, in a block.
-BLOCK_NEEDLES = 500
-BLOCK_CHARS = 100_000
+BLOCK_NEEDLES = 5_000
+BLOCK_CHARS = 400_000
 
 
 def needle_blocks(needles: DataFrame, id_column: str, text_column: str) -> list[list[tuple[int, str]]]:
@@ -30,18 +31,41 @@ def needle_blocks(needles: DataFrame, id_column: str, text_column: str) -> list[
     return [b for b in out if b]
 
 
-def contained(rows: DataFrame, key: Column, needles: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Rows with each needle that their key contains: columns id_column, needle and at (from 0)."""
-    made = []
-    for block in needle_blocks(needles, id_column, text_column):
-        asked = F.array(*[F.struct(F.lit(i).cast("long").alias(id_column), F.lit(k).alias("needle")) for i, k in block])
-        keyed = rows.withColumn("key", key)
-        hit = keyed.select("*", F.inline(F.filter(asked, lambda q: F.contains(F.col("key"), q["needle"]))))
-        made.append(hit.withColumn("at", F.expr("instr(key, needle)").cast("long") - 1))
-    if not made:
-        empty = rows.withColumns({"key": key, id_column: F.lit(None).cast("long"), "needle": F.lit(None).cast("string"), "at": F.lit(None).cast("long")})
-        return empty.where(F.lit(False))
-    return reduce(DataFrame.unionByName, made)
+def _hits_with(block: list[tuple[int, str]], span: int):
+    """First place of every needle in each key, with the ``span`` characters of the text at the same share of it."""
+
+    def run(frames):
+        import ahocorasick
+        import pandas as pd
+
+        ids: dict[str, list[int]] = {}
+        for i, k in block:
+            ids.setdefault(k, []).append(i)
+        find = ahocorasick.Automaton()
+        for k in ids:
+            find.add_word(k, k)
+        find.make_automaton()
+        for f in frames:
+            out = []
+            for doc, side, priority, text, key in f.itertuples(index=False) if ids else ():
+                first: dict[str, int] = {}
+                for end, k in find.iter(key):
+                    first.setdefault(k, end - len(k) + 1)
+                for k, at in first.items():
+                    begin = min(len(text), int(at / max(1, len(key)) * len(text)))
+                    out += [(i, doc, side, priority, at, len(key), text[begin : begin + span]) for i in ids[k]]
+            yield pd.DataFrame(out, columns=["id", "doc_id", "side", "priority", "at", "size", "cut"])
+
+    return run
+
+
+def contained(docs: DataFrame, needles: DataFrame, id_column: str, text_column: str, span: int) -> DataFrame:
+    """Documents (doc_id, side, priority, text) with each needle that their key contains: id_column, at (from 0), size of the key, cut."""
+    names = ["doc_id", "side", "priority"]
+    schema = ", ".join(["id long", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names), "at long, size long, cut string"])
+    keyed = docs.select(*names, "text", X.match_key("text").alias("key"))
+    made = [keyed.mapInPandas(_hits_with(block, span), schema) for block in needle_blocks(needles, id_column, text_column) or [[]]]
+    return reduce(DataFrame.unionByName, made).withColumnRenamed("id", id_column)
 
 
 def library_search(docs: DataFrame, queries: DataFrame, most: int = 20, span: int = 160) -> DataFrame:
@@ -49,11 +73,10 @@ def library_search(docs: DataFrame, queries: DataFrame, most: int = 20, span: in
 
     docs: doc_id, side, priority (the lower side wins), text.
     """
-    hit = contained(docs.where("text is not null"), X.match_key("text"), queries, "item_id", "text")
+    hit = contained(docs.where("text is not null").select("doc_id", "side", "priority", "text"), queries, "item_id", "text", span)
     hit = hit.withColumn("side_rank", F.row_number().over(Window.partitionBy("item_id", "doc_id").orderBy("priority"))).where("side_rank = 1")
-    ratio = F.col("at") / F.greatest(F.lit(1), F.length("key"))
-    at = F.least(F.length("text"), F.floor(ratio * F.length("text")).cast("int"))
-    snippet = X.collapse(F.substring(F.col("text"), at + 1, F.lit(span)))
+    ratio = F.col("at") / F.greatest(F.lit(1), F.col("size"))
+    snippet = X.collapse("cut")
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id"))
     return hit.withColumn("rank", rank).where(F.col("rank") <= most).select("item_id", F.col("rank").cast("long").alias("rank"), "doc_id", "side", snippet.alias("snippet"), F.round(ratio, 4).alias("position_ratio"))
 
@@ -63,8 +86,10 @@ def find_all(blocks: DataFrame, needle: str, most: int = 500) -> DataFrame:
     n = len(needle)
     key = X.match_key("line")
     keyed = blocks.withColumn("key", key).where(F.contains(F.col("key"), F.lit(needle)) & F.lit(n > 0))
-    places = F.filter(F.sequence(F.lit(1), F.length("key") - n + 1), lambda i: F.substring(F.col("key"), i, F.lit(n)) == needle)
-    hit = keyed.select("doc_id", "pos", F.explode(places).alias("at")).withColumn("at", F.col("at").cast("long") - 1)
+    # Parts begin with the needle, but for a first one that doesn't; their lengths before give the places.
+    parts = keyed.select("doc_id", "pos", F.startswith("key", F.lit(needle)).alias("leads"), F.posexplode(F.split("key", rf"(?=\Q{needle}\E)", -1)).alias("k", "part"))
+    before = F.coalesce(F.sum(F.length("part")).over(Window.partitionBy("doc_id", "pos").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hit = parts.withColumn("at", before.cast("long")).where((F.col("k") > 0) | F.col("leads")).select("doc_id", "pos", "at")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "at"))
     return hit.withColumn("nth", rank.cast("long")).where(F.col("nth") <= most)
 

@@ -111,33 +111,62 @@ DELIMITER = "\n<<<SEG>>>\n"
 BATCH_CHARS = 6_000
 
 
+class Truncated(Exception):
+    """Raised by a translation function whose answer was cut off."""
+
+
+def halves(text: str, least: int = 300) -> list[str]:
+    """Parts of at most half the text (``least`` characters at least), cut behind a blank line, line or space beyond half of a part."""
+    most, out = max(least, len(text) // 2), []
+    while len(text) > most:
+        cut = next((c + len(s) for s in ("\n\n", "\n", " ") if (c := text.rfind(s, most // 2, most)) >= 0), most)
+        out.append(text[:cut].strip())
+        text = text[cut:]
+    return [p for p in (*out, text.strip()) if p]
+
+
 def _apply_with(work: Callable[[str], str], most: int):
     def batches(texts: list[str]) -> Iterator[list[str]]:
-        now: list[str] = []
+        now, size = [], 0
         for t in texts:
-            if now and sum(map(len, now)) + len(DELIMITER) * len(now) + len(t) > most:
+            if now and size + len(DELIMITER) + len(t) > most:
                 yield now
-                now = []
+                now, size = [], 0
+            size += len(t) + (len(DELIMITER) if now else 0)
             now.append(t)
         if now:
             yield now
 
+    def whole(t: str) -> str:
+        try:
+            return work(t)
+        except Truncated:
+            parts = halves(t)
+            if len(t) <= 300 or len(parts) < 2:
+                raise
+            return "\n\n".join(whole(p) for p in parts)
+
     def one(t: str) -> tuple[str | None, str | None]:
         try:
-            return work(t), None
+            return whole(t), None
         except Exception as e:  # fail closed: the segment is rejected with its reason
             return None, str(e)[:500]
 
+    def together(group: list[str]) -> list[str]:
+        try:
+            return work(DELIMITER.join(group)).split(DELIMITER)
+        except Exception:
+            return []  # the segments are tried one by one
+
     def run(frames):
         import pandas as pd
 
         for f in frames:
             rows: list[tuple] = []
-            for group in batches(f["source"].tolist()):
-                joined, _ = one(DELIMITER.join(group))
-                parts = joined.split(DELIMITER) if joined is not None else []
+            for group in batches(f["masked"].tolist()):
+                parts = together(group) if len(group) > 1 else []
                 rows += [(p, None) for p in parts] if len(parts) == len(group) else [one(t) for t in group]
-            yield pd.DataFrame({"key": f["key"], "source": f["source"], "value": [r[0] for r in rows], "error": [r[1] for r in rows]})
+            yield f.assign(value=[r[0] for r in rows], error=[r[1] for r in rows])
 
     return run
 
@@ -145,14 +174,20 @@ def _apply_with(work: Callable[[str], str], most: int):
 def translate(segments: DataFrame, memo: DataFrame, work: Callable[[str], str], text: str = "line", most: int = BATCH_CHARS) -> tuple[DataFrame, DataFrame]:
     """(values, rejects): the user's function on segments that the memo doesn't hold.
 
-    Misses are made distinct, batched and split again; a batch that comes back with another
-    number of parts is done one by one.  Memo values that no longer validate are done anew.
+    Misses are made distinct, masked, batched and split again; a batch that fails or comes back with
+    another number of parts is done one by one, and a segment whose answer was ``Truncated`` in
+    halves.  What is nothing but masks stays as it is, without a call.  Memo values that no longer
+    validate are done anew.
     """
     good = memo.select("key", "value")
     keyed = segments.withColumn("key", X.memo_key(text)).groupBy("key").agg(F.min(text).alias("source"))
     kept = keyed.join(good, "key").where(F.size(issues(F.col("source"), F.col("value"))) == 0)
     todo = keyed.join(kept.select("key"), "key", "left_anti")
-    done = todo.select("key", "source").mapInPandas(_apply_with(work, most), "key string, source string, value string, error string")
-    done = done.withColumn("value", repair(F.col("source"), F.col("value"))).withColumn("issues", F.when(F.col("value").isNull(), F.array(F.lit("failed"))).otherwise(issues(F.col("source"), F.col("value"))))
-    values = kept.select("key", "value").unionByName(done.where(F.size("issues") == 0).select("key", "value"))
+    todo = todo.select("key", "source", X.mask("source").alias("m")).select("key", "source", "m.masked", "m.spans")
+    words = X.strip(F.regexp_replace("masked", X.PLACEHOLDER, "")) != ""
+    plain = todo.where(~words).select("key", F.col("source").alias("value"))
+    done = todo.where(words).mapInPandas(_apply_with(work, most), "key string, source string, masked string, spans array<string>, value string, error string")
+    done = done.withColumn("value", repair(F.col("masked"), F.col("value"))).withColumn("issues", F.when(F.col("value").isNull(), F.array(F.lit("failed"))).otherwise(issues(F.col("masked"), F.col("value"))))
+    done = done.withColumn("value", X.unmask(F.col("value"), F.col("spans")))
+    values = kept.select("key", "value").unionByName(plain).unionByName(done.where(F.size("issues") == 0).select("key", "value"))
     return values, done.where(F.size("issues") > 0).select("key", "source", "issues", "error")

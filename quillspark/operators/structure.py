@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-# Words of affiliations.
-AFFILIATION = ["university", "institute", "department", "laboratory", "college", "school of", "academy", "research", "corporation", "inc.", "@", "大学"]
+# What tells an author line.
+AFFILIATION = ["ieee", "student member", "senior member", "life member", "corresponding author", "university", "institute", "school of", "department of", "college of", "@", "<sup>"]
 REFERENCES = r"(?i)^\s*(?:references|bibliography)\s*$"
 
 
@@ -291,9 +291,10 @@ def recovered_lead(pairs: DataFrame) -> DataFrame:
     solid = lambda s: F.length(F.regexp_replace(s, r"(?U)[^\p{Alnum}]+", ""))
 
     def raw(text: Column, k: Column) -> Column:
-        """Characters of ``text`` before the letter or digit number k (from 0)."""
-        form = F.concat(F.lit(r"(?sU)^[^\p{Alnum}]*(?:\p{Alnum}[^\p{Alnum}]*){"), k.cast("string"), F.lit("}"))
-        return F.length(F.regexp_substr(text, form))
+        """Characters of ``text`` before the letter or digit number k (from 0): lengths of pieces, one for each of them."""
+        lead = F.length(F.regexp_extract(text, r"(?U)^[^\p{Alnum}]*+", 0))
+        pieces = F.regexp_extract_all(text, F.lit(r"(?U)\p{Alnum}[^\p{Alnum}]*+"), F.lit(0))
+        return lead + F.aggregate(F.slice(pieces, F.lit(1), k.cast("int")), F.lit(0), lambda n, p: n + F.length(p))
 
     before_b = F.left(F.col("b"), F.greatest(F.col("hit.at") - 1, F.lit(0)))
     before_a = F.left(F.col("a"), F.col("hit.o"))

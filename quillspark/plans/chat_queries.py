@@ -90,7 +90,8 @@ def _asked(spark, d):
     """Questions (user turns), their scope of documents, and the blocks (lines) of these."""
     q = talk(spark, d).where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("q_id"), "conv_id", F.col("text").alias("question"))
     scope = q.select("q_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(SCOPE - 1)), lambda k: F.col("conv_id") * SCOPE + k)).alias("doc_id"))
-    return q.select("q_id", "question"), scope, R.retrieval_blocks(docs_(spark, d), "\n")
+    docs = docs_(spark, d).join(scope.select("doc_id").distinct(), "doc_id", "left_semi")
+    return q.select("q_id", "question"), scope, R.retrieval_blocks(docs, "\n")
 
 
 def token_retrieval(spark, d):

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import tex as TX
 from ..functions import text as X
 from ..operators import lines as L
+from ..operators import quality as Q
 from ..operators import search as S
 from ..sources.tables import evolved, new_only, table
 
@@ -84,7 +86,28 @@ def char_coverage(spark, d):
 
 
 def uncovered_chars(spark, d):
-    return L.coverage(docs_(spark, d))
+    return Q.uncovered(docs_(spark, d))
+
+
+def source_lint(spark, d):
+    """The documents read as TeX sources: their faults; no SQL."""
+    return Q.delimiter_lint(docs_(spark, d))
+
+
+def stray_braces(spark, d):
+    out = Q.stray_braces_removed(docs_(spark, d))
+    return out.select("doc_id", "removed", F.md5("text").alias("digest"))
+
+
+def rewrite_rules(spark, d):
+    """The rewrite rules that the documents' lines call for; no SQL."""
+    return Q.rewrite_audit(lines_(spark, d))
+
+
+def math_runs(spark, d):
+    """Runs of prose and of mathematics of every document; no SQL."""
+    runs = docs_(spark, d).select("doc_id", F.inline(TX.math_runs("text")))
+    return runs.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 def marker_counts(spark, d):
@@ -171,7 +194,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         library_search, find_all, span_overlay, span_overlay_all, line_source, repeated_lines, lines_kept, heading_lines, page_segments, line_positions, char_coverage, uncovered_chars,
-        marker_counts, rewrite_audit, context_windows, context_windows_20, distinct_anchors, html_blocks, html_markdown, outline_parents, tag_balance, ingest_new, evolve_schema,
+        source_lint, stray_braces, rewrite_rules, math_runs, marker_counts, rewrite_audit, context_windows, context_windows_20, distinct_anchors, html_blocks, html_markdown, outline_parents, tag_balance, ingest_new, evolve_schema,
         metadata_fill, tier_fallback, union_kinds, group_caps,
     )
 }
@@ -207,7 +230,7 @@ t as (select doc_id, segment, kind, string_agg(line, ' ' order by pos) as text f
 select doc_id, segment, kind, length(text) chars, md5(text) digest from t""",
     "line_positions": f"with {LINES} select doc_id, pos, round(pos / greatest(1, count(*) over (partition by doc_id) - 1), 9) as position from lines",
     "char_coverage": "with c as (select unnest(string_split(text, '')) ch from documents) select printf('U+%04X', unicode(ch)) code, count(*) n from c where unicode(ch) > 127 group by ch",
-    "uncovered_chars": "with c as (select unnest(string_split(text, '')) ch from documents), n as (select ch, unicode(ch) u, count(*) n from c group by ch) select ch, printf('U+%04X', u) code, n from n where u > 127 and not u between 160 and 879 and not u between 12288 and 12351 and not u between 13312 and 19903 and not u between 19968 and 40959 and not u between 63744 and 64255 and not u between 65280 and 65519 and not u between 131072 and 173791 and not contains('‘’“”„‚‛‹›«»–—…•·°†‡℃', ch)",
+    "uncovered_chars": "with c as (select unnest(string_split(text, '')) ch from documents), n as (select ch, unicode(ch) u, count(*) n from c group by ch) select ch, printf('U+%04X', u) code, n from n where u > 127 and not u between 160 and 879 and not u between 12288 and 12351 and not u between 13312 and 19903 and not u between 19968 and 40959 and not u between 63744 and 64255 and not u between 65280 and 65519 and not u between 131072 and 173791 and not contains('" + TX.SAFE_SIGNS + "".join(TX.SYMBOLS) + "', ch)",
     "marker_counts": r"""select doc_id, len(regexp_extract_all(text, '\x{fffd}')) n_replacement, len(regexp_extract_all(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]')) n_control,
 len(regexp_extract_all(text, '%%%|\*\*\*|&&&|###|\$\$\$')) n_junk, length(regexp_replace(text, '%%%|\*\*\*|&&&|###|\$\$\$', '', 'g')) clean_chars from documents""",
     "rewrite_audit": f"""with {LINES}, r as (select * from (values ('percent', '%%%'), ('stars', '***'), ('hashes', '###')) t(rule, mark)),

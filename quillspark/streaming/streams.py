@@ -7,6 +7,7 @@ counted in the query's progress (numRowsDroppedByWatermark).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -42,14 +43,47 @@ def arrivals(docs: DataFrame, at: str = "ts", text: str = "text", late: str = "1
     return docs.withColumn("sha", F.sha2(text, 256)).withWatermark(at, late).dropDuplicatesWithinWatermark(["sha"])
 
 
-def upsert_batches(stream: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame]):
-    """Merge every micro-batch into a table of versions ``path/v=<batch>``; a repeated batch writes the same version."""
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("seq long, batch string, bucket int, folder string").parquet(f"{path}/manifest")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def current_state(spark: SparkSession, path: str, schema, buckets: list[int] | None = None) -> DataFrame:
+    """The table that ``upsert_batches`` keeps, or some buckets of it: of each bucket the last version."""
+    folders = []
+    if _exists(spark, f"{path}/manifest"):
+        last = _versions(spark, path).groupBy("bucket").agg(F.max_by("folder", "seq").alias("folder"))
+        folders = [r["folder"] for r in last.collect() if buckets is None or r["bucket"] in buckets]  # one for each bucket
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def upsert_batches(stream: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame], key: str, buckets: int = 16):
+    """Merge every micro-batch into a table in ``buckets`` parts by a hash of ``key``.
+
+    Only buckets that the batch touches are read and written anew; a manifest names each bucket's last
+    version, so a new checkpoint goes on with what the path holds, and a batch that was merged
+    before (the same number of the same checkpoint) isn't merged again.  Read it by ``current_state``.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last = f"{path}/v={number - 1}"
-        old = spark.read.schema(batch.schema).parquet(last) if number else batch.limit(0)
-        merge(old, batch).write.mode("overwrite").parquet(f"{path}/v={number}")
+        spark, name = batch.sparkSession, f"{checkpoint}#{number}"
+        known = _versions(spark, path) if _exists(spark, f"{path}/manifest") else None
+        if known is not None and known.where(F.col("batch") == name).limit(1).count():
+            return
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # at most ``buckets`` numbers
+        if not touched:
+            return
+        seq = 1 + ((known.agg(F.max("seq")).first()[0] or 0) if known is not None else 0)
+        folder = f"{path}/v={seq}-{uuid.uuid4().hex}"
+        merge(current_state(spark, path, batch.schema, touched), batch).withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(folder)
+        # What a failed attempt wrote isn't in the manifest and counts for nothing.
+        rows = [(seq, name, b, f"{folder}/_bucket={b}") for b in touched]
+        spark.createDataFrame(rows, "seq long, batch string, bucket int, folder string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -148,11 +182,58 @@ def stalls(events: DataFrame, key: str, start: str, end: str, seconds: int, late
     return rows.groupBy("key").transformWithStateInPandas(_Stall(start, end, seconds), "key long, started_ms long", outputMode="append", timeMode="EventTime")
 
 
-def answers(frames: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Answers of sessions from their frames, in update mode: what a broken stream left stays as it is."""
-    deltas = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("event") == "delta", F.struct("seq", "text")))), lambda s: s["text"]), "")
-    done = F.max_by(F.when(F.col("event") == "done", F.col("text")), F.when(F.col("event") == "done", F.col("seq")))
-    return frames.groupBy("session_id").agg(F.coalesce(F.when(done != "", done), deltas).alias("answer"), F.bool_or(F.col("event") == "done").alias("complete"))
+class _Answer(StatefulProcessor):
+    """Keeps a session's deltas until its end or until nothing has come for ``millis``."""
+
+    def __init__(self, millis: int) -> None:
+        self.millis = millis
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.parts = handle.getListState("parts", "seq long, text string")
+        self.due = handle.getValueState("due", "t long")
+
+    def _row(self, key, answer: str, complete: bool) -> pd.DataFrame:
+        return pd.DataFrame({"session_id": [key[0]], "answer": [answer], "complete": [complete]})
+
+    def _clear(self) -> str:
+        text = "".join(t for _, t in sorted(self.parts.get())) if self.parts.exists() else ""
+        self.parts.clear()
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+            self.due.clear()
+        return text
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        f = pd.concat(list(rows)).sort_values("seq")
+        for seq, text in f.loc[f["event"] == "delta", ["seq", "text"]].itertuples(index=False):
+            self.parts.appendValue((int(seq), text or ""))
+        done = f.loc[f["event"] == "done", "text"].tolist()
+        if done:
+            whole = self._clear()
+            yield self._row(key, done[-1] or whole, True)
+            return
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+        due = max(int(pd.Timestamp(f["ts"].max()).value // 1_000_000), timerValues.getCurrentWatermarkInMs()) + self.millis
+        self.due.update((due,))
+        self.handle.registerTimer(due)
+        yield self._row(key, "", False).iloc[:0]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._row(key, self._clear(), False)
+
+    def close(self) -> None:
+        pass
+
+
+def answers(frames: DataFrame, late: str = "10 minutes", idle: int = 600) -> DataFrame:
+    """session_id, answer, complete, once for each session: at its end, or what it has after ``idle`` seconds without a frame.
+
+    frames: session_id, seq, event, text, ts.  A text at the end wins over the deltas; state goes with the answer.
+    """
+    rows = frames.withWatermark("ts", late).select("session_id", "seq", "event", "text", "ts")
+    return rows.groupBy("session_id").transformWithStateInPandas(_Answer(idle * 1000), "session_id long, answer string, complete boolean", outputMode="append", timeMode="EventTime")
 
 
-__all__ = ["ROCKSDB", "answers", "arrivals", "capped_means", "file_stream", "reading_positions", "reviews", "stalls", "throttle", "upsert_batches"]
+__all__ = ["ROCKSDB", "answers", "arrivals", "capped_means", "current_state", "file_stream", "reading_positions", "reviews", "stalls", "throttle", "upsert_batches"]

@@ -78,12 +78,18 @@ def test_upserts_end_with_the_latest_state(spark, events, tmp_path):
     rows, stream = events
     view = lambda df: df.select("user_id", "event_id", "event_type", F.col("event_id").alias("created_id"))
     path = str(tmp_path / "states")
-    q = S.upsert_batches(view(stream()), path, str(tmp_path / "cp"), lambda old, new: T.upserted(old, new, "user_id", "event_id", "created_id").select("user_id", "event_id", "event_type", "created_id"))
+    q = S.upsert_batches(view(stream()), path, str(tmp_path / "cp"), lambda old, new: T.upserted(old, new, "user_id", "event_id", "created_id").select("user_id", "event_id", "event_type", "created_id"), "user_id", 4)
     q.awaitTermination(120)
-    import os
-
-    last = max(int(x[2:]) for x in os.listdir(path) if x.startswith("v="))
-    got = {tuple(r) for r in spark.read.parquet(f"{path}/v={last}").select("user_id", "event_id", "event_type", "created_id").collect()}
+    assert q.exception() is None
+    schema = view(rows).schema
+    got = {tuple(r) for r in S.current_state(spark, path, schema).select("user_id", "event_id", "event_type", "created_id").collect()}
+    # A new checkpoint on the same path goes on with what is there.
+    one = view(rows.orderBy("event_id").limit(1))
+    one.withColumn("event_id", F.lit(10**9).cast("long")).write.parquet(str(tmp_path / "more"))
+    q = S.upsert_batches(S.file_stream(spark, str(tmp_path / "more"), schema), path, str(tmp_path / "cp2"), lambda old, new: T.upserted(old, new, "user_id", "event_id", "created_id").select("user_id", "event_id", "event_type", "created_id"), "user_id", 4)
+    q.awaitTermination(120)
+    again = S.current_state(spark, path, schema)
+    assert again.count() == len(got) and again.where("event_id = 1000000000").count() == 1
     assert got == {(r.user_id, r.event_id, r.event_type, r.created_id) for r in T.upserted(view(rows), view(rows), "user_id", "event_id", "created_id").collect()}
 
 
@@ -91,3 +97,26 @@ def test_answers(spark):
     rows = [(1, 0, "meta", "x"), (1, 2, "delta", "b"), (1, 1, "delta", "a"), (1, 3, "done", ""), (2, 0, "delta", "p"), (3, 0, "delta", "q"), (3, 1, "done", "whole")]
     got = {r.session_id: (r.answer, r.complete) for r in R.deltas_to_answers(spark.createDataFrame(rows, "session_id long, seq long, event string, text string")).collect()}
     assert got == {1: ("ab", True), 2: ("p", False), 3: ("whole", True)}
+
+
+def test_answers_as_a_stream(spark, tmp_path):
+    import datetime as D
+
+    at = lambda m: D.datetime(2024, 1, 1) + D.timedelta(minutes=m)
+    files = [
+        [(1, 0, "meta", "x", at(0)), (1, 2, "delta", "b", at(0)), (2, 0, "delta", "p", at(0))],
+        [(1, 1, "delta", "a", at(1)), (1, 3, "done", "", at(1)), (3, 0, "delta", "q", at(1)), (3, 1, "done", "whole", at(1))],
+        [(9, 0, "delta", "z", at(200))],
+        [(9, 1, "delta", "y", at(201))],
+    ]
+    schema = "session_id long, seq long, event string, text string, ts timestamp"
+    import os
+
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"w{k}"))
+        (src,) = (tmp_path / f"w{k}").glob("part-*.parquet")
+        os.makedirs(tmp_path / "in", exist_ok=True)
+        os.replace(src, tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_700_000_000 + 60 * k,) * 2)
+    got = run(S.answers(S.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 1), "1 minute", 600), "answered", "append", tmp_path, spark)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "ab", True), (2, "p", False), (3, "whole", True)]

@@ -61,6 +61,9 @@ def test_references(spark):
 def test_layout(spark):
     b = spark.createDataFrame([(1, 0, "title", "T"), (1, 1, "paragraph", "intro"), (1, 2, "paragraph", "Ann, Some University"), (1, 3, "paragraph", "B Institute"), (2, 0, "paragraph", "X University")], "doc_id long, pos long, kind string, text string")
     assert [tuple(r) for r in D.authors(b).collect()] == [(1, 2)]
+    kinds = ["A. Research Laboratory Inc.", "B, Senior Member, IEEE", "C<sup>1</sup>", "D (corresponding author)", "E, Department of F", "G Academy"]
+    told = spark.createDataFrame([row for k, t in enumerate(kinds) for row in ((k, 0, "title", "T"), (k, 1, "paragraph", t))], "doc_id long, pos long, kind string, text string")
+    assert sorted(r.doc_id for r in D.authors(told).collect()) == [1, 2, 3, 4]
     box = "doc_id long, pos long, kind string, page int, bbox struct<x0:double,y0:double,x1:double,y1:double>"
     p = spark.createDataFrame([(1, 0, "image", 0, (100.0, 500.0, 400.0, 700.0)), (1, 1, "image", 0, (420.0, 505.0, 800.0, 700.0)), (1, 2, "paragraph", 0, None), (1, 3, "image", 0, (810.0, 505.0, 900.0, 700.0))], box)
     g = [r.group for r in D.panels(p).orderBy("pos").collect()]
@@ -148,6 +151,10 @@ def test_lead_repair(spark):
     d = spark.createDataFrame([(1, body, lead + "\n" + body), (2, body, body), (3, "", "x")], "doc_id long, primary string, fallback string")
     got = {r.doc_id: (r.text, r.recovered) for r in D.recovered_lead(d).collect()}
     assert got[1] == (lead + "\n\n" + body, True) and got[2] == (body, False) and got[3] == ("", False)
+    # A lead of 50,000 words costs no stack.
+    long = " ".join(f"word{k}" for k in range(50_000)) + "."
+    r = D.recovered_lead(spark.createDataFrame([(1, body, "- " + long + " – " + body)], "doc_id long, primary string, fallback string")).first()
+    assert r.recovered and r.text == "- " + long + " –\n\n" + body
 
 
 def test_segments_and_translation(spark):
