@@ -160,6 +160,18 @@ def locate_lines(spark, d):
     return A.locate(asked, _entries(spark, d)).select("doc_id", F.col("n_id.pos").alias("pos"), "idx", F.round("confidence", 9).alias("confidence"))
 
 
+def locate_partial(spark, d):
+    """Two selections of every line of 14 key characters or more: with the next line behind it, which contains
+    the line, and with its last quarter gone astray, which only a common run can find."""
+    lines = lines_(spark, d).withColumn("key", X.match_key("line"))
+    behind = F.lead("line").over(Window.partitionBy("doc_id").orderBy("pos"))
+    lines = lines.withColumn("behind", F.coalesce(behind, F.lit(""))).where("length(key) >= 14")
+    lost = F.concat(F.left("key", F.floor(F.length("key") * 3 / 4).cast("int")), F.repeat(F.lit("0"), F.ceil(F.length("key") / 4).cast("int")))
+    kinds = F.array(F.struct(F.lit(0).cast("long").alias("kind"), F.concat_ws(" ", "line", "behind").alias("selected")), F.struct(F.lit(1).cast("long").alias("kind"), lost.alias("selected")))
+    asked = lines.select("doc_id", "pos", F.inline(kinds)).select(F.struct("doc_id", "pos", "kind").alias("n_id"), "doc_id", "selected", F.lit(0.5).alias("page_ratio"))
+    return A.locate(asked, _entries(spark, d)).select("doc_id", "n_id.pos", "n_id.kind", "idx", F.round("confidence", 6).alias("confidence"))
+
+
 def best_page_lines(spark, d):
     """Every line with an end that is nowhere, looked for in its document's lines at all cuts; no SQL."""
     pages = lines_(spark, d).select("doc_id", F.col("pos").alias("page"), X.match_key("line").alias("key"))
@@ -214,7 +226,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         history_last8, session_titles, render_conversation, session_by_document, pair_validation, pair_repair, zip_align, delta_assembly, array_distinct_order,
-        token_difference, token_overlap, token_retrieval, ranked_blocks, budgeted_sources, token_retrieval_all, ranked_blocks_all, budgeted_sources_all, locate_exact, best_page, locate_lines, best_page_lines, neighbour_context, chunk_pack, chunk_pack_cut, memo_hits, memo_misses, segment_progress,
+        token_difference, token_overlap, token_retrieval, ranked_blocks, budgeted_sources, token_retrieval_all, ranked_blocks_all, budgeted_sources_all, locate_exact, locate_partial, best_page, locate_lines, best_page_lines, neighbour_context, chunk_pack, chunk_pack_cut, memo_hits, memo_misses, segment_progress,
     )
 }
 
@@ -263,6 +275,17 @@ select q_id, 'P' || k as label, doc_id, idx, cast(least(length(chunk), 4000 - us
 s as (select doc_id * 100000 + pos as n_id, doc_id, {KEY('substr(line, 5, 60)')} needle from lines where pos % 10 = 3 and length(line) >= 20),
 p as (select n_id, idx, row_number() over (partition by n_id order by abs(position - 0.5), idx) r from s join e using (doc_id) where needle <> '' and (contains(k, needle) or length(k) >= 8 and contains(needle, k) and length(k) / length(needle) * 0.25 + 0.72 >= 0.98 and exists (select 1 from e x where x.doc_id = s.doc_id and contains(x.k, needle))))
 select n_id, idx, cast(1.0 as double) as confidence from p where r = 1""",
+    "locate_partial": f"""with {LINES}, k as (select doc_id, pos, {KEY('line')} k, count(*) over (partition by doc_id) n from lines), e as (select doc_id, pos as idx, pos / greatest(1, n - 1) as position, k as c from k where k <> ''),
+w as (select doc_id, pos, k, coalesce(lead(k) over (partition by doc_id order by pos), '') as behind from k),
+s as (select doc_id, pos, 0 as kind, left(k || behind, {A.NEEDLE}) as needle from w where length(k) >= 14 union all select doc_id, pos, 1, left(left(k, cast(floor(length(k) * 3 / 4) as int)) || repeat('0', cast(ceil(length(k) / 4) as int)), {A.NEEDLE}) from w where length(k) >= 14),
+ng as (select doc_id, pos, kind, i, substr(needle, i, 8) g from (select *, unnest(range(1, length(needle) - 6)) i from s)),
+cg as (select doc_id, idx, j, substr(c, j, 8) g from (select doc_id, idx, left(c, {A.CANDIDATE}) c, unnest(range(1, length(left(c, {A.CANDIDATE})) - 6)) j from e where length(c) >= 8)),
+m as (select doc_id, pos, kind, idx, i - j as d, i from ng join cg using (doc_id, g)),
+r as (select *, i - row_number() over (partition by doc_id, pos, kind, idx, d order by i) as island from m),
+run as (select doc_id, pos, kind, idx, max(n) + 7 as run from (select doc_id, pos, kind, idx, d, island, count(*) n from r group by all) group by all),
+p as (select s.doc_id, s.pos, s.kind, e.idx, position, case when contains(c, needle) then 1.0 when contains(needle, c) and length(c) >= 8 then least(0.98, 0.72 + length(c) / length(needle) * 0.25) else coalesce(run, 0) / length(needle) * 0.92 end as score from s join e using (doc_id) left join run on run.doc_id = s.doc_id and run.pos = s.pos and run.kind = s.kind and run.idx = e.idx),
+b as (select *, max(score) over (partition by doc_id, pos, kind) best from p)
+select doc_id, pos, kind, idx, round(best, 6) as confidence from (select *, row_number() over (partition by doc_id, pos, kind order by abs(position - 0.5), idx) t from b where best >= {A.THRESHOLD} and score >= best - 0.02) where t = 1""",
     "best_page": f"""with {LINES}, k as (select doc_id, pos as page, {KEY('line')} k from lines), t as (select doc_id * 100000 + page as t_id, doc_id, left(k, 70) || '0000000000' as needle from k where page % 7 = 2 and length(k) >= 80),
 p as (select t_id, t.doc_id, page, case when contains(k, needle) then length(needle) when contains(k, left(needle, 60)) then 60 when contains(k, left(needle, 24)) then 24 else 0 end m from t join k using (doc_id))
 select t_id, doc_id, page, m as match from (select *, row_number() over (partition by t_id order by m desc, page) r from p where m > 0) where r = 1""",
