@@ -130,6 +130,18 @@ def best_page(targets: DataFrame, pages: DataFrame, cuts: tuple[int, ...] = (120
     return pairs.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("t_id", "doc_id", "page", F.col("match").cast("long").alias("match"))
 
 
+def page_of(targets: DataFrame, pages: DataFrame) -> DataFrame:
+    """t_id, doc_id, page, match: the best page of the highlight, else of the block, else the hinted page (match 0).
+
+    targets: t_id, doc_id, highlight and block (keys), hint.
+    """
+    first = best_page(targets.withColumn("needle", F.col("highlight")), pages)
+    rest = targets.join(first.select("t_id"), "t_id", "left_anti")
+    second = best_page(rest.withColumn("needle", F.col("block")), pages)
+    last = rest.join(second.select("t_id"), "t_id", "left_anti").select("t_id", "doc_id", F.col("hint").alias("page"), F.lit(0).cast("long").alias("match"))
+    return first.unionByName(second).unionByName(last)
+
+
 def caption_pairs(blocks: DataFrame, captions: DataFrame) -> DataFrame:
     """Source captions with the translated caption of the same label; of repeated labels the last counts.
 

@@ -57,11 +57,21 @@ def outline(headings: DataFrame, levels: int = 6) -> DataFrame:
     return headings.withColumn("parent", parent)
 
 
-def context_windows(blocks: DataFrame, anchors: DataFrame, radius: int = 20) -> DataFrame:
-    """Lines at most ``radius`` from an anchor line (doc_id, pos), each once."""
+def context_windows(blocks: DataFrame, anchors: DataFrame, radius: int = 20, turn: int = 1, whole: bool = False, preamble: bool = False) -> DataFrame:
+    """Lines at most ``radius`` from an anchor line (doc_id, pos), each once; the radius doubles with each turn.
+
+    whole: documents without an anchor come with all their lines; preamble: so do the lines up to a
+    document's frame, ``\\begin{document}``, in documents that have one.
+    """
+    radius *= 2 ** (turn - 1)
+    if preamble:
+        frames = blocks.where(F.contains("line", F.lit("\\begin{document}"))).groupBy("doc_id").agg(F.min("pos").alias("frame"))
+        head = frames.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), "frame")).alias("pos"))
     size = blocks.groupBy("doc_id").agg(F.max("pos").alias("end"))
     near = anchors.join(size, "doc_id").select("doc_id", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - radius), F.least("end", F.col("pos") + radius))).alias("pos")).distinct()
-    return blocks.join(near, ["doc_id", "pos"])
+    near = near.unionByName(head).distinct() if preamble else near
+    out = blocks.join(near, ["doc_id", "pos"])
+    return out.unionByName(blocks.join(anchors.select("doc_id").distinct(), "doc_id", "left_anti").select(*out.columns)) if whole else out
 
 
 def character_counts(docs: DataFrame) -> DataFrame:

@@ -104,6 +104,19 @@ def key_places(blocks: DataFrame, needle: str) -> DataFrame:
     return hit.select("doc_id", "begin", (F.col("begin") + len(needle)).alias("stop"))
 
 
+def quote_places(blocks: DataFrame, quotes: DataFrame, cuts: tuple[int, ...] = (140, 60, 24), least: int = 6) -> DataFrame:
+    """q_id, doc_id, begin, stop of every quote (q_id, doc_id, quote) in its document's joined keys: the first place of
+    the whole, else of its beginning of 140, 60 or 24 characters; none for quotes of fewer than ``least``."""
+    listed = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", X.match_key("line").alias("k")))).alias("l"))
+    joined = listed.select("doc_id", F.array_join(F.transform("l", lambda s: s["k"]), "").alias("key"))
+    asked = quotes.select("q_id", "doc_id", X.match_key("quote").alias("needle")).where(F.length("needle") >= least)
+    j = asked.join(joined, "doc_id")
+    place = lambda n: F.struct((F.call_function("instr", F.col("key"), n) - 1).cast("long").alias("begin"), F.length(n).cast("long").alias("size"))
+    tries = F.array(place(F.col("needle")), *[F.when(F.length("needle") > c, place(F.left("needle", F.lit(c)))) for c in cuts])
+    hit = F.get(F.filter(tries, lambda t: t["begin"] >= 0), 0)
+    return j.select("q_id", "doc_id", hit.alias("h")).where("h is not null").select("q_id", "doc_id", "h.begin", (F.col("h.begin") + F.col("h.size")).alias("stop"))
+
+
 def span_overlay(blocks: DataFrame, matches: DataFrame) -> DataFrame:
     """Blocks, as spans of their document's joined key, that a match (doc_id, begin, stop) overlaps."""
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

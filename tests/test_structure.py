@@ -239,3 +239,32 @@ def test_names_and_failures(spark):
     assert tuple(f) == ("translate", "Chunk 12 failed", 12, True)
     g = D.glossary_misses(spark.createDataFrame([(1, "cat", "Katze")], "doc_id long, source string, target string"), spark.createDataFrame([(1, "A cat", "Katze"), (1, "Cats", "Hund"), (1, "dog", "x")], "doc_id long, original string, translated string"))
     assert [(r.used, r.missed) for r in g.collect()] == [(2, 1)]
+
+
+def test_windows_grow_and_fall_back(spark):
+    rows = [(1, k, "\\begin{document}" if k == 2 else "x") for k in range(100)] + [(2, k, "y") for k in range(5)]
+    blocks = spark.createDataFrame(rows, "doc_id long, pos long, line string")
+    anchors = spark.createDataFrame([(1, 50)], "doc_id long, pos long")
+    at = lambda **k: sorted((r.doc_id, r.pos) for r in L.context_windows(blocks, anchors, 2, **k).collect())
+    assert at() == [(1, k) for k in range(48, 53)] and at(turn=3) == [(1, k) for k in range(42, 59)]
+    assert at(whole=True, preamble=True) == [(1, k) for k in (0, 1, 2, *range(48, 53))] + [(2, k) for k in range(5)]
+
+
+def test_pages_and_quotes_fall_back(spark):
+    pages = spark.createDataFrame([(1, 0, "aaaa" * 20), (1, 1, "bcdefghijklmnopqrstuvwxyz" * 4)], "doc_id long, page long, key string")
+    asked = [(1, 1, "bcdefghijklmnopqrstuvwxyz", "", 0), (2, 1, "nothere" * 3, "aaaa" * 6 + "zz", 1), (3, 1, "nothere" * 3, "norhere" * 3, 7)]
+    t = spark.createDataFrame(asked, "t_id long, doc_id long, highlight string, block string, hint long")
+    assert sorted(tuple(r) for r in A.page_of(t, pages).collect()) == [(1, 1, 1, 25), (2, 1, 0, 24), (3, 1, 7, 0)]
+    text = "".join(chr(97 + (k * 7) % 26) + str(k) for k in range(100))
+    blocks = spark.createDataFrame([(1, 0, text[:50] + " -"), (1, 1, text[50:])], "doc_id long, pos long, line string")
+    quotes = [(1, 1, text[40:60]), (2, 1, text[10:170] + "lost"), (3, 1, text[5:70] + "lost"), (4, 1, text[:30] + "lost"), (5, 1, "lost" * 9), (6, 1, text[:5])]
+    q = spark.createDataFrame(quotes, "q_id long, doc_id long, quote string")
+    assert sorted(tuple(r) for r in S.quote_places(blocks, q).collect()) == [(1, 1, 40, 60), (2, 1, 10, 150), (3, 1, 5, 65), (4, 1, 0, 24)]
+
+
+def test_times(spark):
+    t = one(spark, X.iso_time(F.col("x").cast("timestamp")), "x string", "2024-02-01T10:00:00.5+02:00")
+    assert t == "2024-02-01T08:00:00.500000+00:00"
+    assert one(spark, F.unix_seconds(X.from_iso("x")), "x string", "1970-01-01T00:00:10") == 10 and one(spark, X.from_iso("x"), "x string", "soon") is None
+    assert one(spark, F.date_diff(X.expiry(F.col("x").cast("timestamp"), 7), "x"), "x string", "2024-01-01") == 7
+    assert one(spark, X.eta_text(F.col("x")), "x double", 61.0) == "1m 1s" and one(spark, X.eta_text(F.col("x")), "x double", 41.2) == "41s" and one(spark, X.eta_text(F.col("x")), "x double", None) == "—"
