@@ -65,9 +65,10 @@ def main_files(files: DataFrame) -> DataFrame:
 
 
 def unsafe_paths(members: DataFrame) -> DataFrame:
-    """archive, path, reason of members that may not be unpacked."""
+    """archive, path, reason of members that may not be unpacked; a system's own metadata files are passed over."""
     p = F.col("path")
     part = F.split(F.translate(p, "\\", "/"), "/")
+    members = members.where(~(F.array_contains(part, "__MACOSX") | (F.element_at(part, -1) == ".DS_Store")))
     reason = (
         F.when(p == "", "empty").when(F.contains(p, F.lit("\0")), "nul").when(p.rlike(r"^[/\\]"), "absolute").when(p.rlike(r"^[A-Za-z]:"), "drive")
         .when(F.exists(part, lambda s: s == ".."), "parent").when(p.rlike(r'[<>:"|?*\x01-\x1f]'), "character").when(F.exists(part, lambda s: s.rlike(r"[ .]$") & ~s.isin(".", "..")), "trailing")

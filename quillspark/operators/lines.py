@@ -123,6 +123,28 @@ def render_markdown(blocks: DataFrame) -> DataFrame:
     return rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n\n").alias("markdown"))
 
 
+def render_tex(blocks: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """One TeX body for each page: headings as sections, runs of items as one list, text escaped.
+
+    heads: page_id, title, authors of the pages that begin with a title.
+    """
+    w = Window.partitionBy("page_id").orderBy("pos")
+    b = blocks.withColumns({"before": F.lag("kind").over(w), "behind": F.lead("kind").over(w)})
+    text, item = X.escape_tex("text"), F.col("kind") == "item"
+    name = F.when(F.col("level") <= 1, "section").when(F.col("level") == 2, "subsection").otherwise("subsubsection")
+    begin = F.when(item & (F.coalesce("before", F.lit("")) != "item"), "\\begin{itemize}\n").otherwise("")
+    end = F.when(item & (F.coalesce("behind", F.lit("")) != "item"), "\n\\end{itemize}").otherwise("")
+    line = F.when(F.col("kind") == "title", F.concat(F.lit("\\"), name, F.lit("{"), text, F.lit("}"))).when(item, F.concat(begin, F.lit("\\item "), text, end)).otherwise(text)
+    # Items of one list stand on neighbouring lines, all else is parted by a blank line.
+    joint = F.when(item & (F.coalesce("behind", F.lit("")) == "item"), "\n").otherwise("\n\n")
+    rows = b.select("page_id", "pos", F.concat(line, joint).alias("line"))
+    body = rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "").alias("tex"))
+    if heads is not None:
+        lead = F.concat(F.lit("\\title{"), X.escape_tex("title"), F.lit("}\n\\author{"), X.escape_tex(F.coalesce("authors", F.lit(""))), F.lit("}\n\\maketitle\n\n"))
+        body = body.join(heads, "page_id", "left").select("page_id", F.concat(F.coalesce(lead, F.lit("")), "tex").alias("tex"))
+    return body.select("page_id", F.rtrim(F.regexp_replace("tex", r"\n+$", "")).alias("tex"))
+
+
 def tag_balance(pages: DataFrame, tag: str = "p") -> DataFrame:
     """Openers, closers, and closers that come when nothing is open."""
     tags = F.regexp_extract_all("html", F.lit(rf"(?i)</?{tag}(?=[\s>])"), F.lit(0))

@@ -66,6 +66,11 @@ def load_levels(calls: DataFrame, level: str, seconds: float, latency: str = "la
     return a.join(F.broadcast(fine), F.lit(True), "left").withColumn("is_best", F.coalesce(F.col(level) == F.col("best"), F.lit(False))).drop("best")
 
 
+def recommended(levels: DataFrame, level: str, margin: float = 0.9) -> DataFrame:
+    """The best of ``load_levels`` with a rate that leaves a margin, to one decimal and 1 at least; no row without a best."""
+    return levels.where("is_best").select(level, F.greatest(F.lit(1.0), F.round(F.col("rps") * margin, 1)).alias("rate"))
+
+
 def debounced(moves: DataFrame, key: str, gap: str = "2 seconds") -> DataFrame:
     """The last position of every stretch of moves without a pause of ``gap``; works on streams too."""
     s = moves.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.max_by("value", "ts").alias("value"), F.count("*").alias("moves"))

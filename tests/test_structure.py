@@ -268,3 +268,32 @@ def test_times(spark):
     assert one(spark, F.unix_seconds(X.from_iso("x")), "x string", "1970-01-01T00:00:10") == 10 and one(spark, X.from_iso("x"), "x string", "soon") is None
     assert one(spark, F.date_diff(X.expiry(F.col("x").cast("timestamp"), 7), "x"), "x string", "2024-01-01") == 7
     assert one(spark, X.eta_text(F.col("x")), "x double", 61.0) == "1m 1s" and one(spark, X.eta_text(F.col("x")), "x double", 41.2) == "41s" and one(spark, X.eta_text(F.col("x")), "x double", None) == "—"
+
+
+def test_imports_and_deletions(spark):
+    a, b, c = (f"0000000{k}-0000-4000-8000-000000000000" for k in range(3))
+    files = spark.createDataFrame([(f"file:/x/{a}/original.pdf", 5), (f"file:/x/{b}/original.pdf", 0), (f"file:/x/{b}/translated.pdf", 9), (f"file:/x/{c}/original.pdf", 7), ("file:/x/notes/original.pdf", 7)], "path string, size long")
+    known = spark.createDataFrame([(c,)], "document_id string")
+    plan = T.import_plan(files, known)
+    assert sorted(tuple(r) for r in plan.collect()) == [(a, "would import"), (b, "no readable original"), (c, "already indexed")]
+    rows, gone = spark.createDataFrame([(1, "x"), (2, "y")], "id long, v string"), spark.createDataFrame([(2,), (3,)], "id long")
+    assert sorted(tuple(r) for r in T.deletions(rows, gone, ["id"]).collect()) == [(2, True), (3, False)] and T.deleted(rows, gone, ["id"]).count() == 1
+    two = [T.block_json(spark.createDataFrame([(k, "[{\"a\": 1}]" * 1)], "doc_id long, payload string")) for k in (1, 2)]
+    assert [t.first()["doc_id"] for t in two] == [1, 2]
+
+
+def test_tex_rendering_titles_and_toggles(spark):
+    from quillspark.functions import tex
+
+    b = spark.createDataFrame([(1, 0, "title", 1, "A & B"), (1, 1, "item", None, "x"), (1, 2, "item", None, "y_1"), (1, 3, "paragraph", None, "end"), (2, 0, "item", None, "z")], "page_id long, pos long, kind string, level long, text string")
+    heads = spark.createDataFrame([(1, "T", "Ann")], "page_id long, title string, authors string")
+    got = {r.page_id: r.tex for r in L.render_tex(b, heads).collect()}
+    assert got[1] == "\\title{T}\n\\author{Ann}\n\\maketitle\n\n\\section{A \\& B}\n\n\\begin{itemize}\n\\item x\n\\item y\\_1\n\\end{itemize}\n\nend"
+    assert got[2] == "\\begin{itemize}\n\\item z\n\\end{itemize}"
+    assert one(spark, tex.title("x"), "x string", r"\title{Deep \textbf{Nets} \\ on {Text}} rest") == "Deep Nets on Text" and one(spark, tex.title("x"), "x string", "none") is None
+    assert one(spark, X.caption_text(F.split("x", ";")), "x string", "Fig 1 ;a;Fig 1; ") == "Fig 1 a"
+    assert one(spark, X.toggled(F.split("x", ","), F.lit("b")), "x string", "a,b") == ["a"] and one(spark, X.toggled(F.split("x", ","), F.lit("b")), "x string", "a") == ["a", "b"]
+    members = spark.createDataFrame([("z", "__MACOSX/../x"), ("z", "a/.DS_Store"), ("z", "../y")], "archive string, path string")
+    assert [r.path for r in B.unsafe_paths(members).collect()] == ["../y"]
+    levels = spark.createDataFrame([(4, 3.33, True), (8, 9.0, False)], "level long, rps double, is_best boolean")
+    assert [tuple(r) for r in P.recommended(levels, "level").collect()] == [(4, 3.0)]
