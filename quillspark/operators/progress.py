@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 
 def percent(stages: DataFrame, key: str, running_share: Column | None = None) -> DataFrame:
     """round(100 * done weight / all weight), half to even; a running stage counts its share."""
@@ -88,10 +90,10 @@ def throttled(moves: DataFrame, key: str, millis: int = 120) -> DataFrame:
     fresh = F.coalesce(ms - F.lag(ms).over(w) >= millis, F.lit(True))
     runs = moves.withColumn("run", F.sum(fresh.cast("long")).over(w))
     g = runs.groupBy(key, "run").agg(F.array_sort(F.collect_list(F.struct(F.unix_millis("ts").alias("t"), "event_id"))).alias("l"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out"))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(None).cast("long").alias("passed"))
 
     def step(s: Column, x: Column) -> Column:
         passes = s["last"].isNull() | (x["t"] - s["last"] >= millis)
-        return F.struct(F.when(passes, x["t"]).otherwise(s["last"]).alias("last"), F.when(passes, F.array_append(s["out"], x["event_id"])).otherwise(s["out"]).alias("out"))
+        return F.struct(F.when(passes, x["t"]).otherwise(s["last"]).alias("last"), F.when(passes, x["event_id"].cast("long")).alias("passed"))
 
-    return g.select(key, F.explode(F.aggregate("l", start, step)["out"]).alias("event_id"))
+    return g.select(key, F.explode(X.running(F.col("l"), start, step, lambda s: s["passed"], "bigint")).alias("event_id")).where("event_id is not null")

@@ -41,15 +41,15 @@ def greedy_batches(rows: DataFrame, key: str, order: str, size: Column, most: in
     """
     sized = rows.select(key, order, size.cast("long").alias("_n"))
     listed = sized.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "_n"))).alias("l"))
-    start = F.struct(F.lit(-1).cast("long").alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("out"))
+    start = F.struct(F.lit(-1).cast("long").alias("batch"), F.lit(0).cast("long").alias("used"))
 
     def step(s: Column, x: Column) -> Column:
         fits = (s["batch"] >= 0) & (s["used"] + joint + x["_n"] <= most)
         batch = F.when(fits, s["batch"]).otherwise(s["batch"] + 1)
         used = F.when(fits, s["used"] + joint + x["_n"]).otherwise(x["_n"])
-        return F.struct(batch.alias("batch"), used.alias("used"), F.array_append(s["out"], batch).alias("out"))
+        return F.struct(batch.cast("long").alias("batch"), used.cast("long").alias("used"))
 
-    folded = listed.select(key, "l", F.aggregate("l", start, step)["out"].alias("b"))
+    folded = listed.select(key, "l", X.running(F.col("l"), start, step, lambda s: s["batch"], "bigint").alias("b"))
     return folded.select(key, F.inline(F.arrays_zip(F.col(f"l.{order}").alias(order), F.col("b").alias("batch"))))
 
 
