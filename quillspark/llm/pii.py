@@ -64,7 +64,10 @@ FORMS = {
     # A short last group that goes on behind a point or slash begins another value.
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])(?!(?<=[ -][0-9]{1,3})[./][0-9])",
 }
-_ANY = "|".join(f"(?:{p})" for p in FORMS.values()).replace(r"\1", r"[/.]").replace("([/.])", "[/.]")
+# Any form.  None begins behind a letter or digit, and most begin with a digit or a sign: that is looked at first.
+_FORM = {k: f"(?:{p})".replace(r"\1", r"[/.]").replace("([/.])", "[/.]") for k, p in FORMS.items()}
+_DIGITS = "|".join(p for k, p in _FORM.items() if k not in ("mail", "iban"))
+_ANY = rf"(?<![A-Za-z0-9])(?=[A-Za-z0-9+(])(?:{_FORM['mail']}|(?=[A-Z]){_FORM['iban']}|(?=[0-9+(])(?:{_DIGITS}))"
 #: One character, and from it on the longest text of the first form that is met there.
 PATTERN = rf"(?=({_ANY}))[\s\S]"
 #: Length of an IBAN in the countries of the registry.
