@@ -48,6 +48,8 @@ BLOCK = 512
 BLOCK_BYTES = 64 << 20
 #: Most keys that are told as hot; what is told of them is broadcast.
 HOT_KEYS = 50_000
+#: Edges of a star in one salt.
+STAR = 64
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -240,42 +242,45 @@ def _forest_frames(frames):
         yield pd.DataFrame(links(rest), columns=["a", "b"])
 
 
+def hot_of(counts: DataFrame, key: str, total: int, each: int | None = None) -> DataFrame:
+    """(key, salts) of the keys that more than ``each`` (``BLOCK``) and a ``HOT_KEYS``-th of all ``total`` rows have.
+
+    counts: key and n, the number of its rows, ``total`` of all together.  There can be no more than
+    ``HOT_KEYS`` such keys, so that many small rows are broadcast at most.
+    """
+    each = each or BLOCK
+    return F.broadcast(counts.where(F.col("n") > max(each, total // HOT_KEYS)).select(key, F.ceil(F.col("n") / each).cast("int").alias("salts")))
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame, spread) -> DataFrame:
+    """Inner join by key; rows of a hot key are dealt by ``spread`` over its salts, for each of which ``side``'s row is repeated."""
+    salts = F.coalesce("salts", F.lit(1))
+    rows = rows.join(hot, key, "left").withColumn("salt", F.pmod(spread, salts).cast("int")).drop("salts")
+    side = side.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return rows.join(side, [key, "salt"]).drop("salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for the connected components of (a, b); the component is the least node.
 
     Large-star and small-star steps in turn, each round written to the shared folder; there
-    are as many rounds as the logarithm of the longest chain.
+    are as many rounds as the logarithm of the longest chain.  The edges of a star's centre are
+    dealt over salts, ``STAR`` to each.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    last = None
+    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    last, total = None, 2 * edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        large = spread_join(both.where("v > u"), least.select("u", F.least("u", "m").alias("m")), "u", hot_of(least, "u", total, STAR), F.xxhash64("v"))
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         pairs = large.join(least, F.col("u") == F.col("c")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialise(pairs.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).where("u != v").distinct(), "components")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == last:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        last = now
-
-
-def hot_of(counts: DataFrame, key: str, total: int) -> DataFrame:
-    """(key, salts) of the keys that more than ``BLOCK`` and a ``HOT_KEYS``-th of all ``total`` rows have.
-
-    counts: key and n, the number of its rows, ``total`` of all together.  There can be no more than
-    ``HOT_KEYS`` such keys, so that many small rows are broadcast at most.
-    """
-    return F.broadcast(counts.where(F.col("n") > max(BLOCK, total // HOT_KEYS)).select(key, F.ceil(F.col("n") / BLOCK).cast("int").alias("salts")))
-
-
-def spread_join(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame, spread) -> DataFrame:
-    """Inner join by key; rows of a hot key are dealt by ``spread`` over its salts, for each of which ``side``'s row is repeated."""
-    salts = F.coalesce("salts", F.lit(1))
-    rows = rows.join(hot, key, "left").withColumn("salt", F.pmod(spread, salts).cast("int")).drop("salts")
-    side = side.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    return rows.join(side, [key, "salt"]).drop("salt")
+        last, total = now, 2 * now[0]
 
 
 _SIGN = -(1 << 63)
