@@ -66,10 +66,11 @@ ADVERTS = set("ad ads advert adverts advertisement advertising sponsored".split(
 CONTAINERS = set("html body div section table tbody tr td center blockquote".split())
 _KEEP_HEADER = {"article", "entry", "post", "story"}
 
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)>")  # a tag without attributes
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _TAG_END = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]++)))?")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+_CLOSE = {n: re.compile("</" + n, re.I | re.A) for n in RAW}
 _PART = re.compile(r"[a-z0-9]+")
 
 SCHEMA = T.StructType(
@@ -119,7 +120,6 @@ def tokens_of(page: str):
     Comments, declarations and raw elements are passed over.  Each place is read a bounded number
     of times: a quote that never closes is searched for once, after that quotes hide no ">".
     """
-    low = page.translate(_LOWER)
     begin = at = 0
     quotes, missing = True, set()
     parts: list[str] = []
@@ -127,6 +127,17 @@ def tokens_of(page: str):
         i = page.find("<", at)
         if i < 0:
             break
+        m = _PLAIN.match(page, i)
+        if m:
+            name = m[2].lower()
+            if name not in RAW:
+                if parts:
+                    yield "".join([*parts, page[begin:i]]), name, m[1] == "/", ""
+                    parts = []
+                else:
+                    yield page[begin:i], name, m[1] == "/", ""
+                begin = at = m.end()
+                continue
         if page.startswith("<!--", i):
             end = page.find("-->", i + 4)
             parts.append(page[begin:i])
@@ -151,17 +162,17 @@ def tokens_of(page: str):
             if end < 0:
                 at = len(page)  # no tag ends any more
                 break
-        name, closing = low[m.start() : m.end()], page[i + 1] == "/"
+        name, closing = m[0].lower(), page[i + 1] == "/"
         before = "".join([*parts, page[begin:i]])
         parts, begin, at = [], end + 1, end + 1
         if name in RAW and not closing:
-            close = -1 if name in missing else low.find("</" + name, at)
-            if close < 0:
+            close = None if name in missing else _CLOSE[name].search(page, at)
+            if close is None:
                 missing.add(name)
                 if name in ENDLESS:
                     begin = at = len(page)
             else:
-                stop = page.find(">", close)
+                stop = page.find(">", close.start())
                 begin = at = len(page) if stop < 0 else stop + 1
             yield before, "", False, ""
             continue
@@ -196,8 +207,7 @@ def lines_of(page: str) -> Lines:
     inner = [0]  # the open containers
     skip = articles = mains = links = headings = roots = 0
     place = lambda: roots if articles else -1 if mains else 0
-    closes: dict[str, bool] = {}
-    low = None
+    closes: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -252,8 +262,7 @@ def lines_of(page: str) -> Lines:
             # Furniture that is never closed ends where the article begins.
             bad = next(n for n, b in reversed(stack) if b)
             if bad not in closes:
-                low = page.translate(_LOWER) if low is None else low
-                closes[bad] = low.rfind("</" + bad)
+                closes[bad] = max((m.start() for m in re.finditer("</" + re.escape(bad), page, re.I | re.A)), default=-1)
             if closes[bad] < at:
                 while skip:
                     pop()

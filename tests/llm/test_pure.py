@@ -356,3 +356,16 @@ def test_other_tokenizers_encode_whole_texts():
     texts = ["", " two  blanks", "The cat été\n\n it's"]
     assert not e.by_chunk and tokens.Encoder(tokens.tokenizer_path()).by_chunk
     assert e.encode(texts) == [np.array(x.ids, dtype="<u4").tobytes() for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quillspark.llm import common
+
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.scratch(spark, "x")
+    spark.conf.get = lambda name, default=None: "hdfs://host/shared/"
+    assert common.scratch(spark, "x").startswith("hdfs://host/shared/quillspark/x-")
+    common._MADE.pop()
