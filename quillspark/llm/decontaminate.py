@@ -186,7 +186,7 @@ def find(texts: list[str], items: Items) -> tuple[np.ndarray, list]:
 
 
 def _longest(hit: np.ndarray) -> tuple[int, int]:
-    """(words, first word) of the longest verbatim match: windows that go on both in the text and in the item."""
+    """(words, first word) of the longest verbatim match, of equal ones the earliest: windows that go on both in the text and in the item."""
     diagonal = hit[:, 1] - hit[:, 4]
     order = np.lexsort([hit[:, 1], diagonal, hit[:, 3]])
     best, start, where = 0, 0, 0
@@ -195,7 +195,7 @@ def _longest(hit: np.ndarray) -> tuple[int, int]:
         if prev != (item, diag, at - 1):
             start = at
         prev = (item, diag, at)
-        if at + size - start > best:
+        if at + size - start > best or (at + size - start == best and start < where):
             best, where = at + size - start, start
     return best, where
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontaminate, html_text, neardup, packing, pii, secrets, sql, sstable, toxicity
+from . import ann, chat, decontaminate, html_text, lexical, merkle, neardup, packing, pii, secrets, sql, sstable, swappack, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair(_table(spark, sf_dir, "conversations"))
 
 
+def op11_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return swappack.pack(_table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
@@ -62,10 +74,15 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_nearest": op9_nearest,
     "op10_chat": op10_chat,
+    "op11_swap_packing": op11_swap_packing,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES = {
     "op2_secrets": sql.SECRETS,
     "op3_html_text": sql.PAGES,
     "op5_decontaminate": sql.CONTAMINATION,
     "op8_near_duplicates": sql.NEAR,
+    "op12_ranked_search": sql.RANKED,
+    "op13_merkle_manifest": sql.MERKLE,
 }
