@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .overlap import in_interval, next_within
 
 
 def owned(rows: DataFrame, owner_column: str, owner: int) -> DataFrame:
@@ -22,9 +25,8 @@ def in_status(rows: DataFrame, column: str, *status: str) -> DataFrame:
 
 
 def valid_sessions(uses: DataFrame, sessions: DataFrame, key: str, at: str) -> DataFrame:
-    """Uses (key, at) joined with the session that is valid then: created <= at < expires."""
-    s = sessions.withColumnRenamed(key, "_k")
-    return uses.join(s, (F.col(key) == F.col("_k")) & (F.col(at) >= F.col("created")) & (F.col(at) < F.col("expires"))).drop("_k")
+    """Uses (key, at) joined with the sessions that are valid then: created <= at < expires, all timestamps."""
+    return in_interval(uses, sessions, key, F.unix_micros(at), F.unix_micros("created"), F.unix_micros("expires"))
 
 
 def latest(rows: DataFrame, key: str, order: Column) -> DataFrame:
@@ -45,11 +47,10 @@ def stalled(events: DataFrame, key: str, kind: str, start: str, end: str, at: st
     return first.join(last, key, "left").where("ended is null or ended < started").select(key, "started")
 
 
-def decided(proposals: DataFrame, decisions: DataFrame, key: str, within: str = "30 minutes") -> DataFrame:
+def decided(proposals: DataFrame, decisions: DataFrame, key: str, within: timedelta = timedelta(minutes=30)) -> DataFrame:
     """Every proposal with the first decision inside the time; null if none came."""
-    d = decisions.select(F.col(key).alias("_k"), F.col("ts").alias("decided_at"), "decision")
-    joined = proposals.join(d, (F.col(key) == F.col("_k")) & (F.col("decided_at") >= F.col("ts")) & (F.col("decided_at") <= F.col("ts") + F.expr(f"interval {within}")), "left")
-    return joined.groupBy("proposal_id").agg(F.min_by("decision", "decided_at").alias("decision"), F.min("decided_at").alias("decided_at"))
+    told = next_within(proposals.select("proposal_id", key, "ts"), decisions.select(key, "ts", "decision"), key, "ts", "decision", int(within / timedelta(microseconds=1)))
+    return told.select("proposal_id", F.col("found").alias("decision"), F.col("found_at").alias("decided_at"))
 
 
 def main_files(files: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .overlap import overlapping, running_ends
 
 #: Most needles, and most characters of them, in a block.
 BLOCK_NEEDLES = 5_000
@@ -95,13 +96,18 @@ def find_all(blocks: DataFrame, needle: str, most: int = 500) -> DataFrame:
 
 
 def key_places(blocks: DataFrame, needle: str) -> DataFrame:
-    """doc_id, begin, stop of every occurrence, overlapping ones and across blocks too, of a needle (a key) in the joined keys."""
-    listed = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", X.match_key("line").alias("k")))).alias("l"))
-    key = F.array_join(F.transform("l", lambda s: s["k"]), "")
-    parts = listed.select("doc_id", key.alias("key")).select("doc_id", F.startswith("key", F.lit(needle)).alias("leads"), F.posexplode(F.split("key", f"(?={needle})", -1)).alias("nth", "part"))
-    before = F.coalesce(F.sum(F.length("part")).over(Window.partitionBy("doc_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    hit = parts.withColumn("begin", before.cast("long")).where((F.col("nth") > 0) | F.col("leads"))  # only the first part may begin without one
-    return hit.select("doc_id", "begin", (F.col("begin") + len(needle)).alias("stop"))
+    """doc_id, begin, stop of every occurrence, overlapping ones and across blocks too, of a needle (a key) in the joined keys.
+
+    Each block is read with the characters behind it that an occurrence beginning in it can reach.
+    """
+    n = len(needle)
+    keyed = running_ends(blocks.select("doc_id", "pos", X.match_key("line").alias("key")).withColumn("size", F.length("key")), "doc_id", "pos", "size").where("size > 0")
+    behind = F.collect_list(F.left("key", F.lit(n - 1))).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1, n - 1)) if n > 1 else F.array(F.lit(""))
+    read = keyed.withColumn("key", F.concat("key", F.left(F.array_join(behind, ""), F.lit(n - 1))))
+    parts = read.where(F.contains("key", F.lit(needle))).select("doc_id", "pos", "start", F.startswith("key", F.lit(needle)).alias("leads"), F.posexplode(F.split("key", rf"(?=\Q{needle}\E)", -1)).alias("nth", "part"))
+    before = F.coalesce(F.sum(F.length("part")).over(Window.partitionBy("doc_id", "pos").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hit = parts.withColumn("begin", (F.col("start") + before).cast("long")).where((F.col("nth") > 0) | F.col("leads"))  # only the first part may begin without one
+    return hit.select("doc_id", "begin", (F.col("begin") + n).alias("stop"))
 
 
 def quote_places(blocks: DataFrame, quotes: DataFrame, cuts: tuple[int, ...] = (140, 60, 24), least: int = 6) -> DataFrame:
@@ -119,7 +125,6 @@ def quote_places(blocks: DataFrame, quotes: DataFrame, cuts: tuple[int, ...] = (
 
 def span_overlay(blocks: DataFrame, matches: DataFrame) -> DataFrame:
     """Blocks, as spans of their document's joined key, that a match (doc_id, begin, stop) overlaps."""
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    spans = blocks.withColumn("size", F.length(X.match_key("line"))).withColumn("end", F.sum("size").over(w)).withColumn("start", F.col("end") - F.col("size")).where("size > 0")
-    joined = spans.join(matches, "doc_id").where("start < stop and end > begin")
-    return joined.select("doc_id", "begin", "stop", "pos", "start", "end")
+    sized = blocks.withColumn("size", F.length(X.match_key("line")))
+    spans = running_ends(sized, "doc_id", "pos", "size").where("size > 0").select("doc_id", "pos", "start", "end")
+    return overlapping(spans, matches.select("doc_id", "begin", "stop"), "doc_id", ("start", "end"), ("begin", "stop")).select("doc_id", "begin", "stop", "pos", "start", "end")

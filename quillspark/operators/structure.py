@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import written
 
 # What tells an author line.
 AFFILIATION = ["ieee", "student member", "senior member", "life member", "corresponding author", "university", "institute", "school of", "department of", "college of", "@", "<sup>"]
@@ -160,39 +161,56 @@ def missing_glyphs(lines: DataFrame, replacements: DataFrame) -> DataFrame:
     return g.join(replacements, "ch", "left")
 
 
+def _tidy(path: Column) -> Column:
+    """A path without ``.`` and ``..`` steps."""
+    step = lambda acc, p: F.when(p.isin("", "."), acc).when((p == "..") & (F.size(acc) > 0), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def include_pieces(files: DataFrame) -> DataFrame:
+    """path, k, literal, target: each file cut behind its include commands; piece k is the text up to command k, and that command's text and file.
+
+    The last piece has no command.  A commented command, one whose file isn't there and one whose file is empty belong to the text.
+    files: path, folder, text.
+    """
+    # A comment up to its line's end is one piece, so its commands are never seen.
+    form = r"\\(?:input|include)\s*\{[^}]+\}|(?<!\\)%[^\n]*+"
+    texts = F.split("text", form, -1)
+    found = F.concat(F.regexp_extract_all("text", F.lit(form), F.lit(0)), F.array(F.lit("")))
+    cut = files.where("text is not null").select("path", "folder", F.posexplode(F.arrays_zip(texts.alias("t"), found.alias("c"))).alias("k", "p")).select("path", "folder", "k", F.col("p.t").alias("literal"), F.col("p.c").alias("command"))
+    name = F.trim(F.regexp_extract("command", r"^\\(?:input|include)\s*\{([^}]+)\}$", 1))
+    full = F.when(F.col("folder") == "", name).otherwise(F.concat("folder", F.lit("/"), name))
+    target = F.when(name != "", _tidy(F.when(F.lower(name).endswith(".tex"), full).otherwise(F.concat(full, F.lit(".tex")))))
+    there = files.where("text != ''").select(F.col("path").alias("target"))
+    return cut.select("path", "k", "literal", "command", target.alias("target")).join(there.withColumn("known", F.lit(True)), "target", "left").select("path", "k", "literal", "command", F.when(F.col("known"), F.col("target")).alias("target"))
+
+
 def include_closure(files: DataFrame, depth: int = 8) -> DataFrame:
-    """path, text with included files written in place of their commands.
+    """path, text with included files written in place of their commands, up to ``depth`` files deep.
 
-    files: path, folder, text.  Commented commands, unknown targets and cycles stay as they
-    are.  Texts are built bottom-up: in each of at most ``depth`` rounds, files whose
-    includes are all final are put into those that name them.
+    files: path (tidy, unique), folder, text.  A recursion whose rows carry the way from the root: a file is entered unless it is on that way already, so
+    of a cycle only the command that closes it stays.  Commented commands, unknown and empty files, and what lies deeper stay as
+    commands too.  A row knows its pieces' places (the commands' numbers on the way), by which the root's text is put together at the end.
+    A file that nothing includes and that includes nothing takes no part in the recursion.  Null texts stay null.
     """
-    command = r"\\(?:input|include)\s*\{([^}]+)\}"
-    live = F.filter(F.split("text", "\n"), lambda s: s.rlike(command))
-    live = F.transform(live, lambda s: F.regexp_replace(s, r"(?<!\\)%.*$", ""))
-    named = F.flatten(F.transform(live, lambda s: F.regexp_extract_all(s, F.lit(command), F.lit(1))))
-    base = F.when(F.col("folder") == "", "").otherwise(F.concat("folder", F.lit("/")))
-    edges = files.select("path", F.explode(F.array_distinct(named)).alias("name"), base.alias("base"))
-    target = F.concat("base", F.trim("name"), F.when(F.lower(F.trim("name")).endswith(".tex"), "").otherwise(".tex"))
-    edges = edges.select("path", "name", target.alias("target")).join(files.select(F.col("path").alias("target")), "target", "left_semi")
-    # Edges on a cycle: a path that comes back to its start; a bounded number of joins.
-    reach = edges.select(F.col("path").alias("a"), F.col("target").alias("b"))
-    hop = reach
-    for _ in range(depth - 1):
-        hop = hop.join(edges.select(F.col("path").alias("b"), F.col("target").alias("c")), "b").select("a", F.col("c").alias("b")).unionByName(reach).distinct()
-    cyclic = edges.join(hop.select(F.col("a").alias("target"), F.col("b").alias("path")), ["target", "path"], "left_semi")
-    edges = edges.join(cyclic.select("path", "target"), ["path", "target"], "left_anti")
-    out = files.select("path", "text")
+    pieces = written(include_pieces(files), "include-pieces")
+    edges = pieces.where("target is not null").select(F.col("path").alias("at"), "k", F.col("target").alias("into"))
+    none = F.array().cast("array<int>")
+    level = edges.select(F.col("at").alias("root")).distinct().select("root", F.col("root").alias("at"), F.array("root").alias("way"), none.alias("place"))
+    entered = level
     for _ in range(depth):
-        step = edges.join(out.select(F.col("path").alias("target"), F.col("text").alias("body")), "target").where("body != ''")
-        step = step.groupBy("path").agg(F.collect_list(F.struct("name", "body")).alias("parts"))
-        place = lambda line, p: F.when(
-            ~line.rlike(r"(?<!\\)%.*\\(?:input|include)"),
-            F.replace(F.replace(line, F.concat(F.lit("\\input{"), p["name"], F.lit("}")), p["body"]), F.concat(F.lit("\\include{"), p["name"], F.lit("}")), p["body"]),
-        ).otherwise(line)
-        filled = lambda t, parts: F.array_join(F.transform(F.split(t, "\n"), lambda line: F.aggregate(parts, line, place)), "\n")
-        out = files.join(step, "path", "left").select("path", F.when(F.col("parts").isNull(), F.col("text")).otherwise(filled(F.col("text"), F.col("parts"))).alias("text"))
-    return out
+        level = level.join(edges, "at").where(~F.array_contains("way", F.col("into")))
+        level = level.select("root", F.col("into").alias("at"), F.concat("way", F.array("into")).alias("way"), F.concat("place", F.array("k")).alias("place"))
+        level = written(level, "include-level")
+        if level.isEmpty():
+            break
+        entered = entered.unionByName(level)
+    # Piece k stands before what command k brings; a command that wasn't entered stands for itself.
+    told = entered.join(pieces.withColumnRenamed("path", "at"), "at")
+    enters = F.col("target").isNotNull() & ~F.array_contains("way", F.col("target")) & (F.size("way") <= depth)
+    text = F.concat("literal", F.when(enters, "").otherwise(F.col("command")))
+    whole = told.select("root", F.concat("place", F.array("k")).alias("key"), text.alias("part")).groupBy("root").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "part"))), lambda s: s["part"]), "").alias("closed"))
+    return files.join(whole.withColumnRenamed("root", "path"), "path", "left").select("path", F.coalesce("closed", "text").alias("text"))
 
 
 def apply_edits(lines: DataFrame, edits: DataFrame, most_edits: int = 12, most_source: int = 400, most_new: int = 480) -> tuple[DataFrame, DataFrame]:

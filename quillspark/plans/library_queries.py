@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -99,7 +101,7 @@ def review_decisions(spark, d):
     e = S.events(spark, d)
     p = e.where("event_type = 'view'").select(F.col("event_id").alias("proposal_id"), "user_id", "ts")
     c = e.where("event_type = 'click'").select("user_id", "ts", F.when(F.col("value") > 50, "accept").otherwise("reject").alias("decision"))
-    return B.decided(p, c, "user_id", "6 hours").select("proposal_id", F.coalesce("decision", F.lit("timeout")).alias("decision"))
+    return B.decided(p, c, "user_id", timedelta(hours=6)).select("proposal_id", F.coalesce("decision", F.lit("timeout")).alias("decision"))
 
 
 def reading_position(spark, d):

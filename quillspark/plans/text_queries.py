@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import lines as L
 from ..operators import quality as Q
 from ..operators import search as S
+from ..operators import structure as D
 from ..sources.tables import evolved, new_only, table
 
 NEEDLE = "theand"
@@ -52,11 +53,23 @@ def span_overlay(spark, d):
 
 
 def span_overlay_all(spark, d):
-    """Spans that any occurrence of the needle in each document's joined key overlaps; no SQL."""
+    """Spans that any occurrence of the needle in each document's joined key overlaps."""
     lines = lines_(spark, d)
     return S.span_overlay(lines, S.key_places(lines, NEEDLE))
 
 
+def include_closure(spark, d):
+    """Documents as files that include one another: every one the file of half its number, by a command at its beginning or end or
+    behind a comment sign, and the first one the fourth, which closes cycles."""
+    half = F.when(F.col("doc_id") == 0, 3).otherwise(F.expr("doc_id div 2"))
+    name = F.concat(F.lit("d"), half.cast("string"), F.lit("}"))
+    text = F.coalesce("text", F.lit(""))
+    first, last, noted = F.concat(F.lit("\\include{"), name, F.lit("\n"), text), F.concat(text, F.lit("\n\\input{"), name), F.concat(text, F.lit("\n% \\input{"), name)
+    made = F.when(F.col("doc_id") % 5 == 4, noted).when(F.col("doc_id") % 3 == 0, first).otherwise(last)
+    files = docs_(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".tex")).alias("path"), F.lit("").alias("folder"), made.alias("text"))
+    return D.include_closure(files).select("path", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+
+
 def line_source(spark, d):
     return lines_(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("chars"))
 
@@ -193,7 +206,7 @@ def group_caps(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        library_search, find_all, span_overlay, span_overlay_all, line_source, repeated_lines, lines_kept, heading_lines, page_segments, line_positions, char_coverage, uncovered_chars,
+        library_search, find_all, span_overlay, span_overlay_all, include_closure, line_source, repeated_lines, lines_kept, heading_lines, page_segments, line_positions, char_coverage, uncovered_chars,
         source_lint, stray_braces, rewrite_rules, math_runs, marker_counts, rewrite_audit, context_windows, context_windows_20, distinct_anchors, html_blocks, html_markdown, outline_parents, tag_balance, ingest_new, evolve_schema,
         metadata_fill, tier_fallback, union_kinds, group_caps,
     )
@@ -218,6 +231,18 @@ select doc_id, pos, "at", nth from (select *, row_number() over (partition by do
 j as (select doc_id, string_agg(k, '' order by pos) key from k group by doc_id), m as (select doc_id, instr(key, '{NEEDLE}') - 1 as b from j where contains(key, '{NEEDLE}')),
 s as (select doc_id, pos, sum(length(k)) over (partition by doc_id order by pos) as e, length(k) n from k)
 select s.doc_id, m.b as "begin", m.b + {len(NEEDLE)} as stop, pos, cast(e - n as bigint) as start, cast(e as bigint) as "end" from s join m using (doc_id) where n > 0 and e - n < m.b + {len(NEEDLE)} and e > m.b""",
+    "span_overlay_all": f"""with {LINES}, k as (select doc_id, pos, {KEY('line')} k from lines),
+j as (select doc_id, string_split(string_agg(k, '' order by pos), '{NEEDLE}') p from k group by doc_id),
+m as (select doc_id, cast(list_sum(list_transform(p[1:i], lambda x: length(x))) + {len(NEEDLE)} * (i - 1) as bigint) as b from (select doc_id, p, unnest(range(1, len(p))) i from j)),
+s as (select doc_id, pos, sum(length(k)) over (partition by doc_id order by pos) as e, length(k) n from k)
+select s.doc_id, m.b as "begin", m.b + {len(NEEDLE)} as stop, pos, cast(e - n as bigint) as start, cast(e as bigint) as "end" from s join m using (doc_id) where n > 0 and e - n < m.b + {len(NEEDLE)} and e > m.b""",
+    "include_closure": r"""with recursive f as (select doc_id, coalesce(text, '') t, case when doc_id = 0 then 3 else doc_id // 2 end half, case when doc_id % 5 = 4 then 0 when doc_id % 3 = 0 then 1 else 2 end kind from documents),
+c as (select doc_id, half, kind, t, '\' || case when kind = 1 then 'include' else 'input' end || '{d' || half || '}' as command from f),
+g as (select doc_id, case when kind > 0 and half in (select doc_id from documents) then half end as into_, case kind when 1 then '' else t || chr(10) || case when kind = 0 then '% ' else '' end end as head, case kind when 1 then chr(10) || t else '' end as tail, command from c),
+w as (select doc_id as root, doc_id as at_, [doc_id] as way, head as before, tail as after, into_, command from g
+ union all select w.root, g.doc_id, list_append(w.way, g.doc_id), w.before || g.head, g.tail || w.after, g.into_, g.command from w join g on g.doc_id = w.into_ where not list_contains(w.way, g.doc_id) and len(w.way) <= 8),
+e as (select root, before || command || after as text, row_number() over (partition by root order by len(way) desc) k from w)
+select 'd' || root || '.tex' as path, length(text) chars, md5(text) digest from e where k = 1""",
     "line_source": f"with {LINES} select doc_id, count(*) n_lines, cast(sum(length(line)) as bigint) chars from lines group by doc_id",
     "repeated_lines": f"with {LINES}, k as (select doc_id, lower({COLLAPSE('line')}) key from lines) select doc_id, key, count(*) n from k where length(key) between 1 and 80 group by all having count(*) >= 2",
     "lines_kept": f"with {LINES}, k as (select doc_id, lower({COLLAPSE('line')}) key from lines), n as (select doc_id, key, count(*) over (partition by doc_id, key) n from k) select doc_id, count(*) n_lines from n where not (n >= 2 and length(key) between 1 and 80) group by doc_id",

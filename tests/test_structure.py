@@ -102,6 +102,42 @@ def test_includes(spark):
     assert out["main.tex"] == "a\none\ntwo\n% \\input{sec/two}\n\\input{none}" and out["loop.tex"] == "\\input{loop}"
 
 
+def plain_closure(files, path, depth=8, way=()):
+    """A file's text with its includes in place, by plain recursion."""
+    import posixpath
+    import re
+
+    text, way = files[path][1], (*way, path)
+
+    def put(m):
+        if re.search(r"(?<!\\)%", text[text.rfind("\n", 0, m.start()) + 1 : m.start()]):
+            return m[0]
+        name = m[1].strip()
+        at = posixpath.normpath(posixpath.join(files[path][0], name if name.lower().endswith(".tex") else name + ".tex"))
+        if at not in files or at in way or len(way) > depth:
+            return m[0]
+        return plain_closure(files, at, depth, way) or m[0]
+
+    return re.sub(r"\\(?:input|include)\s*\{([^}]+)\}", put, text)
+
+
+CLOSURES = {
+    "cycle": {"main.tex": "m \\input{a} n", "a.tex": "A text.\\input{b}\n", "b.tex": "B text.\\input{a}\n", "self.tex": "\\include{self}x"},
+    "comments": {"main.tex": "% \\input{draft}\n100\\% \\input{real}\n\\% % \\input{real}\nx\\input{real}y\\input{ real.TEX }", "real.tex": "Real.", "draft.tex": "Draft", "real.TEX": "other"},
+    "folders": {"main.tex": "\\input{sec/one}\\include{./sec/two.tex}", "sec/one.tex": "1\\input{deep/x}\\input{../top}", "sec/deep/x.tex": "x\\input{../two}", "sec/two.tex": "", "top.tex": "T\\input{main}"},
+    "deep": {f"f{i}.tex": f"{i}(\\input{{f{i + 1}}})" for i in range(12)},
+    "diamond": {"main.tex": "\\input{a}|\\input{b}|\\input{a}", "a.tex": "a[\\input{c}]", "b.tex": "b[\\input{c}]", "c.tex": "c"},
+}
+
+
+def test_includes_equal_a_plain_recursion(spark):
+    files = {f"{k}/{p}": (f"{k}/{p}".rpartition("/")[0], t) for k, group in CLOSURES.items() for p, t in group.items()}
+    rows = [(p, f, t) for p, (f, t) in files.items()] + [("none.tex", "", None)]
+    got = {r.path: r.text for r in D.include_closure(spark.createDataFrame(rows, "path string, folder string, text string")).collect()}
+    assert got == {p: plain_closure(files, p) for p in files} | {"none.tex": None}
+    assert got["cycle/main.tex"] == "m A text.B text.\\input{a}\n\n n" and got["deep/f0.tex"].count("(") == 9
+
+
 def test_edits(spark):
     lines = spark.createDataFrame([(d, i + 1, t) for d in (1, 2, 3) for i, t in enumerate(["a", "b", "c", "d"])], "doc_id long, line_no long, line string")
     edits = spark.createDataFrame([(1, 1, 1, 2, "b\nc", "B\nX\nC"), (1, 2, 4, 4, "d", "D"), (2, 1, 1, 1, "a", "\\input{/etc/x}"), (3, 1, 1, 2, "a\nb", "q"), (3, 2, 2, 2, "b", "r")], "doc_id long, edit long, start_line long, end_line long, original string, replacement string")
