@@ -86,12 +86,18 @@ def token_overlap(spark, d):
     return p.select("conv_id", "turn", F.size(F.array_intersect(X.tokens("text"), X.tokens("answer"))).cast("long").alias("shared"))
 
 
-def _asked(spark, d):
-    """Questions (user turns), their scope of documents, and the blocks (lines) of these."""
+def _questions(spark, d):
+    """Questions (user turns) and their scope of documents."""
     q = talk(spark, d).where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("q_id"), "conv_id", F.col("text").alias("question"))
     scope = q.select("q_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(SCOPE - 1)), lambda k: F.col("conv_id") * SCOPE + k)).alias("doc_id"))
+    return q.select("q_id", "question"), scope
+
+
+def _asked(spark, d):
+    """Questions, their scope, and the blocks (lines) of its documents."""
+    q, scope = _questions(spark, d)
     docs = docs_(spark, d).join(scope.select("doc_id").distinct(), "doc_id", "left_semi")
-    return q.select("q_id", "question"), scope, R.retrieval_blocks(docs, "\n")
+    return q, scope, R.retrieval_blocks(docs, "\n")
 
 
 def token_retrieval(spark, d):
@@ -105,8 +111,8 @@ def ranked_blocks(spark, d):
 
 
 def budgeted_sources(spark, d):
-    q, scope, blocks = _asked(spark, d)
-    b = R.budgeted(R.rank_blocks(q, blocks, scope), blocks, total=4_000)
+    q, scope = _questions(spark, d)
+    b = R.budgeted(q, docs_(spark, d), scope, total=4_000, sep="\n")
     return b.select("q_id", "label", "doc_id", "idx", F.length("content").cast("long").alias("chars"))
 
 
@@ -116,7 +122,7 @@ def _asked_of_all(spark, d):
 
 
 def token_retrieval_all(spark, d):
-    """Every question asked of every document; no SQL."""
+    """Every question asked of every document."""
     return R.token_overlap(*_asked_of_all(spark, d)).select("q_id.conv_id", "q_id.turn", "doc_id", "idx", "overlap")
 
 
@@ -126,9 +132,9 @@ def ranked_blocks_all(spark, d):
 
 
 def budgeted_sources_all(spark, d):
-    """Sources of every question from all documents, within the operator's own budget; no SQL."""
-    q, blocks = _asked_of_all(spark, d)
-    b = R.budgeted(R.rank_blocks(q, blocks), blocks)
+    """Sources of every question from all documents, within the operator's own budget."""
+    q = talk(spark, d).where("role = 'user'").select(F.struct("conv_id", "turn").alias("q_id"), F.col("text").alias("question"))
+    b = R.budgeted(q, docs_(spark, d), sep="\n")
     return b.select("q_id.conv_id", "q_id.turn", "label", "doc_id", "idx", F.length("content").cast("long").alias("chars"))
 
 
@@ -242,6 +248,11 @@ scored as (select o.*, b.position, o.overlap + o.overlap / greatest(1, n) + case
 top as (select *, row_number() over (partition by q_id, doc_id order by score desc, idx) as place from scored),
 three as (select q_id, doc_id, idx, position, place from top where place <= 3),
 ranked as (select * from three union all select q_id, doc_id, 0, 0.0, 0 from three group by q_id, doc_id having min(idx) > 0)"""
+# All documents that a budget of 26,000 characters can reach: the sum of the three shortest chunks before them is below it.
+_ASKED_ALL = _ASKED.replace("conv_id * 100 + turn as q_id", "conv_id * 1000000 + turn as q_id").split("scope as")[0] + "kept as" + _ASKED.split("kept as")[1].split("over as")[0]
+_REACHED = """short as (select doc_id, cast(sum(least(length(block), 4200)) as bigint) s from (select *, row_number() over (partition by doc_id order by least(length(block), 4200)) r from blocks) where r <= 3 group by doc_id),
+near as (select doc_id from (select doc_id, coalesce(sum(s) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) b from short) where b < 26000),
+scope as (select q_id, doc_id from q, near), over as"""
 _MEMOKEY = f"sha256('{X.CONTRACT}' || chr(0) || 'ir' || chr(0) || {{0}})".format
 _LEAKS = ",".join("'" + p.replace("'", "''") + "'" for p in G.LEAKS)
 
@@ -271,6 +282,11 @@ select a.conv_id, a.i as "index", round(a.i / greatest(1, a.n - 1), 9) as positi
     "budgeted_sources": f"""with {_ASKED}, c as (select q_id, r.doc_id, r.idx, place, left(block, 4200) as chunk from ranked r join blocks b on r.doc_id = b.doc_id and r.idx = b.idx),
 u as (select *, coalesce(sum(length(chunk)) over (partition by q_id order by doc_id, place rows between unbounded preceding and 1 preceding), 0) used, row_number() over (partition by q_id order by doc_id, place) k from c)
 select q_id, 'P' || k as label, doc_id, idx, cast(least(length(chunk), 4000 - used) as bigint) as chars from u where used < 4000""",
+    "budgeted_sources_all": f"""with {_ASKED_ALL} {_REACHED} {_ASKED.split("over as")[1]}, c as (select q_id, r.doc_id, r.idx, place, left(block, 4200) as chunk from ranked r join blocks b on r.doc_id = b.doc_id and r.idx = b.idx),
+u as (select *, coalesce(sum(length(chunk)) over (partition by q_id order by doc_id, place rows between unbounded preceding and 1 preceding), 0) used, row_number() over (partition by q_id order by doc_id, place) k from c)
+select q_id // 1000000 as conv_id, q_id % 1000000 as turn, 'P' || k as label, doc_id, idx, cast(least(length(chunk), 26000 - used) as bigint) as chars from u where used < 26000""",
+    "token_retrieval_all": f"""with {_ASKED_ALL} qt as (select q_id, unnest(toks) t from q), bt as (select doc_id, idx, unnest(toks) t from tok)
+select q_id // 1000000 as conv_id, q_id % 1000000 as turn, doc_id, idx, count(*) as overlap from qt join bt using (t) group by q_id, doc_id, idx""",
     "locate_exact": f"""with {LINES}, e as (select doc_id, pos as idx, pos / greatest(1, count(*) over (partition by doc_id) - 1) as position, {KEY('line')} k from lines),
 s as (select doc_id * 100000 + pos as n_id, doc_id, {KEY('substr(line, 5, 60)')} needle from lines where pos % 10 = 3 and length(line) >= 20),
 p as (select n_id, idx, row_number() over (partition by n_id order by abs(position - 0.5), idx) r from s join e using (doc_id) where needle <> '' and (contains(k, needle) or length(k) >= 8 and contains(needle, k) and length(k) / length(needle) * 0.25 + 0.72 >= 0.98 and exists (select 1 from e x where x.doc_id = s.doc_id and contains(x.k, needle))))
