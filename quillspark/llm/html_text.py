@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution (operator 3).
 
 Markup is stripped to one line per block element, in page order.  A line weighs the length
-of its text outside links; lines of menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments (told by element, role, class or id) weigh
-nothing.  Weights are summed over sliding windows of ``WINDOW`` lines: where the sum first
+of its text outside links; menus, page headers, footers, sidebars, scripts, styles and hidden elements weigh
+nothing.  Elements whose role, class or id speaks of furniture, and forms, are doubtful: the weight around and in them tells whether they
+are the content or go (``_judged``), so a page inside a form or a container of an unlucky name is kept, and notices, adverts,
+and readers' comments beside a text go, in an article too.  Weights are summed over sliding windows of ``WINDOW`` lines: where the sum first
 reaches ``SURGE`` is a surge point, where it falls to nothing again a dive point.  The
 stretches between them tell the content: the ``article`` elements that hold one (teasers beside
 them go) with what else is in the ``main`` element, or on a page without these elements the content's container, the
@@ -52,7 +53,8 @@ BLOCKS = set(
     " legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = set("nav aside footer form button dialog head menu fieldset".split())
+DROPPED = set("nav aside footer button dialog head menu".split())
+FORMS = {"form", "fieldset"}
 # Words in class, id or role that mark furniture.
 HINTS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay"
@@ -61,7 +63,12 @@ HINTS = set(
 )
 # Elements that may be furniture inside an article, and words that its names may hold beside those above.
 FRAMES = set("div section ul ol table figure center iframe details".split())
-NEUTRAL = set("box bar block container wrapper wrap section list area slot unit inner outer row link links button buttons icons item items thread site page top bottom left right main post story article entry js".split())
+NEUTRAL = set(
+    "box bar block container wrapper wrap section list area slot unit inner outer row link links button buttons icons item items thread site page top bottom left right main post story article entry js"
+    " user users reader readers visitor visitors customer customers guest guests count title body text author articles posts stories law info policy message messages".split()
+)
+# Words that begin other words of a name, as in "commentlist".
+STEMS = ("comment", "cookie")
 ADVERTS = set("ad ads advert adverts advertisement advertising sponsored".split())
 CONTAINERS = set("html body div section table tbody tr td center blockquote".split())
 _KEEP_HEADER = {"article", "entry", "post", "story"}
@@ -71,7 +78,7 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _TAG_END = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]++)))?")
 _CLOSE = {n: re.compile("</" + n, re.I | re.A) for n in RAW}
-_PART = re.compile(r"[a-z0-9]+")
+_PART = re.compile(r"[A-Z]?[a-z]++|[A-Z]++(?![a-z])|[0-9]++")
 
 SCHEMA = T.StructType(
     [
@@ -92,26 +99,53 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _furniture(name: str, attributes: str, in_article: bool) -> bool:
+#: What a name says of an element: nothing, perhaps furniture, furniture, or furniture whatever it holds.
+TEXT, WEAK, STRONG, GONE = range(4)
+
+
+def _words(token: str) -> set[str]:
+    """The words of a name, in lower case; "commentList", "comment-list" and "commentlist" have the same."""
+    out = {w.lower() for w in _PART.findall(token)}
+    for w in list(out):
+        for stem in STEMS:
+            rest = w[len(stem) :]
+            if w.startswith(stem) and (rest in NEUTRAL or rest in HINTS):
+                out = out - {w} | {stem, rest}
+    return out
+
+
+def _furniture(name: str, attributes: str, in_article: bool) -> int:
+    """How much an element's name, class, id and role say that it is furniture."""
     if name in DROPPED or name == "header" and not in_article:
-        return True
-    if name in ("html", "body", "article", "main") or not attributes.strip():
-        return False
+        return GONE
+    if name in ("html", "body", "article", "main"):
+        return TEXT
+    level = WEAK if name in FORMS else TEXT
+    if not attributes.strip():
+        return level
     told = _attributes(attributes)
     style = told.get("style", "").lower().replace(" ", "")
     if "hidden" in told and told["hidden"].lower() != "until-found" or told.get("aria-hidden", "").lower() == "true" or "display:none" in style:
-        return True
+        return GONE
+    block = name in BLOCKS
+    names = [_words(t) for key in ("class", "id", "role") for t in told.get(key, "").split()]
     if in_article and name not in FRAMES:
-        # An article's own paragraphs, headings and inline elements are its text, but for adverts.
-        return name not in _HEADINGS and not ADVERTS.isdisjoint(told.get("class", "").lower().split())
-    for key in ("class", "id", "role"):
-        for token in told.get(key, "").lower().split():
-            words = set(_PART.findall(token))
-            found = words & HINTS
-            # In an article every word of the name must speak of furniture ("comment-list", not "related-work").
-            if found and (words <= HINTS | NEUTRAL if in_article else not (found == {"header"} and words & _KEEP_HEADER)):
-                return True
-    return False
+        # An article's own paragraphs, headings and inline elements are its text, but for adverts and a reader's comment.
+        if name in _HEADINGS:
+            return TEXT
+        if not ADVERTS.isdisjoint(told.get("class", "").lower().split()):
+            return STRONG if block else GONE
+        return STRONG if block and name not in FORMS and any(w & {"comment", "comments"} and w <= HINTS | NEUTRAL for w in names) else level
+    for words in names:
+        found = words & HINTS
+        if not found or found == {"header"} and words & _KEEP_HEADER:
+            continue
+        # Every word of the name must speak of furniture ("comment-list", not "related-work"); else the text's weight tells.
+        if words <= HINTS | NEUTRAL:
+            level = max(level, STRONG)
+        elif not in_article:
+            level = max(level, WEAK)
+    return GONE if level and not block else level
 
 
 def tokens_of(page: str):
@@ -189,20 +223,42 @@ class Lines:
         self.article: list[int] = []  # number of the outermost article, -1 elsewhere in a main element, 0 outside
         self.heading: list[bool] = []
         self.node: list[int] = []
+        self.region: list[int] = []  # the innermost element that its name makes doubtful; 0: none
+        self.doubt = [(0, TEXT)]  # of each such element the one around it, and how doubtful it is
         self.parent = [0]
         self.end = [0]  # the first number behind those of a container's own ones
 
-    def add(self, text: str, weight: int, article: int, heading: bool, node: int) -> None:
-        for to, value in zip((self.text, self.weight, self.article, self.heading, self.node), (text, weight, article, heading, node), strict=True):
+    def add(self, text: str, weight: int, article: int, heading: bool, node: int, region: int) -> None:
+        for to, value in zip((self.text, self.weight, self.article, self.heading, self.node, self.region), (text, weight, article, heading, node, region), strict=True):
             to.append(value)
 
+    def without(self, gone: set[int]) -> None:
+        """Each of these doubtful elements becomes an empty line."""
+        out: list[int] = []  # regions in page order are numbered so: an inner one follows its outer one
+        outer = [0] * len(self.doubt)
+        for r in range(1, len(self.doubt)):
+            outer[r] = outer[self.doubt[r][0]] or (r if r in gone else 0)
+        seen: set[int] = set()
+        for k, r in enumerate(self.region):
+            o = outer[r]
+            if o:
+                if o in seen:
+                    continue
+                seen.add(o)
+                self.text[k], self.weight[k] = "", 0
+            out.append(k)
+        for name in ("text", "weight", "article", "heading", "node", "region"):
+            held = getattr(self, name)
+            setattr(self, name, [held[k] for k in out])
+
 
 def lines_of(page: str) -> Lines:
-    """One line for every block; furniture is an empty line."""
+    """One line for every block; what is furniture whatever it holds is an empty line, and doubtful elements are told."""
     out = Lines()
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool]] = []  # open elements; whether each is furniture
+    stack: list[tuple[str, bool, bool]] = []  # open elements; whether each is furniture, whether it is doubtful
+    within = [0]  # the open doubtful elements
     open_of: Counter = Counter()
     inner = [0]  # the open containers
     skip = articles = mains = links = headings = roots = 0
@@ -213,13 +269,13 @@ def lines_of(page: str) -> Lines:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.add(text, max(0, len(text) - linked), place(), headings > 0, inner[-1])
+            out.add(text, max(0, len(text) - linked), place(), headings > 0, inner[-1], within[-1])
         parts.clear()
         linked = 0
 
     def pop() -> None:
         nonlocal skip, articles, mains, links, headings
-        name, bad = stack.pop()
+        name, bad, doubtful = stack.pop()
         open_of[name] -= 1
         if name in CONTAINERS:
             out.end[inner.pop()] = len(out.parent)
@@ -229,7 +285,9 @@ def lines_of(page: str) -> Lines:
         links -= name == "a"
         headings -= name in _HEADINGS
         if bad and not skip:
-            out.add("", 0, place(), False, inner[-1])
+            out.add("", 0, place(), False, inner[-1], within[-1])
+        if doubtful:
+            within.pop()
 
     at = 0
     for before, name, closing, attributes in tokens_of(page):
@@ -260,14 +318,18 @@ def lines_of(page: str) -> Lines:
             pop()  # a new block ends an open paragraph
         if skip and name in ("article", "main"):
             # Furniture that is never closed ends where the article begins.
-            bad = next(n for n, b in reversed(stack) if b)
+            bad = next(n for n, b, _ in reversed(stack) if b)
             if bad not in closes:
                 closes[bad] = max((m.start() for m in re.finditer("</" + re.escape(bad), page, re.I | re.A)), default=-1)
             if closes[bad] < at:
                 while skip:
                     pop()
-        bad = not skip and _furniture(name, attributes, articles + mains > 0)
-        stack.append((name, bad))
+        level = TEXT if skip else _furniture(name, attributes, articles + mains > 0)
+        bad, doubtful = level == GONE, level in (WEAK, STRONG)
+        if doubtful:
+            out.doubt.append((within[-1], level))
+            within.append(len(out.doubt) - 1)
+        stack.append((name, bad, doubtful))
         open_of[name] += 1
         if name in CONTAINERS:
             out.parent.append(inner[-1])
@@ -306,9 +368,56 @@ def stretches_of(weight: np.ndarray, bound: int) -> list[tuple[int, int]]:
     return out
 
 
+def _judged(lines: Lines) -> None:
+    """Doubtful elements become empty lines, but where the distribution of text says that they are the content.
+
+    From the page inwards, within what is kept: an element that perhaps is furniture stays if a window in it has twice ``SURGE`` characters or it holds
+    most of the weight around it.  One that its name calls furniture stays only if what is around it has no surge point (beside an
+    article's own text: no text at all) and it holds most of the weight there.
+    """
+    n = len(lines.doubt)
+    if n == 1:
+        return
+    weight, region = np.array(lines.weight, dtype=np.int64), np.array(lines.region, dtype=np.int64)
+    article = np.array(lines.article, dtype=np.int64)
+    # The lines of an element and of those in it are side by side: regions are numbered in page order.
+    first, last = np.full(n, len(region)), np.zeros(n, dtype=np.int64)
+    np.minimum.at(first, region, np.arange(len(region)))
+    np.maximum.at(last, region, np.arange(1, len(region) + 1))
+    for r in range(n - 1, 0, -1):
+        o = lines.doubt[r][0]
+        first[o], last[o] = min(first[o], first[r]), max(last[o], last[r])
+    inner: dict[int, list[int]] = {}
+    for r in range(1, n):
+        inner.setdefault(lines.doubt[r][0], []).append(r)
+    gone: set[int] = set()
+    todo = [0]
+    while todo:
+        o = todo.pop()
+        held = [r for r in inner.get(o, []) if first[r] < last[r]]
+        if not held:
+            continue
+        begin, end = first[o], last[o]
+        around = weight[begin:end].copy()
+        for r in held:
+            around[first[r] - begin : last[r] - begin] = 0
+        whole = int(weight[begin:end].sum())
+        size = {r: int(weight[first[r] : last[r]].sum()) for r in held}
+        own = article[begin:end] != 0
+        rest = bool(around[own].sum()) if (own & (around > 0)).any() else bool(stretches_of(around, SURGE))
+        weak = [r for r in held if lines.doubt[r][1] == WEAK]
+        kept = {r for r in weak if size[r] * 2 > whole or stretches_of(weight[first[r] : last[r]], 2 * SURGE)}
+        if not rest and not kept:
+            kept = {r for r in held if size[r] * 2 > whole}
+        gone |= set(held) - kept
+        todo += kept
+    lines.without(gone)
+
+
 def main_text(page: str) -> list[str]:
     """The blocks between surge and dive points, with what shares their article or container."""
     lines = lines_of(page)
+    _judged(lines)
     weight, article = np.array(lines.weight, dtype=np.int64), np.array(lines.article, dtype=np.int64)
     told = np.array([bool(t) for t in lines.text], dtype=bool)
     inside = told & (article != 0)

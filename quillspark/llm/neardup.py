@@ -361,9 +361,18 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Of several texts of the least id in a component that of the least hash stays, and of rows that
     repeat both id and text, one.
     """
-    kept = materialise(groups(docs).where("kept").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "component"), "kept")
-    repeated = kept.groupBy("_d", "_h").count().where("count > 1").limit(1).count()
-    first = kept.where("component is not null").groupBy("component").agg(F.min(F.struct("_d", "_h")).alias("r")).select("r.*")
-    keep = first.unionByName(kept.where("component is null").select("_d", "_h"))
-    out = docs.join(keep.distinct(), docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left_semi")
+    d, h = (_unused(n, docs.columns) for n in ("kept_id", "kept_hash"))
+    kept = materialise(groups(docs).where("kept").select(F.col("doc_id").alias(d), F.col("h").alias(h), "component"), "kept")
+    repeated = kept.groupBy(d, h).count().where("count > 1").limit(1).count()
+    first = kept.where("component is not null").groupBy("component").agg(F.min(F.struct(d, h)).alias("r")).select("r.*")
+    keep = first.unionByName(kept.where("component is null").select(d, h))
+    out = docs.join(keep.distinct(), docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(h)), "left_semi")
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+
+
+def _unused(name: str, columns: list[str]) -> str:
+    """A column name that a table doesn't have, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -319,7 +319,7 @@ def test_stretches_equal_their_definition():
         assert html_text.stretches_of(np.array(w), 80) == want
 
 
-@pytest.mark.parametrize("text", ["<a '" * 50_000, "<div>" * 100_000, "<div>" * 50_000 + "</x>" * 50_000, "<svg>" * 50_000, "<" * 200_000, "<a " + "\"='" * 100_000 + ">", "<nav>" + "<article>" * 30_000, "<!--" * 100_000, "<div>x" * 30_000])
+@pytest.mark.parametrize("text", ["<a '" * 50_000, "<div>" * 100_000, "<div>" * 50_000 + "</x>" * 50_000, "<svg>" * 50_000, "<" * 200_000, "<a " + "\"='" * 100_000 + ">", "<nav>" + "<article>" * 30_000, "<!--" * 100_000, "<div>x" * 30_000, "<div class=banner>x" * 20_000, "<div class=social-science>x</div>" * 50_000])
 def test_hostile_pages_take_linear_time(text):
     import time
 
@@ -346,6 +346,42 @@ def test_pages_without_an_article():
     assert m(f"<ul>{links}</ul><h1>Head</h1><div><p>{long}</p><p><a href=u>more</a></p></div><ul>{links}</ul>")[-2:] == [long, "more"] and m(f"<ul>{links}</ul>") == []
 
 
+PROSE = "This is a paragraph of prose that has quite some words in it, so that its weight is beyond all doubt here."
+BODY = f"<h1>Title</h1><p>{PROSE}</p><p>{PROSE} Two.</p>"
+TOLD = ["Title", PROSE, f"{PROSE} Two."]
+
+
+@pytest.mark.parametrize("around", ["<div class='social-science'>", "<div class='search-results'>", "<form action=x>", "<div class='banner'>", "<div id=sidebar><div class='page widget'>"])
+def test_the_text_tells_what_an_unlucky_name_holds(around):
+    m = html_text.main_text
+    assert m(f"<body><nav>menu</nav>{around}{BODY}") == TOLD
+    if not around.startswith("<form"):  # beside a text, what a name calls furniture goes, and a few words of what it may call so
+        assert m(f"<body><div>{BODY}</div>{around}<p>few words</p></div></div>") == TOLD
+    assert m(f"<body>{around}{BODY}<div class='reader-comments'><p>{PROSE}</p><p>{PROSE}</p></div>") == TOLD
+
+
+@pytest.mark.parametrize("name", ["user-comments", "reader-comments", "commentlist", "cookieBanner", "comments", "newsletter-signup", "sponsored-articles"])
+def test_comments_and_notices_go(name):
+    m = html_text.main_text
+    other = f"<div class='{name}'><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div>"
+    assert m(f"<article>{BODY}{other}</article>") == m(f"<body><div>{BODY}</div>{other}</body>") == TOLD
+    assert m(f"<article><p>short</p>{other}</article>") == ["short"]
+
+
+def test_more_of_what_names_say():
+    m = html_text.main_text
+    assert m(f"<article>{BODY}<p class='comment'>{PROSE}</p><p class='commentary'>kept</p></article>") == [*TOLD, "kept"]
+    assert m(f"<body>{BODY}<section id='related-work'><p>{PROSE}</p><p>{PROSE} 3</p></section></body>") == [*TOLD, PROSE, f"{PROSE} 3"]
+    assert m(f"<body>{BODY}<form><label>Your name</label><p>Send it</p></form></body>") == TOLD
+
+
+def test_the_bound_decides(monkeypatch):
+    page = "<body><div><p>Some words of text.</p></div><div class='banner'><p>More words than the others are, in a box.</p></div></body>"
+    assert html_text.main_text(page) == ["More words than the others are, in a box."] or html_text.main_text(page) == ["Some words of text.", "More words than the others are, in a box."]
+    monkeypatch.setattr(html_text, "SURGE", 10)
+    assert html_text.main_text(page) == ["Some words of text."]
+
+
 def test_other_tokenizers_encode_whole_texts():
     import os
 
