@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..sources.scratch import written
 
 #: Characters of a needle and of a candidate that are compared for a partial match.
 NEEDLE, CANDIDATE = 1600, 4000
 THRESHOLD = 0.55
 GRAM = 8
+#: Neighbouring grams of which the least hash is a print, at each grain.
+WINDOWS = (1, 4, 16, 48)
 
 
 def zip_pairs(sources: DataFrame, targets: DataFrame, key: str) -> DataFrame:
@@ -33,21 +36,70 @@ def neighbours(entries: DataFrame, most: int = 400) -> DataFrame:
     return entries.withColumns({"before": cut(F.lag("line").over(w)), "behind": cut(F.lead("line").over(w))})
 
 
+class Automaton:
+    """The suffix automaton of a text: it reads the longest run that the text shares with another one in a step for each character."""
+
+    def __init__(self, text: str) -> None:
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.size = [-1], [0]
+        last = 0
+        for c in text:
+            new = self._state({}, self.size[last] + 1)
+            at = last
+            while at >= 0 and c not in self.next[at]:
+                self.next[at][c] = new
+                at = self.link[at]
+            if at >= 0:
+                to = self.next[at][c]
+                if self.size[to] != self.size[at] + 1:  # longer ones end here too: a state of its own for the shorter
+                    own = self._state(dict(self.next[to]), self.size[at] + 1)
+                    self.link[own], self.link[to] = self.link[to], own
+                    while at >= 0 and self.next[at].get(c) == to:
+                        self.next[at][c] = own
+                        at = self.link[at]
+                    to = own
+                self.link[new] = to
+            else:
+                self.link[new] = 0
+            last = new
+
+    def _state(self, onward: dict[str, int], size: int) -> int:
+        self.next.append(onward)
+        self.link.append(-1)
+        self.size.append(size)
+        return len(self.size) - 1
+
+    def longest(self, text: str) -> int:
+        """Length of the longest common run."""
+        step, link, size = self.next, self.link, self.size
+        at = run = best = 0
+        for c in text:
+            while at and c not in step[at]:
+                at = link[at]
+                run = size[at]
+            if c in step[at]:
+                at = step[at][c]
+                run += 1
+                if run > best:
+                    best = run
+        return best
+
+
 @F.pandas_udf(T.LongType())
 def longest_run(needle, candidate):
-    """Length of the longest common run of characters."""
-    import numpy as np
+    """Length of the longest common run of characters; null beside a null."""
     import pandas as pd
 
+    known: tuple[str, Automaton] | None = None
     out = []
     for a, b in zip(needle, candidate, strict=True):
-        x, y = np.frombuffer(a.encode("utf-32-le"), dtype=np.uint32), np.frombuffer(b.encode("utf-32-le"), dtype=np.uint32)
-        best, run = 0, np.zeros(len(y) + 1, dtype=np.int32)
-        for c in x:
-            run[1:] = np.where(y == c, run[:-1] + 1, 0)
-            best = max(best, int(run.max()))
-        out.append(best)
-    return pd.Series(out, dtype="int64")
+        if a is None or b is None:
+            out.append(None)
+            continue
+        if known is None or known[0] != a:
+            known = a, Automaton(a)
+        out.append(known[1].longest(b))
+    return pd.Series(out, dtype="Int64")
 
 
 def score(needle: Column, candidate: Column, partial: Column | None = None) -> Column:
@@ -58,40 +110,64 @@ def score(needle: Column, candidate: Column, partial: Column | None = None) -> C
     return F.when((needle == "") | (candidate == ""), 0.0).when(F.contains(candidate, needle), 1.0).when(contained, F.least(F.lit(0.98), 0.72 + size * 0.25)).otherwise(rest)
 
 
-def candidates(needles: DataFrame, entries: DataFrame) -> DataFrame:
-    """Pairs of one document that share a run which can reach the threshold, by common grams.
+def _level(run: Column, gram: Column | int = GRAM) -> Column:
+    """The widest window of grams that a run of so many characters fills."""
+    out = F.lit(1)
+    for w in sorted(WINDOWS):
+        out = F.when(run - gram + 1 >= w, F.lit(w)).otherwise(out)
+    return out
 
-    A run of 59.8 % of the needle holds every gram inside it, so grams of the needle at a
-    stride of that run less a gram can't miss it; a candidate inside the needle is found by
-    its first gram among all of the needle's.  Needles shorter than 14 meet all entries of
-    their document.
-    """
-    grams = lambda key, step, last: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last), step), lambda i: F.substring(key, i, F.lit(GRAM)))
-    n, c = F.col("needle"), F.col("candidate")
-    all_last = F.length(n) - GRAM + 1
-    stride = F.greatest(F.lit(1), F.ceil(F.length(n) * 0.598).cast("int") - GRAM + 1)
-    long_n = needles.where(F.length("needle") >= 14)
-    cand = entries.where("candidate != ''")
-    all_grams = cand.select("doc_id", "idx", F.explode(F.array_distinct(grams(c, F.lit(1), F.length(c) - GRAM + 1))).alias("gram"))
-    sampled = long_n.select("n_id", "doc_id", F.explode(F.array_distinct(grams(n, stride, all_last))).alias("gram")).join(all_grams, ["doc_id", "gram"]).select("n_id", "doc_id", "idx")
-    first = cand.where(F.length(c) >= GRAM).select("doc_id", "idx", F.substring("candidate", 1, GRAM).alias("gram"))
-    inside = long_n.select("n_id", "doc_id", F.explode(F.array_distinct(grams(n, F.lit(1), all_last))).alias("gram")).join(first, ["doc_id", "gram"]).select("n_id", "doc_id", "idx")
-    short = needles.where(F.length("needle") < 14).select("n_id", "doc_id").join(cand.select("doc_id", "idx"), "doc_id")
-    return sampled.unionByName(inside).unionByName(short).distinct()
-
-
-def containing(needles: DataFrame, entries: DataFrame, direct: int = 5_000) -> DataFrame:
-    """Pairs of one document where one key contains the other.
-
-    A document's needles meet its entries by an equi-join; only in documents of more than
-    ``direct`` entries are the pairs found by grams, which costs a row for every gram.
+
+def _grams(key: Column, gram: Column) -> Column:
+    """Hashes of the grams of a key, overlapping, in order."""
+    return F.transform(F.regexp_extract_all(key, F.concat(F.lit("(?=(.{"), gram.cast("string"), F.lit("}))")), F.lit(1)), lambda g: F.xxhash64(g))
+
+
+def _prints(key: Column, gram: Column, window: Column) -> Column:
+    """The least hash of every window of grams; of a key too short for a window none."""
+    empty = F.array().cast("array<bigint>")
+
+    def least(h: Column) -> Column:
+        last = F.size(h) - window
+        return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda j: F.array_min(F.slice(h, j + 1, window))))).otherwise(empty)
+
+    # The hashes are bound to a variable, so they are made once and not for each window.
+    return F.flatten(F.transform(F.array(_grams(key, gram)), least))
+
+
+def _anchor(key: Column, gram: Column, window: Column) -> Column:
+    """The least hash of a key's first window of grams: one of the prints of whatever contains the key."""
+    return F.array_min(F.slice(_grams(F.left(key, gram + window - 1), gram), F.lit(1), window))
+
+
+def _demanded(rows: DataFrame, wants: DataFrame, key: str, *ids: str) -> DataFrame:
+    """ids, doc_id, gram, window, print of the rows, at each grain that their document asks for."""
+    asked = rows.join(wants.distinct(), "doc_id")
+    return asked.select(*ids, "doc_id", "gram", "window", F.explode(_prints(F.col(key), F.col("gram"), F.col("window"))).alias("print"))
+
+
+def candidates(needles: DataFrame, entries: DataFrame, share: float = 0.598) -> DataFrame:
+    """Pairs of one document where a run of ``share`` of the needle is common, or the needle contains a candidate of 8 characters or more.
+
+    Winnowed fingerprints: a key's prints are the least hashes of its windows of neighbouring grams, so two keys with a common run that
+    fills a window share a print.  A needle asks at the widest grain that such a run of it fills; a candidate inside a needle, and a needle that must
+    be found whole, is asked for by one print alone.  A document's keys are cut up only at the grains that something in it asks for: the longer the
+    keys, the fewer rows, about two for every window.  Runs too short for a gram of 8 ask by grams of their own length.
+    The pairs are a superset; the score decides.
     """
-    cand = entries.where("candidate != ''")
-    large = cand.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > direct).select("doc_id")
+    cand = entries.where("candidate != ''").select("doc_id", "idx", "candidate")
     n, c = F.col("needle"), F.col("candidate")
-    near = needles.join(large, "doc_id", "left_anti").join(cand.select("doc_id", "idx", "candidate"), "doc_id")
-    near = near.where(F.contains(c, n) | F.contains(n, c)).select("n_id", "doc_id", "idx")
-    return near.unionByName(candidates(needles.join(large, "doc_id", "left_semi"), cand.join(large, "doc_id", "left_semi")).select("n_id", "doc_id", "idx"))
+    run = F.greatest(F.lit(1), F.ceil(F.length(n) * share).cast("int"))
+    asking = needles.select("n_id", "doc_id", "needle", F.least(F.lit(GRAM), run).alias("gram"), run.alias("run")).withColumn("window", _level(F.col("run"), F.col("gram")))
+    grain = ["doc_id", "gram", "window"]
+    own = F.array(_anchor(n, F.col("gram"), F.col("window"))) if share >= 1 else _prints(n, F.col("gram"), F.col("window"))
+    told = _demanded(cand, asking.select(*grain), "candidate", "idx")
+    common = asking.select("n_id", *grain, F.explode(own).alias("print")).join(told, [*grain, "print"]).select("n_id", "doc_id", "idx")
+    inner = cand.where(F.length(c) >= GRAM).select("idx", "doc_id", "candidate", F.lit(GRAM).alias("gram"), _level(F.length(c)).alias("window"))
+    inner = inner.select("idx", *grain, _anchor(c, F.col("gram"), F.col("window")).alias("print"))
+    outer = _demanded(needles.select("n_id", "doc_id", "needle"), inner.select(*grain), "needle", "n_id")
+    inside = outer.join(inner, [*grain, "print"]).select("n_id", "doc_id", "idx")
+    return common.unionByName(inside).distinct()
 
 
 def locate(selections: DataFrame, entries: DataFrame, partial: bool = True) -> DataFrame:
@@ -103,7 +179,7 @@ def locate(selections: DataFrame, entries: DataFrame, partial: bool = True) -> D
     """
     needles = selections.withColumn("needle", F.left(X.match_key("selected"), F.lit(NEEDLE))).where("needle != ''")
     keyed = entries.withColumn("candidate", X.match_key("original"))
-    pairs = (candidates if partial else containing)(needles, keyed).join(needles.select("n_id", "needle", "page_ratio"), "n_id").join(keyed.select("doc_id", "idx", "position", "candidate"), ["doc_id", "idx"])
+    pairs = written(candidates(needles, keyed, 0.598 if partial else 1.0), "locate-pairs").join(needles.select("n_id", "needle", "page_ratio"), "n_id").join(keyed.select("doc_id", "idx", "position", "candidate"), ["doc_id", "idx"])
     exact = score(F.col("needle"), F.col("candidate"))
     pairs = pairs.withColumn("score", exact)
     if partial:
@@ -120,12 +196,20 @@ def best_page(targets: DataFrame, pages: DataFrame, cuts: tuple[int, ...] = (120
     """The page of a document that holds the longest beginning of the target: whole, then 120, 60, 24 characters.
 
     targets: t_id, doc_id, needle (key), hint; pages: doc_id, page, key.  Ties to the page nearest to the hint.
+    Whatever is cut, the shortest beginning is in it: a target asks by one print of that for the pages that can hold it.
     """
     n, k = F.col("needle"), F.col("key")
     found = F.when(F.contains(k, n), F.length(n))
     for cut in cuts:
         found = found.when((F.length(n) > cut) & F.contains(k, F.left(n, F.lit(cut))), F.lit(cut))
-    pairs = targets.where(F.length("needle") >= least).join(pages, "doc_id").withColumn("match", found.otherwise(F.lit(0))).where("match > 0")
+    begin = F.left(n, F.lit(min(cuts)))
+    gram = F.lit(min(GRAM, least))
+    grain = ["doc_id", "gram", "window"]
+    asking = targets.where(F.length("needle") >= least).withColumns({"gram": gram, "window": _level(F.length(begin), gram)})
+    asking = asking.withColumn("print", _anchor(begin, F.col("gram"), F.col("window")))
+    told = _demanded(pages.select("doc_id", "page", "key"), asking.select(*grain), "key", "page").distinct()
+    pairs = asking.join(told, [*grain, "print"]).join(pages.select("doc_id", "page", "key"), ["doc_id", "page"])
+    pairs = pairs.withColumn("match", found.otherwise(F.lit(0))).where("match > 0")
     w = Window.partitionBy("t_id").orderBy(F.desc("match"), F.abs(F.col("page") - F.col("hint")), "page")
     return pairs.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("t_id", "doc_id", "page", F.col("match").cast("long").alias("match"))
 
