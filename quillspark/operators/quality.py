@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tex as X
 
+# What the lint reads as one sign; its messages, below, are fixed values too.
 _TOKEN = r"\\(?:begin|end)\{[^{}]+\}|\\[\[\]()]|(?s:\\.)|[{}&$\n]|[^\\{}&$\n]++"
 
 
@@ -22,6 +23,41 @@ def rewrite_audit(lines: DataFrame, rules: list[tuple[str, str, str]] | None = N
     return found.groupBy("doc_id", "rule").agg(F.count("*").alias("lines"), F.sum("hits").alias("hits"))
 
 
+def rule_rows(spark: SparkSession) -> DataFrame:
+    """nth, name, pattern, replacement: the engine's own rewrite rules as rows, to which users add theirs."""
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(X.RULES)], "nth int, name string, pattern string, replacement string")
+
+
+def repairs(docs: DataFrame, rules: DataFrame | None = None, underscores: bool = True) -> DataFrame:
+    """doc_id, rule, line, hits: what the rewrite rules change in whole sources, by the line (from 1), of the text that the rule reads, where a change begins.
+
+    rules: nth, name, pattern, replacement (a small table that users write); each rule reads what the ones before made of the text.
+    Bare underscores of prose come last (``underscore``).  Null texts have no repairs.  Only texts that a rule changes are kept beside the source.
+    """
+    listed = sorted(tuple(r) for r in rules.select("nth", "name", "pattern", "replacement").collect()) if rules is not None else [(i, *r) for i, r in enumerate(X.RULES)]
+    told = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(pattern).alias("pattern"), F.lit(new).alias("new")) for _, name, pattern, new in listed])
+    met = "array<struct<rule:string,pattern:string,text:string>>"
+    begin = F.struct(F.col("text").alias("text"), F.array().cast(met).alias("met"))
+
+    def step(s, r):
+        hit = F.rlike(s["text"], r["pattern"])
+        kept = F.array(F.struct(r["name"].alias("rule"), r["pattern"].alias("pattern"), s["text"].alias("text")))
+        return F.when(hit, F.struct(F.regexp_replace(s["text"], r["pattern"], r["new"]).alias("text"), F.concat(s["met"], kept).alias("met"))).otherwise(s)
+
+    read = docs.where("text is not null").select("doc_id", F.aggregate(told, begin, step).alias("r"))
+    one = lambda piece, hit: F.struct(F.regexp_count(piece, F.lit("\n")).alias("before"), F.regexp_count(hit, F.lit("\n")).alias("within"))
+    cut = F.zip_with(F.split("m.text", F.col("m.pattern"), -1), F.regexp_extract_all(F.col("m.text"), F.col("m.pattern"), F.lit(0)), one)
+    hits = read.select("doc_id", F.explode("r.met").alias("m")).select("doc_id", F.col("m.rule").alias("rule"), F.posexplode(cut).alias("k", "p"))
+    if underscores:
+        pieces = X.underscore_pieces(F.col("r.text"))
+        each = F.transform(pieces, lambda p: F.struct(F.when(p == "_", 0).otherwise(F.regexp_count(p, F.lit("\n"))).alias("before"), F.when(p == "_", 0).alias("within")))
+        hits = hits.unionByName(read.where(F.contains("r.text", F.lit("_"))).select("doc_id", F.lit("underscore").alias("rule"), F.posexplode(each).alias("k", "p")))
+    w = Window.partitionBy("doc_id", "rule").orderBy("k")
+    past = F.sum("p.before").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("p.within").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = hits.withColumn("line", 1 + past).where("p.within is not null")
+    return placed.groupBy("doc_id", "rule", F.col("line").cast("long").alias("line")).agg(F.count("*").alias("hits"))
+
+
 def _tokens(docs: DataFrame) -> DataFrame:
     """doc_id, k, token, line (from 1), at (characters before it in its line) of the masked sources."""
     t = docs.select("doc_id", F.posexplode(F.regexp_extract_all(X.masked("text"), F.lit(_TOKEN), F.lit(0))).alias("k", "token"))

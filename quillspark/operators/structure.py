@@ -117,6 +117,7 @@ def outline_headings(lines: DataFrame) -> DataFrame:
     """
     t = X.collapse("text")
     big = F.col("size") >= F.greatest(F.lit(8), F.col("body") * 0.9)
+    # The forms of numbered, lettered and named headings, and the heading that ends the outline.
     rest = F.regexp_extract(t, r"^\d+(?:\.\d+)*\.?\s+(.*)$", 1)
     number = F.regexp_extract(t, r"^(\d+(?:\.\d+)*)\.?\s+[A-Z\u3400-\u9fff]", 1)
     numbered = (number != "") & ~rest.rlike(r"[.!?]\s+[A-Z\u3400-\u9fff]|[.!?]$")
@@ -140,6 +141,7 @@ def log_errors(lines: DataFrame, most: int = 20) -> DataFrame:
     """log_id, line, message of a compiler log: fatal lines with the source line that follows within five, and
     file:line messages of the compiled file only.  lines: log_id, compiled_name, line_no, line."""
     w = Window.partitionBy("log_id").orderBy("line_no")
+    # The compiler's own forms of messages.
     ref = F.when(F.col("line").rlike(r"^l\.\d+"), F.regexp_extract("line", r"^l\.(\d+)", 1).try_cast("long"))
     follow = F.first(ref, ignorenulls=True).over(w.rowsBetween(1, 5))
     fatal = F.regexp_extract("line", r"^!\s+(.+?)\s*$", 1)

@@ -117,6 +117,18 @@ def rewrite_rules(spark, d):
     return Q.rewrite_audit(lines_(spark, d))
 
 
+# Marks of the documents, and the faults of a source that stand for them in the derived sources.
+FAULTS = [("%%%", r"\mathbf{\alpha}", "bold_greek"), ("***", r"\sqrt[{k}/{a}]", "sqrt_index"), ("&&&", r"\mathrm{\bar{x}}", "roman_bar"), ("###", "a_i", "underscore"), ("\u00e9e", "\u00e9\ufffd", "replacement_sign")]
+
+
+def repairs_by_line(spark, d):
+    """Repairs of sources that are made of the documents: their own TeX signs are taken out, and marks stand for faults."""
+    text = F.translate("text", "$\\_{}[]", "")
+    for mark, fault, _ in FAULTS:
+        text = F.replace(text, F.lit(mark), F.lit(fault))
+    return Q.repairs(docs_(spark, d).select("doc_id", text.alias("text")), Q.rule_rows(spark))
+
+
 def math_runs(spark, d):
     """Runs of prose and of mathematics of every document; no SQL."""
     runs = docs_(spark, d).select("doc_id", F.inline(TX.math_runs("text")))
@@ -207,7 +219,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         library_search, find_all, span_overlay, span_overlay_all, include_closure, line_source, repeated_lines, lines_kept, heading_lines, page_segments, line_positions, char_coverage, uncovered_chars,
-        source_lint, stray_braces, rewrite_rules, math_runs, marker_counts, rewrite_audit, context_windows, context_windows_20, distinct_anchors, html_blocks, html_markdown, outline_parents, tag_balance, ingest_new, evolve_schema,
+        source_lint, stray_braces, rewrite_rules, repairs_by_line, math_runs, marker_counts, rewrite_audit, context_windows, context_windows_20, distinct_anchors, html_blocks, html_markdown, outline_parents, tag_balance, ingest_new, evolve_schema,
         metadata_fill, tier_fallback, union_kinds, group_caps,
     )
 }
@@ -260,6 +272,9 @@ select doc_id, segment, kind, length(text) chars, md5(text) digest from t""",
 len(regexp_extract_all(text, '%%%|\*\*\*|&&&|###|\$\$\$')) n_junk, length(regexp_replace(text, '%%%|\*\*\*|&&&|###|\$\$\$', '', 'g')) clean_chars from documents""",
     "rewrite_audit": f"""with {LINES}, r as (select * from (values ('percent', '%%%'), ('stars', '***'), ('hashes', '###')) t(rule, mark)),
 h as (select doc_id, rule, (length(line) - length(replace(line, mark, ''))) / 3 as hits from lines, r where contains(line, mark)) select doc_id, rule, count(*) as lines, cast(sum(hits) as bigint) hits from h group by all""",
+    "repairs_by_line": f"""with {LINES}, r as (select * from (values {", ".join(f"('{m}', '{rule}')" for m, _, rule in FAULTS)}) t(mark, rule)),
+l as (select doc_id, pos + 1 as line, translate(line, '$\\_{{}}[]', '') as line_text from lines)
+select doc_id, rule, line, cast((length(line_text) - length(replace(line_text, mark, ''))) / length(mark) as bigint) hits from l, r where contains(line_text, mark)""",
     "context_windows": f"""with {LINES}, a as (select doc_id, pos from lines where contains(line, '%%%')) select doc_id, pos, length(line) chars from lines l where exists (select 1 from a where a.doc_id = l.doc_id and abs(a.pos - l.pos) <= 2)""",
     "distinct_anchors": f"with {LINES} select distinct doc_id, pos // 5 as block from lines where contains(line, '%%%')",
     "html_blocks": f"with {_BLOCKS} select page_id, kind, count(*) n, cast(sum(length(text)) as bigint) chars from blocks group by all",

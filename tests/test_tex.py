@@ -133,3 +133,13 @@ def test_audit_and_coverage(spark):
     docs = spark.createDataFrame([(1, "α ≤ é 中 ， 😀 ☃ ☃ \u2003"), (2, None), (3, "$α$ β")], "doc_id int, text string")
     assert {tuple(r) for r in Q.uncovered(docs).collect()} == {("😀", "U+1F600", 1), ("☃", "U+2603", 2)}
     assert {tuple(r) for r in Q.mapped_in_prose(docs).collect()} == {("α", 1), ("≤", 1), ("β", 1)}
+
+
+def test_repairs_of_whole_sources(spark):
+    texts = ["x_y\n\\begin{align}\na_i\n\\end{align}\n\\mathbf{\n\\beta}\nu_v_w", "\\\\\n[word] \\sqrt[{k}/{x}] \\sqrt[{a}/{b}]\n\n\ufffd\ufffd", None, "", "fine \\_ $a_b$"]
+    d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, rule string")
+    got = {tuple(r) for r in Q.repairs(d, Q.rule_rows(spark)).collect()}
+    assert got == {(0, "underscore", 1, 1), (0, "bold_greek", 5, 1), (0, "underscore", 6, 2), (1, "break_bracket", 1, 1), (1, "sqrt_index", 2, 2), (1, "replacement_sign", 4, 2)}
+    own = spark.createDataFrame([(1, "second", "b+", "c"), (0, "first", "a", "b")], "nth int, name string, pattern string, replacement string")
+    one = spark.createDataFrame([(1, "x\nab a")], "doc_id int, text string")
+    assert {tuple(r) for r in Q.repairs(one, own).collect()} == {(1, "first", 2, 2), (1, "second", 2, 2)}
