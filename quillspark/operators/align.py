@@ -214,6 +214,25 @@ def best_page(targets: DataFrame, pages: DataFrame, cuts: tuple[int, ...] = (120
     return pairs.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("t_id", "doc_id", "page", F.col("match").cast("long").alias("match"))
 
 
+def quote_contexts(quotes: DataFrame, entries: DataFrame, most: int = 400, longest: int = 600) -> DataFrame:
+    """n_id, doc_id, idx, side, quote, own, other, before, behind of every quote (n_id, doc_id, selected) that its document's entries hold.
+
+    entries: doc_id, idx (from 0, without gaps), position, original, translated.  A quote is located among the originals, else among the translations; ``own`` is the
+    entry's text on that side, ``other`` the one on the other side, and the originals next to it are cut to ``most`` characters.  Texts are plain.
+    """
+    asked = quotes.withColumn("page_ratio", F.lit(0.0))
+    one = locate(asked, entries)
+    rest = asked.join(one.select("n_id"), "n_id", "left_anti")
+    two = locate(rest, entries.withColumn("original", F.col("translated")))
+    found = one.select("n_id", "doc_id", "idx", F.lit("original").alias("side")).unionByName(two.select("n_id", "doc_id", "idx", F.lit("translated").alias("side")))
+    w = Window.partitionBy("doc_id").orderBy("idx")
+    near = lambda c: F.left(F.coalesce(X.plain(c), F.lit("")), F.lit(most))
+    told = entries.select("doc_id", "idx", X.plain("original").alias("source"), X.plain("translated").alias("target"), near(F.lag("original").over(w)).alias("before"), near(F.lead("original").over(w)).alias("behind"))
+    first = F.col("side") == "original"
+    joined = found.join(told, ["doc_id", "idx"]).join(quotes.select("n_id", F.left("selected", F.lit(longest)).alias("quote")), "n_id")
+    return joined.select("n_id", "doc_id", "idx", "side", "quote", F.when(first, F.col("source")).otherwise(F.col("target")).alias("own"), F.when(first, F.col("target")).otherwise(F.col("source")).alias("other"), "before", "behind")
+
+
 def page_of(targets: DataFrame, pages: DataFrame) -> DataFrame:
     """t_id, doc_id, page, match: the best page of the highlight, else of the block, else the hinted page (match 0).
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import written
 from .overlap import in_interval, next_within
 
 
@@ -35,6 +36,17 @@ def latest(rows: DataFrame, key: str, order: Column) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("r")).select(key, "r.*")
 
 
+def newest_first(rows: DataFrame, at: str, *ties: str) -> DataFrame:
+    """rows with ``place`` (from 1), the latest first, rows without a time last, ties by the given columns; sorted by range, so no task holds all of them."""
+    order = [F.desc_nulls_last(at), *ties]
+    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    held = written(spread, "newest")
+    parts = held.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")  # a row for each part
+    parts = parts.select("_part", (before - F.col("_first") + 1).alias("_shift"))
+    return held.withColumn("_part", F.shiftright("_at", 33)).join(parts, "_part").withColumn("place", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+
+
 def priority_union(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """All rows of ``first``, and those of ``second`` whose key it lacks."""
     return first.unionByName(second.join(first.select(key), key, "left_anti"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import written
 
 
 def percent(stages: DataFrame, key: str, running_share: Column | None = None) -> DataFrame:
@@ -52,18 +53,51 @@ def resume(stages: DataFrame, key: str, failed: str) -> DataFrame:
     return stages.withColumn("next", F.when(F.col("pos") >= F.coalesce(at, F.lit(0)), "pending").otherwise(F.col("status")))
 
 
+def order_statistics(rows: DataFrame, key: str, value: str, places: dict[str, Column], bins: int = 1024, few: int = 10_000) -> DataFrame:
+    """key, which, value: the values at the named places (from 0, columns of ``n``) of every key's values in order; nulls and NaN take no part.
+
+    A selection, not a sort: a histogram over a key's range tells the bin that holds a place, then that bin is the range.  When few
+    rows are left, or all are equal, the place is read off; so a key with most of the rows is counted by all tasks and never sorted in one.
+    """
+    v = F.col(value)
+    rows = rows.where(v.isNotNull() & ~F.isnan(v.cast("double"))).select(F.col(key).alias("_k"), v.alias("_v"))
+    begin = rows.groupBy("_k").agg(F.min("_v").alias("low"), F.max("_v").alias("high"), F.count("*").alias("n"))
+    listed = F.array(*[F.struct(F.lit(name).alias("which"), c.cast("long").alias("place")) for name, c in places.items()])
+    state = written(begin.select("_k", "low", "high", F.col("n").alias("size"), F.inline(listed)), "places")
+    wide = (F.col("low") < F.col("high")) & (F.col("size") > few)
+    for _ in range(8):  # enough for 64-bit numbers, whatever their distribution
+        open_ = state.where(wide)
+        if open_.isEmpty():
+            break
+        ranges = open_.select("_k", "low", "high").distinct()
+        within = rows.join(ranges, "_k").where(F.col("_v").between(F.col("low"), F.col("high")))
+        share = (F.col("_v").cast("double") - F.col("low")) / (F.col("high").cast("double") - F.col("low"))
+        counts = within.withColumn("bin", F.least(F.lit(bins - 1), F.floor(share * bins))).groupBy("_k", "low", "high", "bin").agg(F.count("*").alias("m"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        w = Window.partitionBy("_k", "low", "high").orderBy("bin")
+        counts = counts.withColumn("before", F.sum("m").over(w) - F.col("m"))
+        held = open_.join(counts, ["_k", "low", "high"]).where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("m")))
+        held = held.select("_k", F.col("lo").alias("low"), F.col("hi").alias("high"), F.col("m").alias("size"), "which", (F.col("place") - F.col("before")).alias("place"))
+        state = written(state.where(~wide).unionByName(held), "places")
+    equal = state.where("low = high").select("_k", "which", F.col("low").alias("_v"))
+    last = rows.join(state.where("low < high"), "_k").where(F.col("_v").between(F.col("low"), F.col("high")))
+    nth = F.row_number().over(Window.partitionBy("_k", "which").orderBy("_v")) - 1
+    few_ = last.withColumn("nth", nth).where(F.col("nth") == F.col("place")).select("_k", "which", "_v")
+    return equal.unionByName(few_).select(F.col("_k").alias(key), "which", F.col("_v").alias("value"))
+
+
 def load_levels(calls: DataFrame, level: str, seconds: float, latency: str = "latency", most_errors: float = 0.05) -> DataFrame:
     """rps, error rate, median and p95 of every level; best marks the fastest acceptable one.
 
-    p95 is the value at place max(0, int(0.95 n) - 1) of the sorted latencies.
+    p95 is the value at place max(0, int(0.95 n) - 1) of the sorted latencies, the median the mean of the middle ones.
     """
-    w = Window.partitionBy(level)
     ok = F.col("status") == "ok"
-    good = calls.where(ok)
-    placed = good.withColumns({"nth": F.row_number().over(w.orderBy(latency)) - 1, "n": F.count("*").over(w)})
-    p95 = placed.where(F.col("nth") == F.greatest(F.lit(0), F.floor(F.col("n") * 0.95) - 1)).select(level, F.col(latency).alias("p95"))
-    a = calls.groupBy(level).agg(F.count("*").alias("calls"), F.count_if(ok).alias("ok"), F.count_if(F.col("status") == "limited").alias("limited"), F.expr(f"percentile({latency}, 0.5) filter (where status = 'ok')").alias("median"))
-    a = a.join(p95, level, "left").withColumns({"rps": F.col("ok") / seconds, "error_rate": 1 - F.col("ok") / F.col("calls")})
+    n = F.col("n")
+    places = {"below": F.floor((n - 1) / 2), "above": F.floor(n / 2), "p95": F.greatest(F.lit(0), F.floor(n * 0.95) - 1)}
+    told = order_statistics(calls.where(ok), level, latency, places)
+    at = lambda name: F.max(F.when(F.col("which") == name, F.col("value")))
+    told = told.groupBy(level).agg(((at("below") + at("above")) / 2).alias("median"), at("p95").alias("p95"))
+    a = calls.groupBy(level).agg(F.count("*").alias("calls"), F.count_if(ok).alias("ok"), F.count_if(F.col("status") == "limited").alias("limited"))
+    a = a.join(told, level, "left").withColumns({"rps": F.col("ok") / seconds, "error_rate": 1 - F.col("ok") / F.col("calls")})
     fine = a.where((F.col("error_rate") <= most_errors) & (F.col("ok") > 0)).agg(F.max_by(level, "rps").alias("best"))
     return a.join(F.broadcast(fine), F.lit(True), "left").withColumn("is_best", F.coalesce(F.col(level) == F.col("best"), F.lit(False))).drop("best")
 

@@ -50,6 +50,11 @@ def summaries(spark, d):
     return o.select("o_orderkey", "o_orderstatus", F.col("translated").isNotNull().alias("has_translated"))
 
 
+def summaries_by_time(spark, d):
+    o = orders(spark, d)
+    return B.newest_first(o.select("o_orderkey", "o_orderstatus", "o_orderdate"), "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderstatus", "place")
+
+
 def membership(spark, d):
     """Documents of owners in the BUILDING segment."""
     c = S.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
@@ -152,7 +157,7 @@ def resume_frontier(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        owner_docs, visible_docs, status_gate, history_order, history_order_all, summaries, membership, favourites, priority_union, delete_by_key, latest_state, upsert_view, session_validity,
+        owner_docs, visible_docs, status_gate, history_order, history_order_all, summaries, summaries_by_time, membership, favourites, priority_union, delete_by_key, latest_state, upsert_view, session_validity,
         stalled_runs, review_decisions, reading_position, throttled_input, capped_mean, stage_progress, stage_eta, load_levels, resume_frontier,
     )
 }
@@ -167,6 +172,7 @@ ORACLES = {
     "status_gate": "select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F'",
     "history_order": "select o_orderkey, row_number() over (order by o_orderdate desc, o_orderkey) as place from orders where o_custkey = 7",
     "summaries": "select o_orderkey, o_orderstatus, o_orderstatus = 'F' as has_translated from orders",
+    "summaries_by_time": "select o_orderkey, o_orderstatus, row_number() over (order by o_orderdate desc nulls last, o_orderkey) as place from orders",
     "membership": "select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')",
     "favourites": "select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey desc) r from orders) where r = 1",
     "priority_union": "select o_orderkey, case when o_orderkey % 3 = 0 then 'cached' else 'stored' end as origin from orders",
