@@ -102,6 +102,17 @@ def uncovered_chars(spark, d):
     return Q.uncovered(docs_(spark, d))
 
 
+MARKS = [("%%%", "\u2603"), ("***", "\U0001f600"), ("###", "\u2260")]
+
+
+def uncovered_marks(spark, d):
+    """Uncovered characters of texts in which they stand for the documents' marks; the last one has a command and isn't told."""
+    text = F.col("text")
+    for mark, ch in MARKS:
+        text = F.replace(text, F.lit(mark), F.lit(ch))
+    return Q.uncovered(docs_(spark, d).select("doc_id", text.alias("text")))
+
+
 def source_lint(spark, d):
     """The documents read as TeX sources: their faults; no SQL."""
     return Q.delimiter_lint(docs_(spark, d))
@@ -218,7 +229,7 @@ def group_caps(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        library_search, find_all, span_overlay, span_overlay_all, include_closure, line_source, repeated_lines, lines_kept, heading_lines, page_segments, line_positions, char_coverage, uncovered_chars,
+        library_search, find_all, span_overlay, span_overlay_all, include_closure, line_source, repeated_lines, lines_kept, heading_lines, page_segments, line_positions, char_coverage, uncovered_chars, uncovered_marks,
         source_lint, stray_braces, rewrite_rules, repairs_by_line, math_runs, marker_counts, rewrite_audit, context_windows, context_windows_20, distinct_anchors, html_blocks, html_markdown, outline_parents, tag_balance, ingest_new, evolve_schema,
         metadata_fill, tier_fallback, union_kinds, group_caps,
     )
@@ -268,6 +279,7 @@ select doc_id, segment, kind, length(text) chars, md5(text) digest from t""",
     "line_positions": f"with {LINES} select doc_id, pos, round(pos / greatest(1, count(*) over (partition by doc_id) - 1), 9) as position from lines",
     "char_coverage": "with c as (select unnest(string_split(text, '')) ch from documents) select printf('U+%04X', unicode(ch)) code, count(*) n from c where unicode(ch) > 127 group by ch",
     "uncovered_chars": "with c as (select unnest(string_split(text, '')) ch from documents), n as (select ch, unicode(ch) u, count(*) n from c group by ch) select ch, printf('U+%04X', u) code, n from n where u > 127 and not u between 160 and 879 and not u between 12288 and 12351 and not u between 13312 and 19903 and not u between 19968 and 40959 and not u between 63744 and 64255 and not u between 65280 and 65519 and not u between 131072 and 173791 and not contains('" + TX.SAFE_SIGNS + "".join(TX.SYMBOLS) + "', ch)",
+    "uncovered_marks": "select ch, printf('U+%04X', unicode(ch)) code, cast(sum((length(text) - length(replace(text, mark, ''))) / 3) as bigint) n from documents, (values ('%%%', chr(9731)), ('***', chr(128512))) m(mark, ch) where contains(text, mark) group by ch",
     "marker_counts": r"""select doc_id, len(regexp_extract_all(text, '\x{fffd}')) n_replacement, len(regexp_extract_all(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]')) n_control,
 len(regexp_extract_all(text, '%%%|\*\*\*|&&&|###|\$\$\$')) n_junk, length(regexp_replace(text, '%%%|\*\*\*|&&&|###|\$\$\$', '', 'g')) clean_chars from documents""",
     "rewrite_audit": f"""with {LINES}, r as (select * from (values ('percent', '%%%'), ('stars', '***'), ('hashes', '###')) t(rule, mark)),

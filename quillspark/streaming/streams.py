@@ -43,6 +43,40 @@ def arrivals(docs: DataFrame, at: str = "ts", text: str = "text", late: str = "1
     return docs.withColumn("sha", F.sha2(text, 256)).withWatermark(at, late).dropDuplicatesWithinWatermark(["sha"])
 
 
+def new_content(stream: DataFrame, path: str, checkpoint: str, at: str = "ts", text: str = "text", buckets: int = 16):
+    """Documents whose content was never seen before, whenever that was: appended below ``path``, read by ``seen_rows``.
+
+    ``path`` keeps the digest of every content in ``buckets`` parts.  A batch's own digests, which are as many as its rows, are looked for in the parts that they fall
+    into, so the state is scanned and never shuffled; of a batch's rows of one content the earliest stays.  A batch writes to a folder named by it and replaces what a failed
+    attempt left there, so one that is done again, after a restart too, adds nothing twice.  Rows without a text are no documents and are passed over.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, name = batch.sparkSession, f"{uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex}-{number}"
+        keyed = batch.where(F.col(text).isNotNull()).withColumn("_sha", F.sha2(text, 256))
+        keyed = keyed.withColumn("_bucket", F.pmod(F.xxhash64("_sha"), F.lit(buckets)).cast("int"))
+        row = F.struct(F.col(at).isNull().alias("_late"), F.col(at).alias("_at"), F.struct(*batch.columns).alias("_row"))
+        first = keyed.groupBy("_sha", "_bucket").agg(F.min_by(F.struct(*batch.columns), F.struct(row["_late"], row["_at"], F.xxhash64(*batch.columns))).alias("_row"))
+        if _exists(spark, f"{path}/seen"):
+            touched = [r[0] for r in keyed.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
+            seen = spark.read.schema("_sha string, batch string, _bucket int").parquet(f"{path}/seen")
+            seen = seen.where(F.col("_bucket").isin(touched) & (F.col("batch") != name)).select("_sha")
+            again = seen.join(keyed.select("_sha").distinct(), "_sha", "left_semi")
+            first = first.join(again, "_sha", "left_anti")
+        first.select("_row.*", "_sha", "_bucket").write.mode("overwrite").parquet(f"{path}/rows/batch={name}")
+        made = spark.read.parquet(f"{path}/rows/batch={name}")
+        made.select("_sha", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/seen/batch={name}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def seen_rows(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The documents that ``new_content`` let pass."""
+    if not _exists(spark, f"{path}/rows"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/rows").select([f.name for f in schema.fields])
+
+
 def _versions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("seq long, batch string, bucket int, folder string").parquet(f"{path}/manifest")
 
