@@ -18,7 +18,8 @@ so no text ever has to be gathered.
 
 Defined results: rows with a null conv_id are one conversation, a null turn comes first,
 ties in turn are ordered by role and text, repeated rows are all kept; a null role is
-unknown, a null text empty; other columns are ignored; without rows nothing is returned.
+unknown, a null text empty; a very long text is kept whole; other columns are ignored; without rows
+nothing is returned.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Only lengths and checksums are shuffled, never the ids.
 
 Defined results: null or empty text is a document of the end id alone; every row is
 packed, repeated ids too (their pieces are told apart by sequence and offset); a null
-doc_id stays null; other columns are ignored.  A sequence whose used length is a power of
+doc_id stays null; a very long text is encoded whole and gives many full windows; an empty table has
+no rows; other columns are ignored.  A sequence whose used length is a power of
 two is left as it is, any other is padded to the window (``padded_length``).
 """
 

@@ -13,7 +13,8 @@ longest end, which gives the leftmost, non-overlapping matches.  A private key i
 BEGIN line and reaches to its END line; without one, over the lines of its alphabet below.
 
 Defined results: null or empty text has no spans; every row of the input gives one
-row (repeated ids too, a null id stays null); other columns are ignored.
+row (repeated ids too, a null id stays null); a very long text is scanned whole, in a batch of its own;
+an empty table has no rows; other columns are ignored.
 """
 
 from __future__ import annotations

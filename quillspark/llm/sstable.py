@@ -17,7 +17,8 @@ Files are written under a name of their attempt and listed in a manifest; only f
 the manifest count, so repeated or lost attempts do no harm.
 
 Defined results: null or empty text has the end id alone; repeated ids are ordered by the
-hash of their text; other columns are ignored; an empty table has no files and no rows.
+hash of their text; a very long text is one entry with all its ids; other columns are ignored; an empty
+table has no files and no rows.
 """
 
 from __future__ import annotations

@@ -25,7 +25,8 @@ Rows of the held-out fold are never looked at.
 
 Defined results: null or empty text scores ``FLOOR``; repeated rows each give a row;
 labels without a document, or null labels, are ignored; without labels the fixed words
-alone decide; other columns are ignored.
+alone decide; a very long text is scored over all its clauses; an empty table has no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

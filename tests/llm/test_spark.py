@@ -332,3 +332,27 @@ def test_pipeline_stages(spark, data):
         assert after.join(before, "doc_id", "left_anti").count() == 0
         before = corpus_pipeline.materialise(after, name)
     assert corpus_pipeline.run(spark, data).agg(F.countDistinct("doc_id")).first()[0] == before.count()
+
+
+def test_stages_keep_odd_rows(spark, data):
+    long = "plain words that go on and on " * 20_000
+    rows = [(1, "some plain text about gardens and trees in the spring", "en"), (2, None, None), (None, "another plain text that speaks of rivers and hills", "en"), (4, "", "en"), (5, long, "en"), (1, "some plain text about gardens and trees in the spring", "en")]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    clash = ["score", "kept", "component_id", "_d", "_h", "kept_id", "KEPT_HASH", "path", "item_id", "spans", "label", "toxic", "held_out", "n_words", "h", "fp"]
+    docs = made.withColumns({c: F.lit("x") for c in clash} | {"n_chars": F.length("text").cast("long")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, data)
+        assert after.columns == docs.columns, name
+        got = sorted((repr(r.doc_id), repr(r.text)) for r in after.collect())
+        want = sorted((repr(r[0]), repr(r[1])) for r in (rows[:-1] if name == "near_duplicates" else rows))
+        assert got == want, name
+        assert stage(spark, docs.where("false"), data).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, data).where("doc_id = 5").count() > 10
+
+
+def test_drop_toxic_drops(spark, data):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("score", F.lit("x"))
+    told = {r.doc_id for r in toxicity.score(docs, labels).where("predicted = 1").collect()}
+    left = {r.doc_id for r in toxicity.drop_toxic(docs, labels).collect()}
+    assert told and told.isdisjoint(left) and len(told) + len(left) == docs.count()
