@@ -56,17 +56,21 @@ THREATS = "kill hurt murder destroy beat stab shoot burn töten umbringen tuer f
 SECOND = "you you're u ya he's she's they're du dich euch ihr tu te toi vous usted ustedes ti".split()
 THIRD = "he she they him her them er sie ihn il elle ils elles él ella ellos ellas".split()
 COPULAS = "are is am was were be bist ist sind seid es est êtes sont eres son".split()
-INTENTS = "will i'll we'll gonna going should must let's want werde werden will muss soll vais va allons vamos voy quiero".split()
+INTENTS = "will i'll we'll gonna going let's want werde werden will muss soll vais va allons vamos voy quiero".split()
+WISHES = "should must deserve deserves ought sollten müssen verdienen devraient doivent méritent deberían merecen".split()
+DOOMS = "shot killed murdered hanged stabbed executed lynched burned erschossen getötet aufgehängt tués tué fusillés fusilados muertos".split()
+ARTICLES = "a an some ein eine einen un une uno una".split()
+PLAYS = "chess game games match race tennis football poker quiz cards golf tournament final schach spiel rennen turnier échecs jeu partie tournoi ajedrez partido juego carrera torneo".split()
 NEGATIONS = "not no never nor isn't aren't wasn't don't won't nicht kein keine nie pas jamais ni nunca jamás".split()
 REPORTS = "said says called calls quoted reported claimed wrote sagte nannte schrieb dit appelé écrit dijo llamó escribió".split()
 
-INSULT, THREAT, SECOND_PERSON, THIRD_PERSON, COPULA, INTENT, NEGATION, REPORT, OTHER = range(9)
+INSULT, THREAT, SECOND_PERSON, THIRD_PERSON, COPULA, INTENT, NEGATION, REPORT, WISH, DOOM, ARTICLE, PLAY, OTHER = range(13)
 # Symbols that the transducers write beside the classes.
-PILED, MEANT, STRONG, AIMED, WEAK = range(9, 14)
-SYMBOLS = 14
+PILED, MEANT, STRONG, AIMED, WEAK, SPARED = range(13, 19)
+SYMBOLS = 19
 #: Two lone insults reach the threshold together, one alone doesn't; an aimed one does.
 LONE = 0.22
-WEIGHTS = {INSULT: LONE, PILED: LONE, STRONG: 0.7, AIMED: 0.7, WEAK: 0.03}
+WEIGHTS = {INSULT: LONE, PILED: LONE, STRONG: 0.7, AIMED: 0.7, WEAK: 0.03, SPARED: -0.7}
 #: Texts that speak for the usual weight of a lone insult beside those of the sample.
 PRIOR = 20
 
@@ -112,28 +116,35 @@ def _insult() -> Transducer:
 
 
 def _threat() -> Transducer:
-    """A threat up to three words behind a word of intent."""
-    change = {(s, INTENT): (3, INTENT) for s in range(4)} | {(s, THREAT): (0, MEANT) for s in (1, 2, 3)}
-    return Transducer(4, change, lambda s, a: (max(0, s - 1), a))
+    """A threat up to three words behind a word of intent, or a person who is wished a doom: each up to three words behind the one before."""
+    change = {(s, INTENT): (3, INTENT) for s in range(4)} | {(s, WISH): (3, INTENT) for s in range(4)} | {(s, THREAT): (0, MEANT) for s in (1, 2, 3)}
+    meant = Transducer(4, change, lambda s, a: (max(0, s - 1), a))
+    # 1 to 3: words left behind a person, 4 to 6: behind the wish.
+    wish = {(s, p): (3, p) for s in range(7) for p in (SECOND_PERSON, THIRD_PERSON)} | {(s, WISH): (6, WISH) for s in (1, 2, 3)} | {(s, DOOM): (0, STRONG) for s in (4, 5, 6)}
+    return Transducer(7, wish, lambda s, a: (0 if s in (0, 1, 4) else s - 1, a)).then(meant)
 
 
 def _target() -> Transducer:
-    """Insults at a person, and threats with one behind them.
+    """Insults at a person, and threats with one behind them, unless something else is given to that person or they are beaten at play.
 
     States: 0; 1, 2: one or two words are left in which an insult is aimed; 3, 4: the same behind a third person, who needs a copula;
-    5, 6: behind a threat; 7, 8: behind one that is meant.
+    5, 6: behind a threat; 7, 8: behind one that is meant; 9 to 11: behind a threat's second person, 12 to 14: its third person.
     """
-    fewer = {0: 0, 1: 0, 2: 1, 3: 0, 4: 3, 5: 0, 6: 5, 7: 0, 8: 7}
-    change = {(s, THREAT): (6, THREAT) for s in range(9)} | {(s, MEANT): (8, MEANT) for s in range(9)}
-    for s in range(9):
-        change[s, SECOND_PERSON] = (2, AIMED if s >= 5 else SECOND_PERSON)
-        change[s, THIRD_PERSON] = (4, AIMED if s >= 7 else THIRD_PERSON)
+    fewer = {0: 0, 1: 0, 2: 1, 3: 0, 4: 3, 5: 0, 6: 5, 7: 0, 8: 7, 9: 0, 10: 9, 11: 10, 12: 0, 13: 12, 14: 13}
+    near, every = (1, 2, 10, 11), range(15)
+    change = {(s, THREAT): (6, THREAT) for s in every} | {(s, MEANT): (8, MEANT) for s in every}
+    for s in every:
+        change[s, SECOND_PERSON] = (11, AIMED) if 5 <= s <= 8 else (2, SECOND_PERSON)
+        change[s, THIRD_PERSON] = (14, AIMED) if s in (7, 8) else (4, THIRD_PERSON)
         for insult in (INSULT, PILED):
-            change[s, insult] = (s if s in (1, 2) else 0, STRONG if s in (1, 2) else insult)
-    for s in (1, 2, 3, 4):
+            change[s, insult] = (s if s in near else 0, STRONG if s in near else insult)
+        if s >= 9:
+            change[s, PLAY] = (0, SPARED)
+    change[11, ARTICLE] = change[14, ARTICLE] = (0, SPARED)
+    for s in (1, 2, 3, 4, 10, 11, 13, 14):
         change[s, COPULA] = (2, COPULA)
         change[s, NEGATION] = (s, NEGATION)  # a negation doesn't part a person from what is said of them
-    return Transducer(9, change, lambda s, a: (fewer[s], a))
+    return Transducer(15, change, lambda s, a: (fewer[s], a))
 
 
 def _negation() -> Transducer:
@@ -144,7 +155,7 @@ def _negation() -> Transducer:
 
 def _report() -> Transducer:
     """Behind a reporting verb, the rest of the clause is weak."""
-    change = {(s, REPORT): (1, REPORT) for s in range(2)} | {(1, a): (1, WEAK) for a in (INSULT, PILED, STRONG, AIMED)}
+    change = {(s, REPORT): (1, REPORT) for s in range(2)} | {(1, a): (1, WEAK) for a in (INSULT, PILED, STRONG, AIMED)} | {(1, SPARED): (1, OTHER)}
     return Transducer(2, change, lambda s, a: (s, a))
 
 
@@ -164,12 +175,12 @@ class Scorer:
         import ahocorasick
 
         self.step = grammar()
-        classes = (REPORT, REPORTS), (NEGATION, NEGATIONS), (COPULA, COPULAS), (INTENT, INTENTS), (THIRD_PERSON, THIRD), (SECOND_PERSON, SECOND), (THREAT, THREATS), (INSULT, INSULTS)
+        classes = (ARTICLE, ARTICLES), (PLAY, PLAYS), (DOOM, DOOMS), (WISH, WISHES), (REPORT, REPORTS), (NEGATION, NEGATIONS), (COPULA, COPULAS), (INTENT, INTENTS), (THIRD_PERSON, THIRD), (SECOND_PERSON, SECOND), (THREAT, THREATS), (INSULT, INSULTS)
         self.kind = {w: k for k, ws in classes for w in ws}
         self.stems, self.lone = stems, lone
         self.lengths = sorted({len(s) for s in stems})
         self.find = ahocorasick.Automaton()
-        for w in {*INSULTS, *THREATS, *stems}:
+        for w in {*INSULTS, *THREATS, *DOOMS, *stems}:
             self.find.add_word(w, len(w))
         self.find.make_automaton()
 
@@ -203,7 +214,7 @@ class Scorer:
 
     def clauses(self, text: str) -> list[float]:
         """Weights of the clauses that match the grammar."""
-        return [sum(self.lone if own and s == INSULT else WEIGHTS[s] for s, own in found) for found in self.symbols(text)]
+        return [max(0.0, sum(self.lone if own and s == INSULT else WEIGHTS[s] for s, own in found)) for found in self.symbols(text)]
 
     def score(self, clauses: list[float]) -> float:
         return 1.0 - (1.0 - FLOOR) * math.exp(-sum(clauses))

@@ -264,6 +264,19 @@ def test_grammar():
         assert rate(t) >= toxicity.THRESHOLD, t
 
 
+@pytest.mark.parametrize(
+    ("text", "toxic"),
+    [
+        ("I will kill you", True), ("I'm going to hurt her", True), ("They should all be shot", True), ("You deserve to be hanged", True), ("We will destroy them", True),
+        ("I will beat him at chess tomorrow", False), ("Should I burn you a CD?", False), ("They should not be shot", False), ("He was shot yesterday", False),
+        ("The scene must be shot at dawn", False), ("They said he should be shot", False), ("We will beat them in the final", False), ("I will not beat him at chess", False),
+    ],
+)
+def test_threats_are_meant_literally(text, toxic):
+    s = toxicity.Scorer({})
+    assert (s.score(s.clauses(text)) >= toxicity.THRESHOLD) == toxic
+
+
 def test_composed_grammar_equals_its_transducers():
     r = random.Random(8)
     table = toxicity.grammar()
