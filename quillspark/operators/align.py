@@ -257,13 +257,24 @@ def caption_pairs(blocks: DataFrame, captions: DataFrame) -> DataFrame:
     return own.join(told, ["doc_id", "label"]).select("doc_id", (F.row_number().over(w) - 1).alias("index"), (F.col("pos") / F.greatest(F.lit(1), F.col("n_blocks") - 1)).alias("position"), "original", "translated")
 
 
+def page_labels(pages: DataFrame) -> DataFrame:
+    """doc_id, kind (figure or table), number (its digits), rank, page: every label of a page once; rank 0 at a line's start, 1 elsewhere.  pages: doc_id, page, text."""
+    label = r"(?:figure|fig\.?|table)[\s~]*\d++"
+    told = lambda pattern, rank: F.transform(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda m: F.lower(F.trim(m)))), lambda m: F.struct(m.alias("label"), F.lit(rank).alias("rank")))
+    each = pages.select("doc_id", "page", F.inline(F.concat(told(rf"(?im)^\s*{label}", 0), told(rf"(?i){label}", 1))))
+    kind = F.when(F.col("label").rlike(r"^\s*table"), "table").otherwise("figure")
+    return each.select("doc_id", kind.alias("kind"), F.regexp_extract("label", r"(\d+)$", 1).alias("number"), "rank", "page")
+
+
 def caption_pages(figures: DataFrame, pages: DataFrame) -> DataFrame:
-    """First page with the figure's label at a line start, else anywhere; else the page that was given."""
-    head = F.concat(F.when(F.col("kind") == "figure", r"(?:figure|fig\.?)").otherwise("table"), F.lit(r"[\s~]*"), F.col("number").cast("string"), F.lit(r"(?!\d)"))
-    joined = figures.join(pages.select("doc_id", F.col("page").alias("p"), F.col("text").alias("t")), "doc_id")
-    rank = F.when(F.regexp_like("t", F.concat(F.lit(r"(?im)^\s*"), head)), 0).when(F.regexp_like("t", F.concat(F.lit("(?i)"), head)), 1)
-    found = joined.withColumn("rank", rank).where("rank is not null").groupBy("doc_id", "kind", "number").agg(F.min(F.struct("rank", "p"))["p"].alias("found"))
-    return figures.join(found, ["doc_id", "kind", "number"], "left").select("doc_id", "kind", "number", F.coalesce("found", "page").alias("page"))
+    """First page with the figure's label at a line start, else anywhere; else the page that was given.
+
+    figures: doc_id, kind, number, page.  Pages are read once, for whatever labels they hold; the rest is an equi-join.
+    """
+    first = page_labels(pages).groupBy("doc_id", "kind", "number").agg(F.min(F.struct("rank", "page"))["page"].alias("found"))
+    first = first.select("doc_id", F.col("kind").alias("_kind"), F.col("number").alias("_number"), "found")
+    asked = figures.withColumns({"_kind": F.when(F.col("kind") == "figure", "figure").otherwise("table"), "_number": F.col("number").cast("string")})
+    return asked.join(first, ["doc_id", "_kind", "_number"], "left").select("doc_id", "kind", "number", F.coalesce("found", "page").alias("page"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -276,6 +287,35 @@ def likeness(needle, candidate):
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(needle, candidate, strict=True)], dtype="float64")
 
 
+_COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _letters(key: Column) -> Column:
+    """How often each letter and digit is in a key, and how many other characters there are."""
+    counts = [F.length(key) - F.length(F.replace(key, F.lit(c))) for c in _COUNTED]
+    return F.array(*counts, F.length(F.regexp_replace(key, "[a-z0-9]+", "")))
+
+
+def likest(pairs: DataFrame, least: float) -> DataFrame:
+    """n_id, idx of the likeliest candidate of every needle, from ``least`` on; ties to the lesser idx.
+
+    pairs: n_id, idx, needle, key, counts and key_counts of both (``_letters``).  What matching runs can hold at most, the common letters, bounds the likeness.
+    The candidate of the largest bound is compared first; then only those whose bound reaches what it got.
+    """
+    common = F.aggregate(F.zip_with("counts", "key_counts", lambda a, b: F.least(a, b)), F.lit(0), lambda s, x: s + x)
+    bound = 2 * common / F.greatest(F.lit(1), F.length("needle") + F.length("key"))
+    pairs = pairs.withColumn("bound", bound).where(F.col("bound") >= least)
+    slim = written(pairs.select("n_id", "idx", "needle", "key", "bound"), "likest")
+    w = Window.partitionBy("n_id").orderBy(F.desc("bound"), "idx")
+    first = slim.withColumn("nth", F.row_number().over(w)).where("nth = 1").withColumn("like", likeness("needle", "key")).select("n_id", F.col("idx").alias("first_idx"), F.col("like").alias("first_like"))
+    first = written(first, "likest-first")
+    # Bound and likeness are quotients of whole numbers that are made alike, so equal ones are equal.
+    rest = slim.join(first, "n_id").where((F.col("idx") != F.col("first_idx")) & (F.col("bound") >= F.col("first_like") - 1e-12))
+    rest = rest.withColumn("like", likeness("needle", "key")).select("n_id", "idx", "like")
+    every = first.select("n_id", F.col("first_idx").alias("idx"), F.col("first_like").alias("like")).unionByName(rest)
+    return every.groupBy("n_id").agg(F.max(F.struct("like", (-F.col("idx")).alias("i"))).alias("b")).where(F.col("b.like") >= least).select("n_id", (-F.col("b.i")).alias("idx"))
+
+
 def locate_without_alignment(selections: DataFrame, sources: DataFrame, targets: DataFrame, least: float = 0.18) -> DataFrame:
     """The target block at the place of a selection's best source block, for documents without alignment.
 
@@ -289,8 +329,10 @@ def locate_without_alignment(selections: DataFrame, sources: DataFrame, targets:
     pairs = asked.where("needle != ''").join(keyed, "doc_id")
     inside = F.contains(F.col("key"), F.col("needle")) | ((F.length("key") > 20) & F.contains(F.col("needle"), F.col("key")))
     first = pairs.where(inside).groupBy("n_id").agg(F.min("idx").alias("idx"))
-    rest = pairs.join(first, "n_id", "left_anti").withColumn("like", likeness(F.left("needle", F.lit(400)), F.left("key", F.lit(1200))))
-    near = rest.groupBy("n_id").agg(F.max(F.struct("like", (-F.col("idx")).alias("i"))).alias("b")).where(F.col("b.like") >= least).select("n_id", (-F.col("b.i")).alias("idx"))
+    cut = lambda name, size: F.left(name, F.lit(size))
+    open_ = asked.where("needle != ''").join(first, "n_id", "left_anti").select("n_id", "doc_id", cut("needle", 400).alias("needle"), _letters(cut("needle", 400)).alias("counts"))
+    short = keyed.select("doc_id", "idx", cut("key", 1200).alias("key"), _letters(cut("key", 1200)).alias("key_counts"))
+    near = likest(open_.join(short, "doc_id"), least)
     found = asked.join(sizes, "doc_id").join(first.unionByName(near), "n_id", "left")
     idx = F.coalesce("idx", F.bround(X.clamp(F.col("page_ratio")) * (F.col("n") - 1), 0).cast("long"))
     ratio = F.col("at") / F.greatest(F.lit(1), F.col("n") - 1)

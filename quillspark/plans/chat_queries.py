@@ -185,6 +185,16 @@ def best_page_lines(spark, d):
     return A.best_page(asked, pages).select("doc_id", F.col("t_id.page").alias("pos"), "page", "match")
 
 
+def figure_pages(spark, d):
+    """The first line, as a page, of a document that says "table" or "fig" and a number, for each of three numbers; lines stand for pages.
+
+    The documents' digits follow words of their own; "table " before every number makes labels of them, at the line's start for even lines."""
+    made = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("Table "), F.regexp_extract("line", r"(\d+)", 1), F.lit(" "), "line")).otherwise(F.concat("line", F.lit(" fig. "), F.regexp_extract("line", r"(\d+)", 1)))
+    pages = lines_(spark, d).where(F.col("line").rlike(r"\d")).select("doc_id", F.col("pos").alias("page"), made.alias("text"))
+    found = A.page_labels(pages).groupBy("doc_id", "kind", "number").agg(F.min(F.struct("rank", "page")).alias("r"))
+    return found.select("doc_id", "kind", "number", "r.rank", "r.page")
+
+
 def neighbour_context(spark, d):
     return A.neighbours(lines_(spark, d)).select("doc_id", "pos", F.length("before").cast("long").alias("before"), F.length("behind").cast("long").alias("behind"))
 
@@ -232,7 +242,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         history_last8, session_titles, render_conversation, session_by_document, pair_validation, pair_repair, zip_align, delta_assembly, array_distinct_order,
-        token_difference, token_overlap, token_retrieval, ranked_blocks, budgeted_sources, token_retrieval_all, ranked_blocks_all, budgeted_sources_all, locate_exact, locate_partial, best_page, locate_lines, best_page_lines, neighbour_context, chunk_pack, chunk_pack_cut, memo_hits, memo_misses, segment_progress,
+        token_difference, token_overlap, token_retrieval, ranked_blocks, budgeted_sources, token_retrieval_all, ranked_blocks_all, budgeted_sources_all, locate_exact, locate_partial, best_page, locate_lines, best_page_lines, figure_pages, neighbour_context, chunk_pack, chunk_pack_cut, memo_hits, memo_misses, segment_progress,
     )
 }
 
@@ -305,6 +315,10 @@ select doc_id, pos, kind, idx, round(best, 6) as confidence from (select *, row_
     "best_page": f"""with {LINES}, k as (select doc_id, pos as page, {KEY('line')} k from lines), t as (select doc_id * 100000 + page as t_id, doc_id, left(k, 70) || '0000000000' as needle from k where page % 7 = 2 and length(k) >= 80),
 p as (select t_id, t.doc_id, page, case when contains(k, needle) then length(needle) when contains(k, left(needle, 60)) then 60 when contains(k, left(needle, 24)) then 24 else 0 end m from t join k using (doc_id))
 select t_id, doc_id, page, m as match from (select *, row_number() over (partition by t_id order by m desc, page) r from p where m > 0) where r = 1""",
+    "figure_pages": f"""with {LINES}, m as (select doc_id, pos as page, case when pos % 2 = 0 then 'Table ' || regexp_extract(line, '(\\d+)', 1) || ' ' || line else line || ' fig. ' || regexp_extract(line, '(\\d+)', 1) end as text from lines where regexp_matches(line, '\\d')),
+l as (select doc_id, page, 0 as rank, unnest(regexp_extract_all(text, '(?im)^\\s*(?:figure|fig\\.?|table)[\\s~]*\\d+')) x from m union all select doc_id, page, 1, unnest(regexp_extract_all(text, '(?i)(?:figure|fig\\.?|table)[\\s~]*\\d+')) from m),
+k as (select doc_id, case when regexp_matches(x, '(?i)^\\s*table') then 'table' else 'figure' end kind, regexp_extract(x, '(\\d+)$', 1) number, rank, page from l)
+select doc_id, kind, number, min(rank) as rank, arg_min(page, rank * 1000000000 + page) as page from k group by doc_id, kind, number""",
     "neighbour_context": f"with {LINES} select doc_id, pos, least(400, coalesce(length(lag(line) over w), 0)) as before, least(400, coalesce(length(lead(line) over w), 0)) as behind from lines window w as (partition by doc_id order by pos)",
     "chunk_pack": f"""with recursive {LINES}, own as (select doc_id, pos, length(line) n, row_number() over (partition by doc_id order by pos) r from lines where trim(line) <> ''),
 f as (select doc_id, r, pos, n as used, 0 as batch from own where r = 1 union all select o.doc_id, o.r, o.pos, case when f.used + 2 + o.n <= 4000 then f.used + 2 + o.n else o.n end, case when f.used + 2 + o.n <= 4000 then f.batch else f.batch + 1 end from f join own o on o.doc_id = f.doc_id and o.r = f.r + 1)
