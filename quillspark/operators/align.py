@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,8 +90,6 @@ class Automaton:
 @F.pandas_udf(T.LongType())
 def longest_run(needle, candidate):
     """Length of the longest common run of characters; null beside a null."""
-    import pandas as pd
-
     known: tuple[str, Automaton] | None = None
     out = []
     for a, b in zip(needle, candidate, strict=True):
@@ -118,26 +118,57 @@ def _level(run: Column, gram: Column | int = GRAM) -> Column:
     return out
 
 
-def _grams(key: Column, gram: Column) -> Column:
-    """Hashes of the grams of a key, overlapping, in order."""
-    return F.transform(F.regexp_extract_all(key, F.concat(F.lit("(?=(.{"), gram.cast("string"), F.lit("}))")), F.lit(1)), lambda g: F.xxhash64(g))
-
-
-def _prints(key: Column, gram: Column, window: Column) -> Column:
-    """The least hash of every window of grams; of a key too short for a window none."""
-    empty = F.array().cast("array<bigint>")
-
-    def least(h: Column) -> Column:
-        last = F.size(h) - window
-        return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda j: F.array_min(F.slice(h, j + 1, window))))).otherwise(empty)
-
-    # The hashes are bound to a variable, so they are made once and not for each window.
-    return F.flatten(F.transform(F.array(_grams(key, gram)), least))
+def _window_minima(codes: np.ndarray, lengths: np.ndarray, gram: int, window: int) -> list[np.ndarray]:
+    """For each of the texts side by side in ``codes``, the least hashes of its windows of grams, each once in a row of equal ones."""
+    ends = np.cumsum(lengths)
+    h = np.zeros(len(codes), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(gram):
+            shifted = np.zeros_like(h)
+            shifted[: len(codes) - k] = codes[k:] if len(codes) > k else 0
+            h = h * np.uint64(0x100000001B3) + shifted + np.uint64(1)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    size = 1
+    while size < window:  # minima of twice as many places, at last of the window
+        step = min(size, window - size)
+        h[: max(0, len(h) - step)] = np.minimum(h[: max(0, len(h) - step)], h[step:])
+        size += step
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    whole = np.arange(len(codes)) <= ends[row] - gram - window + 1  # the window ends within its text
+    h, row = h[whole], row[whole]
+    fresh = np.ones(len(h), dtype=bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    h, row = h[fresh].view(np.int64), row[fresh]
+    return np.split(h, np.searchsorted(row, np.arange(1, len(lengths))))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _prints(keys: pd.Series, grams: pd.Series, windows: pd.Series) -> pd.Series:
+    """The least hash of every window of grams; of a key too short for a window none.  Hashes roll over all keys of a batch at once."""
+    out = np.empty(len(keys), dtype=object)
+    texts = [k if isinstance(k, str) else "" for k in keys]
+    kinds: dict[tuple[int, int], list[int]] = {}
+    for i, grain in enumerate(zip(grams, windows, strict=True)):
+        kinds.setdefault(grain, []).append(i)
+    for (gram, window), rows in kinds.items():
+        begin = 0
+        while begin < len(rows):  # some millions of characters at a time
+            end, total = begin, 0
+            while end < len(rows) and (end == begin or total + len(texts[rows[end]]) < 2_000_000):
+                total += len(texts[rows[end]])
+                end += 1
+            part = [texts[i] for i in rows[begin:end]]
+            codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+            for i, found in zip(rows[begin:end], _window_minima(codes, np.array([len(t) for t in part]), int(gram), int(window)), strict=True):
+                out[i] = found
+            begin = end
+    return pd.Series(out)
 
 
 def _anchor(key: Column, gram: Column, window: Column) -> Column:
     """The least hash of a key's first window of grams: one of the prints of whatever contains the key."""
-    return F.array_min(F.slice(_grams(F.left(key, gram + window - 1), gram), F.lit(1), window))
+    return F.get(_prints(F.left(key, gram + window - 1), gram, window), 0)
 
 
 def _demanded(rows: DataFrame, wants: DataFrame, key: str, *ids: str) -> DataFrame:
@@ -177,8 +208,10 @@ def locate(selections: DataFrame, entries: DataFrame, partial: bool = True) -> D
     Of the entries within 0.02 of the best score, the one nearest to the page ratio wins,
     then the earlier one.
     """
-    needles = selections.withColumn("needle", F.left(X.match_key("selected"), F.lit(NEEDLE))).where("needle != ''")
-    keyed = entries.withColumn("candidate", X.match_key("original"))
+    needles = selections.select("n_id", "doc_id", "page_ratio", F.left(X.match_key("selected"), F.lit(NEEDLE)).alias("needle")).where("needle != ''")
+    keyed = entries.select("doc_id", "idx", "position", X.match_key("original").alias("candidate"))
+    # Made once, and spread by row: a document with most of the rows is no task's alone.
+    needles, keyed = written(needles.repartition("doc_id", "n_id"), "locate-needles"), written(keyed.repartition("doc_id", "idx"), "locate-entries")
     pairs = written(candidates(needles, keyed, 0.598 if partial else 1.0), "locate-pairs").join(needles.select("n_id", "needle", "page_ratio"), "n_id").join(keyed.select("doc_id", "idx", "position", "candidate"), ["doc_id", "idx"])
     exact = score(F.col("needle"), F.col("candidate"))
     pairs = pairs.withColumn("score", exact)
@@ -205,7 +238,9 @@ def best_page(targets: DataFrame, pages: DataFrame, cuts: tuple[int, ...] = (120
     begin = F.left(n, F.lit(min(cuts)))
     gram = F.lit(min(GRAM, least))
     grain = ["doc_id", "gram", "window"]
-    asking = targets.where(F.length("needle") >= least).withColumns({"gram": gram, "window": _level(F.length(begin), gram)})
+    pages = written(pages.select("doc_id", "page", "key").repartition("doc_id", "page"), "pages")
+    targets = written(targets.where(F.length("needle") >= least).repartition("doc_id", "t_id"), "targets")
+    asking = targets.withColumns({"gram": gram, "window": _level(F.length(begin), gram)})
     asking = asking.withColumn("print", _anchor(begin, F.col("gram"), F.col("window")))
     told = _demanded(pages.select("doc_id", "page", "key"), asking.select(*grain), "key", "page").distinct()
     pairs = asking.join(told, [*grain, "print"]).join(pages.select("doc_id", "page", "key"), ["doc_id", "page"])
@@ -282,8 +317,6 @@ def likeness(needle, candidate):
     """Share of both texts in matching runs, for pairs that no containment decides."""
     from difflib import SequenceMatcher
 
-    import pandas as pd
-
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(needle, candidate, strict=True)], dtype="float64")
 
 
