@@ -11,7 +11,7 @@ from ..operators import lines as L
 from ..operators import quality as Q
 from ..operators import search as S
 from ..operators import structure as D
-from ..sources.tables import evolved, new_only, table
+from ..sources.tables import evolved, new_only, spread, table
 
 NEEDLE = "theand"
 JUNK = [("percent", "%%%"), ("stars", r"\*\*\*"), ("hashes", "###")]
@@ -27,7 +27,7 @@ HEADING = HEADING.format
 
 
 def docs_(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def lines_(spark, d):
@@ -172,15 +172,15 @@ def distinct_anchors(spark, d):
 
 
 def html_blocks(spark, d):
-    return L.html_blocks(table(spark, d, "pages")).groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return L.html_blocks(spread(table(spark, d, "pages"))).groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 def html_markdown(spark, d):
-    return L.render_markdown(L.html_blocks(table(spark, d, "pages"))).select("page_id", F.length("markdown").cast("long").alias("chars"), F.md5("markdown").alias("digest"))
+    return L.render_markdown(L.html_blocks(spread(table(spark, d, "pages")))).select("page_id", F.length("markdown").cast("long").alias("chars"), F.md5("markdown").alias("digest"))
 
 
 def outline_parents(spark, d):
-    h = L.html_blocks(table(spark, d, "pages")).select(F.col("page_id").alias("doc_id"), "pos").withColumn("level", F.col("pos") % 3 + 1)
+    h = L.html_blocks(spread(table(spark, d, "pages"))).select(F.col("page_id").alias("doc_id"), "pos").withColumn("level", F.col("pos") % 3 + 1)
     return L.outline(h, 3)
 
 

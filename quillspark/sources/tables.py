@@ -12,6 +12,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many parts as there are cores, where its files give fewer: the work on a small file's texts is then no single task's."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """events with ts as a timestamp, which watermarks need."""
     return table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
