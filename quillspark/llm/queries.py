@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import tables
 from . import ann, chat, decontaminate, html_text, lexical, merkle, neardup, packing, pii, secrets, sql, sstable, swappack, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.spread(tables.table(spark, sf_dir, name))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
