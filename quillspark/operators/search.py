@@ -101,7 +101,7 @@ def key_places(blocks: DataFrame, needle: str) -> DataFrame:
     Each block is read with the characters behind it that an occurrence beginning in it can reach.
     """
     n = len(needle)
-    keyed = running_ends(blocks.select("doc_id", "pos", X.match_key("line").alias("key")).withColumn("size", F.length("key")), "doc_id", "pos", "size").where("size > 0")
+    keyed = running_ends(blocks.select("doc_id", "pos", X.page_key("line").alias("key")).withColumn("size", F.length("key")), "doc_id", "pos", "size").where("size > 0")
     behind = F.collect_list(F.left("key", F.lit(n - 1))).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1, n - 1)) if n > 1 else F.array(F.lit(""))
     read = keyed.withColumn("key", F.concat("key", F.left(F.array_join(behind, ""), F.lit(n - 1))))
     parts = read.where(F.contains("key", F.lit(needle))).select("doc_id", "pos", "start", F.startswith("key", F.lit(needle)).alias("leads"), F.posexplode(F.split("key", rf"(?=\Q{needle}\E)", -1)).alias("nth", "part"))
@@ -113,9 +113,9 @@ def key_places(blocks: DataFrame, needle: str) -> DataFrame:
 def quote_places(blocks: DataFrame, quotes: DataFrame, cuts: tuple[int, ...] = (140, 60, 24), least: int = 6) -> DataFrame:
     """q_id, doc_id, begin, stop of every quote (q_id, doc_id, quote) in its document's joined keys: the first place of
     the whole, else of its beginning of 140, 60 or 24 characters; none for quotes of fewer than ``least``."""
-    listed = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", X.match_key("line").alias("k")))).alias("l"))
+    listed = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", X.page_key("line").alias("k")))).alias("l"))
     joined = listed.select("doc_id", F.array_join(F.transform("l", lambda s: s["k"]), "").alias("key"))
-    asked = quotes.select("q_id", "doc_id", X.match_key("quote").alias("needle")).where(F.length("needle") >= least)
+    asked = quotes.select("q_id", "doc_id", X.page_key("quote").alias("needle")).where(F.length("needle") >= least)
     j = asked.join(joined, "doc_id")
     place = lambda n: F.struct((F.call_function("instr", F.col("key"), n) - 1).cast("long").alias("begin"), F.length(n).cast("long").alias("size"))
     tries = F.array(place(F.col("needle")), *[F.when(F.length("needle") > c, place(F.left("needle", F.lit(c)))) for c in cuts])
@@ -125,6 +125,6 @@ def quote_places(blocks: DataFrame, quotes: DataFrame, cuts: tuple[int, ...] = (
 
 def span_overlay(blocks: DataFrame, matches: DataFrame) -> DataFrame:
     """Blocks, as spans of their document's joined key, that a match (doc_id, begin, stop) overlaps."""
-    sized = blocks.withColumn("size", F.length(X.match_key("line")))
+    sized = blocks.withColumn("size", F.length(X.page_key("line")))
     spans = running_ends(sized, "doc_id", "pos", "size").where("size > 0").select("doc_id", "pos", "start", "end")
     return overlapping(spans, matches.select("doc_id", "begin", "stop"), "doc_id", ("start", "end"), ("begin", "stop")).select("doc_id", "begin", "stop", "pos", "start", "end")

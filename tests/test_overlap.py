@@ -67,3 +67,14 @@ def test_places_across_lines(spark, needle):
     got = sorted((x.doc_id, x.begin, x.stop) for x in S.key_places(spark.createDataFrame(rows, "doc_id long, pos long, line string"), needle).collect())
     key = {d: "".join(ls).lower().replace(" ", "").replace("-", "") for d, ls in docs.items()}
     assert got == [(d, i, i + len(needle)) for d, k in key.items() for i in range(len(k)) if k.startswith(needle, i)]
+
+
+def test_keys_of_typeset_text(spark):
+    from quillspark.functions import text as X
+
+    d = spark.createDataFrame([(1, "\uff21\uff42\uff43\uff11 e\ufb03cient \ufb02ow"), (2, "Plain-Text 5"), (3, None)], "k int, t string")
+    assert {r.k: r.v for r in d.select("k", X.page_key("t").alias("v")).collect()} == {1: "abc1efficientflow", 2: "plaintext5", 3: ""}
+    lines = spark.createDataFrame([(1, 0, "an e\ufb03"), (1, 1, "cient way")], "doc_id long, pos long, line string")
+    assert [(r.begin, r.stop) for r in S.key_places(lines, "efficient").collect()] == [(2, 11)]
+    q = spark.createDataFrame([(7, 1, "\uff45fficient way")], "q_id long, doc_id long, quote string")
+    assert [(r.begin, r.stop) for r in S.quote_places(lines, q).collect()] == [(2, 14)]
