@@ -38,7 +38,7 @@ def history_order(spark, d):
 
 
 def history_order_all(spark, d):
-    """Library order of every owner; no SQL."""
+    """Library order of every owner."""
     o = orders(spark, d)
     at = F.coalesce(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")), F.col("o_orderdate"))
     w = Window.partitionBy("o_custkey").orderBy(at.desc(), F.desc("o_orderdate"), "o_orderkey")
@@ -171,6 +171,7 @@ ORACLES = {
     "visible_docs": "select o_orderkey, o_custkey from orders where o_orderpriority <> '5-LOW'",
     "status_gate": "select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F'",
     "history_order": "select o_orderkey, row_number() over (order by o_orderdate desc, o_orderkey) as place from orders where o_custkey = 7",
+    "history_order_all": "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as place from orders",
     "summaries": "select o_orderkey, o_orderstatus, o_orderstatus = 'F' as has_translated from orders",
     "summaries_by_time": "select o_orderkey, o_orderstatus, row_number() over (order by o_orderdate desc nulls last, o_orderkey) as place from orders",
     "membership": "select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')",

@@ -163,7 +163,7 @@ def context_windows(spark, d):
 
 
 def context_windows_20(spark, d):
-    """With the operator's own radius; no SQL."""
+    """With the operator's own radius."""
     return L.context_windows(lines_(spark, d), _anchors(spark, d)).select("doc_id", "pos", F.length("line").cast("long").alias("chars"))
 
 
@@ -288,6 +288,7 @@ h as (select doc_id, rule, (length(line) - length(replace(line, mark, ''))) / 3
 l as (select doc_id, pos + 1 as line, translate(line, '$\\_{{}}[]', '') as line_text from lines)
 select doc_id, rule, line, cast((length(line_text) - length(replace(line_text, mark, ''))) / length(mark) as bigint) hits from l, r where contains(line_text, mark)""",
     "context_windows": f"""with {LINES}, a as (select doc_id, pos from lines where contains(line, '%%%')) select doc_id, pos, length(line) chars from lines l where exists (select 1 from a where a.doc_id = l.doc_id and abs(a.pos - l.pos) <= 2)""",
+    "context_windows_20": f"""with {LINES}, a as (select doc_id, pos from lines where contains(line, '%%%')) select doc_id, pos, length(line) chars from lines l where exists (select 1 from a where a.doc_id = l.doc_id and abs(a.pos - l.pos) <= 20)""",
     "distinct_anchors": f"with {LINES} select distinct doc_id, pos // 5 as block from lines where contains(line, '%%%')",
     "html_blocks": f"with {_BLOCKS} select page_id, kind, count(*) n, cast(sum(length(text)) as bigint) chars from blocks group by all",
     "html_markdown": f"with {_BLOCKS}, m as (select page_id, string_agg(case when kind = 'title' then repeat('#', cast(level as int)) || ' ' || text when kind = 'item' then '- ' || text else text end, chr(10) || chr(10) order by pos) md from blocks group by page_id) select page_id, length(md) chars, md5(md) digest from m",
