@@ -139,11 +139,12 @@ def _window_minima(codes: np.ndarray, lengths: np.ndarray, gram: int, window: in
     h, row = h[whole], row[whole]
     fresh = np.ones(len(h), dtype=bool)
     fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    h, row = h[fresh].view(np.int64), row[fresh]
+    # 32 bits, other ones at each grain: a chance meeting is one more candidate pair, no more.
+    h, row = ((h[fresh] >> np.uint64(32)) ^ np.uint64(0x9E3779B1 * (gram * 1000 + window) % 2**32)).astype(np.uint32).view(np.int32), row[fresh]
     return np.split(h, np.searchsorted(row, np.arange(1, len(lengths))))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _prints(keys: pd.Series, grams: pd.Series, windows: pd.Series) -> pd.Series:
     """The least hash of every window of grams; of a key too short for a window none.  Hashes roll over all keys of a batch at once."""
     out = np.empty(len(keys), dtype=object)
@@ -172,9 +173,9 @@ def _anchor(key: Column, gram: Column, window: Column) -> Column:
 
 
 def _demanded(rows: DataFrame, wants: DataFrame, key: str, *ids: str) -> DataFrame:
-    """ids, doc_id, gram, window, print of the rows, at each grain that their document asks for."""
+    """ids, doc_id, print of the rows, at each grain that their document asks for."""
     asked = rows.join(wants.distinct(), "doc_id")
-    return asked.select(*ids, "doc_id", "gram", "window", F.explode(_prints(F.col(key), F.col("gram"), F.col("window"))).alias("print"))
+    return asked.select(*ids, "doc_id", F.explode(_prints(F.col(key), F.col("gram"), F.col("window"))).alias("print"))
 
 
 def candidates(needles: DataFrame, entries: DataFrame, share: float = 0.598) -> DataFrame:
@@ -193,11 +194,11 @@ def candidates(needles: DataFrame, entries: DataFrame, share: float = 0.598) ->
     grain = ["doc_id", "gram", "window"]
     own = F.array(_anchor(n, F.col("gram"), F.col("window"))) if share >= 1 else _prints(n, F.col("gram"), F.col("window"))
     told = _demanded(cand, asking.select(*grain), "candidate", "idx")
-    common = asking.select("n_id", *grain, F.explode(own).alias("print")).join(told, [*grain, "print"]).select("n_id", "doc_id", "idx")
+    common = asking.select("n_id", "doc_id", F.explode(own).alias("print")).join(told, ["doc_id", "print"]).select("n_id", "doc_id", "idx")
     inner = cand.where(F.length(c) >= GRAM).select("idx", "doc_id", "candidate", F.lit(GRAM).alias("gram"), _level(F.length(c)).alias("window"))
-    inner = inner.select("idx", *grain, _anchor(c, F.col("gram"), F.col("window")).alias("print"))
     outer = _demanded(needles.select("n_id", "doc_id", "needle"), inner.select(*grain), "needle", "n_id")
-    inside = outer.join(inner, [*grain, "print"]).select("n_id", "doc_id", "idx")
+    inner = inner.select("idx", "doc_id", _anchor(c, F.col("gram"), F.col("window")).alias("print"))
+    inside = outer.join(inner, ["doc_id", "print"]).select("n_id", "doc_id", "idx")
     return common.unionByName(inside).distinct()
 
 
@@ -243,7 +244,7 @@ def best_page(targets: DataFrame, pages: DataFrame, cuts: tuple[int, ...] = (120
     asking = targets.withColumns({"gram": gram, "window": _level(F.length(begin), gram)})
     asking = asking.withColumn("print", _anchor(begin, F.col("gram"), F.col("window")))
     told = _demanded(pages.select("doc_id", "page", "key"), asking.select(*grain), "key", "page").distinct()
-    pairs = asking.join(told, [*grain, "print"]).join(pages.select("doc_id", "page", "key"), ["doc_id", "page"])
+    pairs = asking.drop("gram", "window").join(told, ["doc_id", "print"]).join(pages.select("doc_id", "page", "key"), ["doc_id", "page"])
     pairs = pairs.withColumn("match", found.otherwise(F.lit(0))).where("match > 0")
     w = Window.partitionBy("t_id").orderBy(F.desc("match"), F.abs(F.col("page") - F.col("hint")), "page")
     return pairs.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("t_id", "doc_id", "page", F.col("match").cast("long").alias("match"))
