@@ -99,8 +99,8 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-#: What a name says of an element: nothing, perhaps furniture, furniture, or furniture whatever it holds.
-TEXT, WEAK, STRONG, GONE = range(4)
+#: What a name says of an element: nothing, perhaps furniture, a form, furniture, or furniture whatever it holds.
+TEXT, WEAK, FORM, STRONG, GONE = range(5)
 
 
 def _words(token: str) -> set[str]:
@@ -120,7 +120,7 @@ def _furniture(name: str, attributes: str, in_article: bool) -> int:
         return GONE
     if name in ("html", "body", "article", "main"):
         return TEXT
-    level = WEAK if name in FORMS else TEXT
+    level = FORM if name in FORMS else TEXT
     if not attributes.strip():
         return level
     told = _attributes(attributes)
@@ -325,7 +325,7 @@ def lines_of(page: str) -> Lines:
                 while skip:
                     pop()
         level = TEXT if skip else _furniture(name, attributes, articles + mains > 0)
-        bad, doubtful = level == GONE, level in (WEAK, STRONG)
+        bad, doubtful = level == GONE, level in (WEAK, FORM, STRONG)
         if doubtful:
             out.doubt.append((within[-1], level))
             within.append(len(out.doubt) - 1)
@@ -372,7 +372,7 @@ def _judged(lines: Lines) -> None:
     """Doubtful elements become empty lines, but where the distribution of text says that they are the content.
 
     From the page inwards, within what is kept: an element that perhaps is furniture stays if a window in it has twice ``SURGE`` characters or it holds
-    most of the weight around it.  One that its name calls furniture stays only if what is around it has no surge point (beside an
+    most of the weight around it; a form only if it holds two thirds, and not beside an article's text.  One that its name calls furniture stays only if what is around it has no surge point (beside an
     article's own text: no text at all) and it holds most of the weight there.
     """
     n = len(lines.doubt)
@@ -404,9 +404,11 @@ def _judged(lines: Lines) -> None:
         whole = int(weight[begin:end].sum())
         size = {r: int(weight[first[r] : last[r]].sum()) for r in held}
         own = article[begin:end] != 0
-        rest = bool(around[own].sum()) if (own & (around > 0)).any() else bool(stretches_of(around, SURGE))
-        weak = [r for r in held if lines.doubt[r][1] == WEAK]
-        kept = {r for r in weak if size[r] * 2 > whole or stretches_of(weight[first[r] : last[r]], 2 * SURGE)}
+        told = bool((own & (around > 0)).any())  # an article's own text is around
+        rest = told or bool(stretches_of(around, SURGE))
+        level = {r: lines.doubt[r][1] for r in held}
+        kept = {r for r in held if level[r] == WEAK and (size[r] * 2 > whole or stretches_of(weight[first[r] : last[r]], 2 * SURGE))}
+        kept |= {r for r in held if level[r] == FORM and size[r] * 3 > whole * 2 and not told}
         if not rest and not kept:
             kept = {r for r in held if size[r] * 2 > whole}
         gone |= set(held) - kept

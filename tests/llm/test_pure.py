@@ -388,6 +388,15 @@ def test_more_of_what_names_say():
     assert m(f"<body>{BODY}<form><label>Your name</label><p>Send it</p></form></body>") == TOLD
 
 
+def test_forms_go_beside_a_text():
+    m = html_text.main_text
+    form = f"<form><h3>Leave a reply</h3><p>{PROSE}</p><p>{PROSE}</p><label>Your name</label><textarea>x</textarea></form>"
+    assert m(f"<article>{BODY}{form}</article>") == m(f"<body><div>{BODY}</div>{form}</body>") == TOLD
+    assert m(f"<article><p>short</p>{form}</article>") == ["short"]
+    assert m(f"<body><p>{PROSE}</p><form>{BODY}<p>{PROSE} 3</p></form></body>") == [PROSE, *TOLD, f"{PROSE} 3"]  # around most of the page
+    assert m(f"<form><main><article>{BODY}</article></main></form>") == TOLD
+
+
 def test_the_bound_decides(monkeypatch):
     page = "<body><div><p>Some words of text.</p></div><div class='banner'><p>More words than the others are, in a box.</p></div></body>"
     assert html_text.main_text(page) == ["More words than the others are, in a box."] or html_text.main_text(page) == ["Some words of text.", "More words than the others are, in a box."]
