@@ -82,3 +82,19 @@ def test_texts_are_moved_once(spark, data):
     plan = registry.QUERIES["best_page_lines"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate explode(_prints") == 0 and "MapInArrow" in plan
     assert plan.count(", block#") and len(re.findall(r"Exchange hashpartitioning\(doc_id#\d+L, block#", plan)) == 1 and "hashpartitioning(page" not in plan
+
+
+def test_lines_know_their_place_without_a_shuffle(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import lines as L
+
+    docs = spark.createDataFrame([(1, "a\nb\n\nc\n"), (2, "one"), (3, ""), (4, None), (5, "\n"), (6, "x\n\n")], "doc_id long, text string")
+    plain = L.lines(docs)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(L.placed_lines(docs)) == rows(L.positions(plain).select("doc_id", "pos", "line", "position"))
+    behind = F.coalesce(F.lead("line").over(Window.partitionBy("doc_id").orderBy("pos")), F.lit(""))
+    assert rows(L.followed_lines(docs)) == rows(plain.withColumn("behind", behind))
+    for df in (L.placed_lines(docs), L.followed_lines(docs)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
